@@ -70,6 +70,8 @@ class _Place:
             if tag == "header" and around and around.inner:
                 own = 0.0  # of the article, not of the page
         before = around.score if around else 0.0
+        if tag in ("article", "main") and not (around and around.inner):
+            before = 0.0  # whatever the names of the page's layout say
         # an aside stays one whatever it holds; otherwise the nearest evidence counts
         self.score = before if before < 0 and around and around.tag not in ("html", "body") else own or before
 

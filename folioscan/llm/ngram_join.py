@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.llm.common import materialise, table
 from folioscan.llm.components import components
@@ -118,7 +118,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
         if need < 1:
             gone = np.setdiff1d(np.arange(m), full)
             full, value, need = np.append(full, gone), np.append(value, np.zeros(len(gone), dtype=_U)), 1
-        keys = _mix(_mix(value + _FACTORS[2]) ^ (full.astype(_U) * _FACTORS[4] + _U(band) * _FACTORS[7]))
+        keys = _mix(_mix(value + _FACTORS[2]) ^ (full.astype(_U) * _FACTORS[4] + _U(band * int(_FACTORS[7]) & 0xFFFFFFFFFFFFFFFF)))
         out.append((keys.view(np.int64), need))
     return out
 
@@ -279,7 +279,7 @@ def rest(large: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
     keys in a band, and any key of theirs with three nodes or fewer has made them candidates: so both have at least
     `need` keys that are left, and share as many."""
     roots = components(links) if links.take(1) else None
-    rows = large.select("key", "node", (F.col("info") & 1).alias("next"), (F.shiftright("info", 1) & ((1 << 23) - 1)).alias("need"))
+    rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", 1) % (1 << 23)).alias("need"))
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else rows.withColumn("root", F.col("node"))
     rows = materialise(rows, "join-large")
     for step in range(2):  # what is left shrinks when nodes drop out

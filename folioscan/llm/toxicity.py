@@ -24,7 +24,7 @@ from folioscan.llm.common import materialise, table
 SAMPLE = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Chance that any word enters by accident, and the least share of toxic documents among those that hold a term.
-ALPHA, PURITY, MOST_TERMS = 0.01, 0.7, 5000
+ALPHA, PURITY, MOST_TERMS = 0.2, 0.7, 5000
 WINDOW, REPORT_WINDOW, MEMO = 8, 4, 200_000
 #: Words of report, fixed.
 REPORT = frozenset("said says say quote quoted quotes called calls word term wrote reported zitat zitiert sagte nannte wort dit cite mot dijo cita palabra llamó".split())
