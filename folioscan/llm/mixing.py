@@ -99,5 +99,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each full copy, and one of the words of the pieces (joined by
+    spaces, pieces by line ends) where there are any. Documents of which nothing is taken go. A column n_chars is brought
+    up to date. Rows alike in id, text and source are taken alike."""
+    key = F.xxhash64(id_col, text_col, source_col)
+    plan = mix(docs.select(key.alias("_key"), text_col, source_col), "_key", text_col, source_col, **how)
+    plan = plan.where("taken > 0").groupBy("_key").agg(F.first("passes").alias("_passes"), F.first("pieces").alias("_pieces"))
+    rows = docs.withColumn("_key", key).join(plan, "_key").drop("_key")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1)
+    cut = F.array_join(F.transform("_pieces", lambda p: F.array_join(F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")), " ")), "\n")
+    texts = F.concat(F.array_repeat(text_col, F.col("_passes").cast("int")), F.when(F.size("_pieces") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = rows.withColumn(text_col, F.explode(texts)).drop("_passes", "_pieces")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -272,15 +272,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, nu
     return sides.select("a", "b", "_ta", "_tb").mapInArrow(run, "u long, v long")
 
 
-def rest(large: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
+def rest(large: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs (a, b) that share keys of more than three nodes and were no candidates, as far as they can still matter.
 
     `large` has (key, node, info). A key whose nodes are in one component needs nothing. Partners share at least `need`
     keys in a band, and any key of theirs with three nodes or fewer has made them candidates: so both have at least
     `need` keys that are left, and share as many."""
-    roots = components(links) if links.take(1) else None
     rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", 1) % (1 << 23)).alias("need"))
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else rows.withColumn("root", F.col("node"))
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = materialise(rows, "join-large")
     for step in range(2):  # what is left shrinks when nodes drop out
         open_ = rows.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("_k")
@@ -306,10 +305,12 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     found = materialise(candidates(sketches(rows, words, num, den), num, den), "join-candidates")
     pairs = materialise(found.where("kind = 0").select("a", "b").distinct(), "join-pairs")
     links = materialise(verified(pairs, nodes, rows, words, num, den), "join-links")
-    more = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), links, pairs), "join-rest")
-    if more.take(1):
-        links = links.union(verified(more, nodes, rows, words, num, den))
     roots = components(links)
+    more = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), roots, pairs), "join-rest")
+    if more.take(1):
+        links = verified(more, nodes, rows, words, num, den)
+        if links.take(1):
+            roots = components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("_component"))
     named = materialise(named.select("node", "root").join(least, "root").select(F.col("node").alias("_node"), "_component"), "join-named")
@@ -317,6 +318,12 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the smallest id, and every row without words."""
+    stay = join_near(docs, id_col, text_col, **how).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 

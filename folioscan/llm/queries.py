@@ -4,6 +4,7 @@ from folioscan.llm.bpe import op7_bpe
 from folioscan.llm.chat_format import op4_chat_format
 from folioscan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from folioscan.llm.html_extract import op9_html_text
+from folioscan.llm.license_scan import op3_license_scan
 from folioscan.llm.mixing import op10_mix_sources
 from folioscan.llm.ngram_join import OP8_SQL, op8_ngram_join
 from folioscan.llm.pii import op5_pii
@@ -13,6 +14,7 @@ from folioscan.llm.voronoi_knn import OP6_SQL, op6_topk_search
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_pii": op5_pii,
     "op6_topk_search": op6_topk_search,

@@ -4,8 +4,9 @@ Fitting takes at most SAMPLE labelled documents. A word enters the lexicon when
 that hold it, toxic against clean, stands out among as many words as were counted; a stem enters when that holds of its
 prefix and no single word accounts for it. The automaton that accepts all terms with their allowed misspellings is the
 intersection of the trie with the Levenshtein automata, determinised as it is walked. Words near a term that clean
-documents hold are no misspellings. A hit in quotation marks or after a word of report is a quotation, unless others
-stand close by; a logistic model over the kinds of hits, fitted to a table of counts, gives the score.
+documents hold are no misspellings, and a term with several such neighbours is taken to the letter. A term that clean
+documents also hold now and then is weak. A hit in quotation marks or after a word of report is a quotation, unless
+others stand close by; a logistic model over the kinds of hits, fitted to a table of counts, gives the score.
 """
 
 from __future__ import annotations
@@ -23,23 +24,27 @@ from folioscan.llm.common import materialise, table
 #: Most labelled documents that are fitted on: those of the smallest hashes of their ids.
 SAMPLE = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Chance that any word enters by accident, and the least share of toxic documents among those that hold a term.
-ALPHA, PURITY, MOST_TERMS = 0.2, 0.7, 5000
+#: Chance that any word enters by accident; least share of toxic documents among those that hold a weak, a strong term.
+ALPHA, PURITY, STRONG, MOST_TERMS, MOST_NEIGHBOURS = 0.2, 0.4, 0.95, 5000, 2
 WINDOW, REPORT_WINDOW, MEMO = 8, 4, 200_000
 #: Words of report, fixed.
 REPORT = frozenset("said says say quote quoted quotes called calls word term wrote reported zitat zitiert sagte nannte wort dit cite mot dijo cita palabra llamó".split())
 QUOTES = "\"“”„«»‘’‹›"
-#: Means of the weights of: any term, each further term up to two, any quoted term, any misspelled term; then of the bias.
-PRIOR, PRIOR_BIAS, PRIOR_STRENGTH = np.array([5.0, 0.5, 0.5, 4.0]), -2.5, 0.5
+#: Means of the weights of: any term, each further term up to two, any quoted term, any misspelled term, each weak hit up to three; then of the bias.
+PRIOR, PRIOR_BIAS, PRIOR_STRENGTH = np.array([5.0, 0.5, 0.5, 4.0, 1.0]), -2.5, 0.5
+NO_HITS = (0, 0, 0, 0, 0)
 
 _TOKEN = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class Lexicon:
-    """Terms as {text: is a stem}; tokens in `benign` are no misspellings. Holds the automaton as far as it has been walked."""
+    """Terms as {text: is a stem}; those in `weak` or `literal` allow no edits; tokens in `benign` are no misspellings. Holds
+    the automaton as far as it has been walked."""
 
     terms: dict[str, bool]
+    weak: frozenset[str] = frozenset()
+    literal: frozenset[str] = frozenset()
     benign: frozenset[str] = frozenset()
     children: list[dict[str, int]] = field(init=False, repr=False)
 
@@ -58,15 +63,17 @@ class Lexicon:
         self._memo: dict[str, tuple[str, int] | None] = {}
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "benign": self.benign}
+        return {"terms": self.terms, "weak": self.weak, "literal": self.literal, "benign": self.benign}
 
     def __setstate__(self, state: dict) -> None:
-        self.terms, self.benign = state["terms"], state["benign"]
+        self.__dict__.update(state)
         self.__post_init__()
 
     def edits(self, term: str) -> int:
         """Edits that a term allows; a stem needs more letters for them."""
         n = len(term)
+        if term in self.weak or term in self.literal:
+            return 0
         return int(n >= 7) if self.terms[term] else int(n >= 5) + int(n >= 9)
 
     def _closed(self, states: dict[int, int]) -> frozenset:
@@ -99,16 +106,16 @@ class Lexicon:
         return self._step[at, c]
 
     def match(self, token: str) -> tuple[str, int] | None:
-        """The term that a token is, in any spelling that the term allows, and the edits."""
+        """The term that a token is, in any spelling that the term allows, and the edits; a strong term if there is one."""
         at = self._start
         for c in token:
             at = self._next(at, c)
             if not at:
                 return None
-        found = [(e, term) for node, e in at if node in self._ends for term, most in [self._ends[node]] if e <= most]
+        found = [(e, term in self.weak, term) for node, e in at if node in self._ends for term, most in [self._ends[node]] if e <= most]
         if not found or min(found)[0] and token in self.benign:
             return None
-        e, term = min(found)
+        e, _, term = min(found)
         return term, e
 
     def lookup(self, token: str) -> tuple[str, int] | None:
@@ -122,16 +129,16 @@ class Lexicon:
             self._memo[token] = self.match(token)
         return self._memo[token]
 
-    def features(self, text: str | None) -> tuple[int, int, int, int]:
-        """(any term, further terms up to 2, any quoted term, any misspelled term) of a text."""
+    def features(self, text: str | None) -> tuple[int, int, int, int, int]:
+        """(any term, further terms up to 2, any quoted term, any misspelled term, weak hits up to 3) of a text."""
         low = (text or "").lower()
         tokens = _TOKEN.findall(low)
         known, lookup = self._memo, self.lookup
         hits = [i for i, t in enumerate(tokens) if (known[t] if t in known else lookup(t))]
         if not hits:
-            return 0, 0, 0, 0
+            return NO_HITS
         spans = [m.span() for m in _TOKEN.finditer(low)]
-        plain, quoted, misspelled = 0, 0, 0
+        plain, quoted, misspelled, weak = 0, 0, 0, 0
         for i in hits:
             left, right = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
             before, after = low[spans[left][0] : spans[i][0]], low[spans[i][1] : spans[right - 1][1] + 1]
@@ -139,11 +146,13 @@ class Lexicon:
             near = sum(left <= j < right for j in hits) - 1
             if 1 - cited + 0.25 * near < 0.5:
                 quoted += 1
+            elif lookup(tokens[i])[0] in self.weak:
+                weak += 1
             elif lookup(tokens[i])[1]:
                 misspelled += 1
             else:
                 plain += 1
-        return int(plain > 0), min(2, max(0, plain - 1)), int(quoted > 0), int(misspelled > 0)
+        return int(plain > 0), min(2, max(0, plain - 1)), int(quoted > 0), int(misspelled > 0), min(3, weak)
 
 
 def fit_weights(counts: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
@@ -200,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     split = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     t, u = split.get(1, 0), split.get(0, 0)
     if not t or not u:
-        return ToxicityModel(Lexicon({}), fit_weights([((0, 0, 0, 0), t, u)] if t + u else []))
+        return ToxicityModel(Lexicon({}), fit_weights([(NO_HITS, t, u)] if t + u else []))
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("word"))
     words = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     words = materialise(words, "toxic-words")
@@ -217,22 +226,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         bar = float(2 * np.log(max(2, stats.count()) / ALPHA))
         return stats.where((F.col("pos") * u > F.col("neg") * t) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= PURITY) & (g2(F.col("pos"), F.col("neg")) >= bar)).orderBy(F.col("pos").desc()).limit(MOST_TERMS)
 
-    strong = {r["word"]: r["pos"] for r in stands_out(words).collect() if len(r["word"]) > 2}
-    stem_rows = sorted((len(r["stem"]), r["stem"], r["pos"]) for r in stands_out(materialise(stems, "toxic-stems")).collect())
+    pure = lambda r, stem: r["pos"] >= STRONG * (r["pos"] + r["neg"] + stem)  # noqa: E731  a stem takes more words, and more evidence
+    found = {r["word"]: r for r in stands_out(words).collect() if len(r["word"]) > 2}
+    stem_rows = sorted(((len(r["stem"]), r["stem"], r) for r in stands_out(materialise(stems, "toxic-stems")).collect()), key=lambda x: x[:2])
     most = {s: 0 for _, s, _ in stem_rows}
     if most:
         tops = words.where("pos > 0").select("pos", F.explode(F.transform(F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: n <= F.length("word")), lambda n: F.col("word").substr(F.lit(1), n))).alias("stem"))
         most |= {r["stem"]: r["top"] for r in tops.where(F.col("stem").isin(list(most))).groupBy("stem").agg(F.max("pos").alias("top")).collect()}
     terms: dict[str, bool] = {}
-    for _, stem, pos in stem_rows:
-        if pos >= 1.5 * most[stem] and not any(terms.get(stem[:n]) for n in STEM_LENGTHS):
+    weak = set()
+    covered = lambda x: any(terms.get(x[:n]) and x[:n] not in weak for n in STEM_LENGTHS if n < len(x))
+    for _, stem, r in stem_rows:
+        if r["pos"] >= 1.5 * most[stem] and not covered(stem):
             terms[stem] = True
-    terms |= {w: False for w in strong if not any(terms.get(w[:n]) for n in STEM_LENGTHS)}
-    near = _mapped(words.where("neg > 0"), Lexicon(terms), "word", "word string", lambda lex, b: b.loc[[bool((m := lex.match(w)) and m[1]) for w in b["word"]], ["word"]])
-    lexicon = Lexicon(terms, frozenset(r["word"] for r in near.limit(1_000_000).collect()))
-    names = ("f0", "f1", "f2", "f3")
-    seen = _mapped(rows, lexicon, "text", "f0 int, f1 int, f2 int, f3 int, toxic int", lambda lex, b: pd.DataFrame(list(map(lex.features, b["text"])), columns=list(names)).assign(toxic=b["toxic"].to_numpy()))
-    counts = [(tuple(r[:4]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # at most 24 rows
+            weak |= set() if pure(r, 1) else {stem}
+    for word, r in found.items():
+        if not covered(word) and word not in terms:
+            terms[word] = False
+            weak |= set() if pure(r, 0) else {word}
+    near = _mapped(words.where("neg > 0"), Lexicon(terms, frozenset(weak)), "word", "word string, term string", lambda lex, b: pd.DataFrame([(w, m[0]) for w in b["word"] if (m := lex.match(w)) and m[1]], columns=["word", "term"]))
+    near = materialise(near, "toxic-near")
+    literal = frozenset(r["term"] for r in near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NEIGHBOURS).collect())
+    benign = near.where(~F.col("term").isin(list(literal)) if literal else F.lit(True)).collect()  # at most MOST_NEIGHBOURS a term
+    lexicon = Lexicon(terms, frozenset(weak), literal, frozenset(r["word"] for r in benign))
+    names = ("f0", "f1", "f2", "f3", "f4")
+    seen = _mapped(rows, lexicon, "text", "f0 int, f1 int, f2 int, f3 int, f4 int, toxic int", lambda lex, b: pd.DataFrame(list(map(lex.features, b["text"])), columns=list(names)).assign(toxic=b["toxic"].to_numpy()))
+    counts = [(tuple(r[:5]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # at most 96 rows
     return ToxicityModel(lexicon, fit_weights(counts))
 
 
@@ -249,6 +268,11 @@ def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", ou
     return docs.withColumn(out_col, score(F.col(text_col)))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that a model fitted to them and the labels holds clean, with all their columns."""
+    return with_score(docs, fit(docs, labels, text_col=text_col, **how), text_col, "_score").where("_score < 0.5").drop("_score")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))

@@ -1,0 +1,209 @@
+"""Exact dedup, chat formatting, PII and mixing against plain Python."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from folioscan.llm import chat_format, exact_dedup, mixing, pii
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, _norm int, leaf string, kept string"
+TEXTS = ["Same Text", "same text", "SAME TEXT", "Ärger", "ärger", "", None, "x" * 50_000, "X" * 50_000, "other\n text"]
+
+
+def documents(spark, texts, ids=None, sources=None):
+    rows = [(i if ids is None else ids[i], t, "en", sources[i] if sources else "s", len(t or ""), "k", 1, "l", "k") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_exact_dedup(spark):
+    ids = [3, 1, 7, 4, 5, 6, 2, 8, 9, None]
+    out = {r["doc_id"]: r for r in exact_dedup.find_duplicates(documents(spark, TEXTS, ids), capacity=2).collect()}
+    norm = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    groups = defaultdict(list)
+    for i, t in zip(ids, TEXTS, strict=True):
+        groups[norm(t)].append(i)
+    assert len(out) == len(ids)
+    for i, t in zip(ids, TEXTS, strict=True):
+        g = groups[norm(t)]
+        keep = max((x for x in g if x is not None), default=None)
+        assert (out[i]["keep_id"], out[i]["group_size"], out[i]["kept"], out[i]["text_sha256"]) == (keep, len(g), i == keep, sha(norm(t)))
+
+
+def test_drop_duplicates_keeps_rows_and_columns(spark):
+    docs = documents(spark, TEXTS, [3, 1, 7, 4, 5, 6, 2, 8, 9, None])
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {7, 4, 5, 6, 9, None}
+
+
+def test_exact_dedup_of_nothing(spark):
+    assert exact_dedup.find_duplicates(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 100])
+def test_directory_splits_full_buckets(capacity):
+    counts = {i: i % 3 for i in range(16)}
+    depth, leaves = exact_dedup.grow_directory(counts, capacity, 4)
+    held = Counter()
+    for leaf, (bucket, local) in leaves.items():
+        assert leaf >> (4 - local) == bucket >> (4 - local) and local <= depth
+        held[bucket] += counts[leaf]
+    assert all(n <= capacity or leaves[b][1] == 4 for b, n in held.items())
+
+
+CHATS = [
+    (1, 0, "system", "be brief"), (1, 1, "user", "### a </turn> \\ #"), (1, 2, "assistant", "\n</turn>\n### user:\nno"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "é" * 3000), (1, 6, "user", "bye"), (1, 7, "assistant", "b" * 900),
+    (2, None, "user", "x"), (2, 5, None, "y"), (2, 5, "ro:\nle\\", "z"), (2, 6, "assistant", "w\\"), (2, 6, "assistant", "w\\"), (None, 1, "assistant", "lost"), (3, 300, "user", "late"), (3, 2, "assistant", "early"), (3, 900, "assistant", "a" * 5000),
+]
+
+
+def test_chat_reads_back(spark):
+    turns = spark.createDataFrame([(*c, "t", 9) for c in CHATS], "conv_id long, turn long, role string, text string, _conv string, window int")
+    windows = chat_format.format_chat(turns, budget=400, history=100)
+    rows = sorted(chat_format.read_back(windows).collect(), key=lambda r: (str(r["conv"]), r["window"]))
+    back, loss = defaultdict(list), defaultdict(str)
+    for r in rows:
+        back[r["conv"]] += [(t["role"], t["text"]) for t in r["turns"]]
+        loss[r["conv"]] += r["loss_text"]
+        assert r["n_tokens"] <= 400 or r["n_turns"] - r["n_repeated"] == 1
+    want = defaultdict(list)
+    for conv, turn, role, text in sorted(CHATS, key=lambda c: (str(c[0]), -1 if c[1] is None else c[1], c[2] or "", c[3] or "")):
+        want[conv].append((role or "", text or ""))
+    assert back == want
+    assert loss == {c: "".join(t for r, t in x if r == "assistant") for c, x in want.items()}
+    later = [r for r in rows if r["conv"] == 1][1:]
+    assert later and all(r["text"].startswith("### system:\nbe brief\n</turn>\n") for r in later)
+    assert any(r["n_repeated"] > 1 for r in later)
+
+
+def test_chat_of_nothing(spark):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_chat(turns).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def brute_pii(text):
+    found = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def spans_of(spark, texts):
+    rows = pii.find_pii(documents(spark, texts)).collect()
+    return {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in pii.KINDS] for r in rows}
+
+
+PII_TEXTS = [
+    None, "", "mail a.b@c.de, x@y.z_d@e.f and a@b..c@d.e.", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 4111  1111 1111 1111 12345", "+1 (555) 123-4567 and +49 89 1234 5678 9012 3456", "\x01a@b.c\x02 é 😀 a@b.cd +1234567 8", "1" * 20_000, "a@b" + ".c" * 30_000, "1-" * 9_000 + "1", "+" * 50 + "1 2 3 4 5 6 7 8 9",
+]
+
+
+def test_pii_spans(spark):
+    assert spans_of(spark, PII_TEXTS) == {i: brute_pii(t) for i, t in enumerate(PII_TEXTS)}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="a@.0123456789 -+()_é\x01", max_size=60), min_size=40, max_size=40))
+def test_pii_spans_of_any_text(spark, texts):
+    assert spans_of(spark, texts) == {i: brute_pii(t) for i, t in enumerate(texts)}
+
+
+def test_iban_and_context(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 ok", "DE88 3704 0044 0532 0130 00", "my card 4111111111111111", "4111111111111111"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, texts)).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in rows[0] if s["kind"] == "iban"] == [("iban", 5, 32)]
+    assert not [s for s in rows[1] if s["kind"] == "iban"]
+    assert rows[2][0]["score"] > rows[3][0]["score"]
+
+
+def brute_targets(sizes):
+    """Caps the sources over their bound and reshares, again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, open_, out = 1.5 * sum(sizes.values()), list(names), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+    return out
+
+
+def mixed(spark, n=400):
+    sources = [None if i % 11 == 0 else "hot" if i % 3 == 0 else f"s{i % 5}" for i in range(n)]
+    texts = [None if i % 17 == 0 else "w " * (i * 37 % 300) for i in range(n)]
+    return documents(spark, texts, [i // 2 if i < 20 else i for i in range(n)], sources)
+
+
+@pytest.mark.parametrize("shard_docs", [2048, 20])
+def test_mix_meets_targets(spark, monkeypatch, shard_docs):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard_docs)
+    docs = mixed(spark)
+    rows = mixing.mix(docs, block=16).collect()
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r["source"]] += len((r["text"] or "").split())
+    want, taken = brute_targets(sizes), Counter()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert r["taken"] == r["passes"] * r["size"] + sum(p["words"] for p in r["pieces"])
+    assert len(rows) == docs.count()
+    for s in sizes:
+        assert taken[s] == pytest.approx(want[s], abs=16 if shard_docs < 100 else 1)
+    again = sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs.repartition(3), block=16).collect())
+    assert shard_docs < 100 or again == sorted((r["doc_id"], r["size"], r["taken"]) for r in rows)
+
+
+def test_draw_gives_the_words_that_are_taken(spark):
+    docs = mixed(spark)
+    out = mixing.draw(docs, block=16)
+    assert out.columns == docs.columns
+    drawn, taken = Counter(), Counter()
+    for r in out.collect():
+        drawn[r["doc_id"]] += len(r["text"].split())
+    for r in mixing.mix(docs.withColumn("_key", F.xxhash64("doc_id", "text", "source")), "_key", block=16).collect():
+        taken[r["doc_id"] if "doc_id" in r else r["_key"]] += r["taken"]
+    assert sum(drawn.values()) == sum(taken.values())
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix(documents(spark, [])).count() == 0
+
+
+def test_sainte_lague_by_highest_quotients(spark):
+    votes = [("a", 53), ("b", 24), ("c", 23), ("d", 1)]
+    for seats in (0, 1, 7, 15, 100):
+        df = spark.createDataFrame([(1, k, v, seats) for k, v in votes], "g int, k string, w long, n long")
+        got = {r["k"]: r["quota"] for r in mixing.sainte_lague(df, "g", "k", "w", "n").collect()}
+        won = Counter()
+        for _ in range(seats):
+            won[max(votes, key=lambda x: (x[1] / (2 * won[x[0]] + 1), [-ord(c) for c in x[0]]))[0]] += 1
+        assert got == {k: won[k] for k, _ in votes}
