@@ -21,7 +21,7 @@ def dedup_uploads(uploads: DataFrame, scope: str, digest: str, order: list[str])
 
 def latest(log: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Each key's last row of a log, by a mergeable maximum and not by a sort."""
-    top = log.groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("_m"))
+    top = log.groupBy(key).agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("_m"))
     return top.select(key, *[F.col("_m")[c].alias(c) for c in columns])
 
 
