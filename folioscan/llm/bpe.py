@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -163,7 +164,7 @@ def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text", out_col: str = "to
     sent = docs.sparkSession.sparkContext.broadcast(bpe)  # bounded by the vocabulary
 
     @F.pandas_udf("array<int>")
-    def run(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821, UP037
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield t.map(lambda x: np.array(sent.value.encode(x or ""), dtype=np.int32))
 
@@ -175,7 +176,7 @@ def decode(rows: DataFrame, bpe: Bpe, ids_col: str = "token_ids", out_col: str =
     sent = rows.sparkSession.sparkContext.broadcast(bpe)
 
     @F.pandas_udf("binary")
-    def run(lists: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821, UP037
+    def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in lists:
             yield ids.map(lambda x: b"" if x is None else sent.value.decode(x.tolist()))
 

@@ -100,12 +100,12 @@ class Scanner:
         out, run, index = [], [], self.index
         lines = (text or "").split("\n")
         total: list[str] = []
-        told: set[str] = set()
+        told: dict[str, float] = {}
 
         def close() -> None:
             if len(run) > 1:
                 hit = self.best(frozenset(zip(w := [x for _, ws in run for x in ws], w[1:], strict=False)))
-                if hit and hit[1] not in told:
+                if hit and hit[0] > told.get(hit[1], 0.0):
                     out.append((*hit, run[0][0], run[-1][0] + 1))
             run.clear()
             told.clear()
@@ -121,12 +121,12 @@ class Scanner:
             run.append((i, w))
             hit = self.best(bigrams(w))
             if hit:
-                told.add(hit[1])
+                told[hit[1]] = max(hit[0], told.get(hit[1], 0.0))
                 out.append((*hit, i, i + 1))
         close()
         if len(lines) > 1:
             hit = self.best(bigrams(total))
-            if hit and all(hit[1] != x[1] for x in out):
+            if hit and all(hit[1] != x[1] or hit[0] > x[0] for x in out):
                 out.append((*hit, 0, len(lines)))
         return out
 

@@ -25,22 +25,23 @@ from folioscan.llm.common import materialise, table
 SAMPLE = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Chance that any word enters by accident; least share of toxic documents among those that hold a weak, a strong term.
-ALPHA, PURITY, STRONG, MOST_TERMS, MOST_NEIGHBOURS = 0.2, 0.4, 0.95, 5000, 2
+ALPHA, PURITY, STRONG, MOST_TERMS, MOST_NEIGHBOURS = 0.2, 0.4, 0.97, 5000, 2
 WINDOW, REPORT_WINDOW, MEMO = 8, 4, 200_000
 #: Words of report, fixed.
 REPORT = frozenset("said says say quote quoted quotes called calls word term wrote reported zitat zitiert sagte nannte wort dit cite mot dijo cita palabra llamó".split())
 QUOTES = "\"“”„«»‘’‹›"
-#: Means of the weights of: any term, each further term up to two, any quoted term, any misspelled term, each weak hit up to three; then of the bias.
-PRIOR, PRIOR_BIAS, PRIOR_STRENGTH = np.array([5.0, 0.5, 0.5, 4.0, 1.0]), -2.5, 0.5
 NO_HITS = (0, 0, 0, 0, 0)
+#: What is taken to have been seen before any documents: features, toxic, clean. They tell of kinds of hits that the labels don't show.
+BEFOREHAND = [((1, 0, 0, 0, 0), 4.0, 0.2), ((0, 0, 1, 0, 0), 0.3, 2.0), ((0, 0, 0, 1, 0), 2.0, 0.4), ((0, 0, 0, 0, 1), 0.5, 0.5), (NO_HITS, 0.1, 1.0)]
+RIDGE = 0.02
 
 _TOKEN = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class Lexicon:
-    """Terms as {text: is a stem}; those in `weak` or `literal` allow no edits; tokens in `benign` are no misspellings. Holds
-    the automaton as far as it has been walked."""
+    """Terms as {text: is a stem}; those in `literal` allow no edits, those in `weak` are evidence of their own kind; tokens in
+    `benign` are no misspellings. Holds the automaton as far as it has been walked."""
 
     terms: dict[str, bool]
     weak: frozenset[str] = frozenset()
@@ -72,7 +73,7 @@ class Lexicon:
     def edits(self, term: str) -> int:
         """Edits that a term allows; a stem needs more letters for them."""
         n = len(term)
-        if term in self.weak or term in self.literal:
+        if term in self.literal:
             return 0
         return int(n >= 7) if self.terms[term] else int(n >= 5) + int(n >= 9)
 
@@ -155,18 +156,16 @@ class Lexicon:
         return int(plain > 0), min(2, max(0, plain - 1)), int(quoted > 0), int(misspelled > 0), min(3, weak)
 
 
-def fit_weights(counts: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
-    """Weights and, last, the bias of the logistic model with the greatest posterior, by Newton's method, from (features, toxic, clean)."""
-    mean = np.append(PRIOR, PRIOR_BIAS)
-    if not counts:
-        return mean
-    x = np.array([[*f, 1] for f, _, _ in counts], dtype=float)
-    y, n = np.array([p for _, p, _ in counts], dtype=float), np.array([p + q for _, p, q in counts], dtype=float)
-    w = mean.copy()
-    for _ in range(50):
+def fit_weights(counts: list[tuple[tuple[int, ...], float, float]]) -> np.ndarray:
+    """Weights and, last, the bias of the logistic model of (features, toxic, clean) and BEFOREHAND, by Newton's method."""
+    seen = [*counts, *BEFOREHAND]
+    x = np.array([[*f, 1] for f, _, _ in seen], dtype=float)
+    y, n = np.array([p for _, p, _ in seen], dtype=float), np.array([p + q for _, p, q in seen], dtype=float)
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - n * p) - PRIOR_STRENGTH * (w - mean)
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w)), grad)
+        grad = x.T @ (y - n * p) - RIDGE * w
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), grad)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -200,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from labelled rows outside the held-out fifth, at most `sample` of them, copies of a text counting once.
 
     Rows without label, id or text teach nothing; of several labels of one id, the greatest holds. Without any labelled
-    rows the lexicon is empty and every score is that of the prior."""
+    rows the lexicon is empty and every score is that of BEFOREHAND."""
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_toxic"))
     known = materialise(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "toxic-sample")
@@ -226,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         bar = float(2 * np.log(max(2, stats.count()) / ALPHA))
         return stats.where((F.col("pos") * u > F.col("neg") * t) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= PURITY) & (g2(F.col("pos"), F.col("neg")) >= bar)).orderBy(F.col("pos").desc()).limit(MOST_TERMS)
 
-    pure = lambda r, stem: r["pos"] >= STRONG * (r["pos"] + r["neg"] + stem)  # noqa: E731  a stem takes more words, and more evidence
+    pure = lambda r: r["pos"] >= STRONG * (r["pos"] + r["neg"] + 1)  # noqa: E731  not on few documents
     found = {r["word"]: r for r in stands_out(words).collect() if len(r["word"]) > 2}
     stem_rows = sorted(((len(r["stem"]), r["stem"], r) for r in stands_out(materialise(stems, "toxic-stems")).collect()), key=lambda x: x[:2])
     most = {s: 0 for _, s, _ in stem_rows}
@@ -234,21 +233,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         tops = words.where("pos > 0").select("pos", F.explode(F.transform(F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: n <= F.length("word")), lambda n: F.col("word").substr(F.lit(1), n))).alias("stem"))
         most |= {r["stem"]: r["top"] for r in tops.where(F.col("stem").isin(list(most))).groupBy("stem").agg(F.max("pos").alias("top")).collect()}
     terms: dict[str, bool] = {}
-    weak = set()
+    weak, literal = set(), set()
     covered = lambda x: any(terms.get(x[:n]) and x[:n] not in weak for n in STEM_LENGTHS if n < len(x))
     for _, stem, r in stem_rows:
         if r["pos"] >= 1.5 * most[stem] and not covered(stem):
             terms[stem] = True
-            weak |= set() if pure(r, 1) else {stem}
+            weak |= set() if pure(r) else {stem}
+            literal |= set() if pure(r) else {stem}
     for word, r in found.items():
         if not covered(word) and word not in terms:
             terms[word] = False
-            weak |= set() if pure(r, 0) else {word}
-    near = _mapped(words.where("neg > 0"), Lexicon(terms, frozenset(weak)), "word", "word string, term string", lambda lex, b: pd.DataFrame([(w, m[0]) for w in b["word"] if (m := lex.match(w)) and m[1]], columns=["word", "term"]))
+            weak |= set() if pure(r) else {word}
+            literal |= {word} if r["neg"] else set()
+    near = _mapped(words.where("neg > 0"), Lexicon(terms, frozenset(weak), frozenset(literal)), "word", "word string, term string", lambda lex, b: pd.DataFrame([(w, m[0]) for w in b["word"] if (m := lex.match(w)) and m[1]], columns=["word", "term"]))
     near = materialise(near, "toxic-near")
-    literal = frozenset(r["term"] for r in near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NEIGHBOURS).collect())
+    literal |= {r["term"] for r in near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NEIGHBOURS).collect()}
     benign = near.where(~F.col("term").isin(list(literal)) if literal else F.lit(True)).collect()  # at most MOST_NEIGHBOURS a term
-    lexicon = Lexicon(terms, frozenset(weak), literal, frozenset(r["word"] for r in benign))
+    lexicon = Lexicon(terms, frozenset(weak), frozenset(literal), frozenset(r["word"] for r in benign))
     names = ("f0", "f1", "f2", "f3", "f4")
     seen = _mapped(rows, lexicon, "text", "f0 int, f1 int, f2 int, f3 int, f4 int, toxic int", lambda lex, b: pd.DataFrame(list(map(lex.features, b["text"])), columns=list(names)).assign(toxic=b["toxic"].to_numpy()))
     counts = [(tuple(r[:5]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # at most 96 rows
