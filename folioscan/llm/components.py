@@ -58,7 +58,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         if named is None:
             named = goes
         else:
-            over = goes.withColumnsRenamed({"node": "root", "root": "_next"})
+            over = goes.select(F.col("node").alias("root"), F.col("root").alias("_next"))
             named = materialise(named.join(over, "root", "left").select("node", F.coalesce("_next", "root").alias("root")), "links-named")
         left = edges.join(goes.withColumnsRenamed({"node": "u", "root": "_u"}), "u").join(goes.withColumnsRenamed({"node": "v", "root": "_v"}), "v")
         edges = materialise(_forest(left.select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v")), "links")

@@ -10,7 +10,9 @@ Blocks are the join keys. An empty block says nothing: a set emits its empty blo
 Sets with the same digest are one node from the start. A key's nodes, sorted, pass by in one stream: each is a
 candidate partner of the first and of the one before. Sizes and a 64-bit parity sketch drop candidates without loss, and
 texts of the rest are compared exactly. A key with more than three nodes has pairs that were not candidates; where its
-nodes are not in one component by then, and only for nodes that share enough such keys, those pairs follow (`rest`).
+nodes are not in one component by then, and only for nodes that share enough such keys, those pairs follow (`rest`): the
+nodes of such keys with one first node are dealt over blocks, and each two blocks meet in a task that multiplies their
+incidence matrices. It gives a spanning forest of the links, so no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from folioscan.llm.components import components
 WORDS, NUM, DEN = 5, 80, 100
 #: Slots of the filter that thins documents out before their texts are fetched; it bounds what is broadcast.
 SLOTS, MEMO, PARITY_SIZE, ROWS = 1 << 20, 300_000, 512, 100_000
+#: Nodes in a block, two of which meet in a task, and columns of the matrices that are multiplied at once.
+CELL, COLUMNS = 256, 8192
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=_U)
@@ -230,65 +234,134 @@ def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
     return sketched.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, info long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are as similar as asked, from the texts of one document for each node."""
-    one = nodes.select("node", F.col("least").alias("_doc"))
-    asked = pairs.join(one.withColumnsRenamed({"node": "a", "_doc": "_da"}), "a").join(one.withColumnsRenamed({"node": "b", "_doc": "_db"}), "b")
-    asked = materialise(asked, "join-asked")
-    ids = asked.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("_da").alias("_doc")), F.struct(F.col("b").alias("node"), F.col("_db").alias("_doc")))).alias("x")).select("x.*").distinct()
-    ids = materialise(ids, "join-ids")
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, _text) of rows (node, _doc); documents that can't be meant are passed over before the shuffle."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = ids.select(slot("_doc").alias("_slot")).distinct()  # at most SLOTS rows
     thin = docs.withColumn("_slot", slot("_id")).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
-    texts = thin.join(ids, F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "_text")
-    sides = asked.select("a", "b").join(texts.withColumnsRenamed({"node": "a", "_text": "_ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "_text": "_tb"}), "b")
+    return thin.join(ids, F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "_text")
+
+
+class _Sets:
+    """Sets of nodes, by text; none for a text that isn't the node's, that of another row with the same id."""
+
+    def __init__(self, words: int):
+        self.shingles, self.last = Shingles(words), {}
+
+    def of(self, node: int, text: str | None) -> np.ndarray | None:
+        if node not in self.last or self.last[node][0] != text:
+            s = self.shingles.of(text)
+            if digest(s)[0] != node:
+                return None
+            if len(self.last) > 64:
+                self.last.clear()
+            self.last[node] = text, s
+        return self.last[node][1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        last: dict[int, tuple[str, np.ndarray]] = {}
-
-        def set_of(node: int, text: str | None) -> np.ndarray | None:
-            if node not in last or last[node][0] != text:
-                s = shingles.of(text)
-                if digest(s)[0] != node:
-                    return None  # another row with the same id
-                if len(last) > 64:
-                    last.clear()
-                last[node] = text, s
-            return last[node][1]
 
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["u", "v"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets are as similar as asked, from the texts of one document for each node."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = materialise(ends.join(nodes.select("node", F.col("least").alias("_doc")), "node"), "join-ids")
+    texts = _texts(ids, docs)
+    sides = pairs.join(texts.withColumnsRenamed({"node": "a", "_text": "_ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "_text": "_tb"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(words)
         for b in _batches(batches, 512):
-            rows = b.to_pydict()
-            good = []
+            rows, good = b.to_pydict(), []
             for a, c, ta, tb in zip(rows["a"], rows["b"], rows["_ta"], rows["_tb"], strict=True):
-                x, y = set_of(a, ta), set_of(c, tb)
+                x, y = sets.of(a, ta), sets.of(c, tb)
                 if x is None or y is None:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if den * both >= num * (len(x) + len(y) - both):
                     good.append((a, c))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([x for _, x in good], pa.int64())], names=["u", "v"])
+            yield _links(good)
 
     return sides.select("a", "b", "_ta", "_tb").mapInArrow(run, "u long, v long")
 
 
-def rest(large: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share keys of more than three nodes and were no candidates, as far as they can still matter.
+def linked(sets: list[np.ndarray], groups: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Positions of sets that link and, together with groups that are joined already, leave no link out: a spanning forest."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    row, item = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, column, times = np.unique(item, return_inverse=True, return_counts=True)
+    again = times[column] > 1
+    row, column = row[again], (np.cumsum(times > 1) - 1)[column[again]]
+    order = np.argsort(column, kind="stable")
+    row, column, both = row[order], column[order], np.zeros((n, n), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - start)), dtype=np.float32)
+        part[row[low:high], column[low:high] - start] = 1
+        both += part @ part.T
+    common = both.astype(np.int64)
+    near = np.argwhere(np.triu(den * common >= num * (size[:, None] + size[None, :] - common), 1))
+    up = {g: g for g in groups}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for i, j in near.tolist():
+        a, b = find(groups[i]), find(groups[j])
+        if a != b:
+            up[a] = b
+            out.append((i, j))
+    return out
+
+
+def rest(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pivot, node, root): nodes of keys with more than three nodes, as far as links between them may have been passed over.
 
     `large` has (key, node, info). A key whose nodes are in one component needs nothing. Partners share at least `need`
     keys in a band, and any key of theirs with three nodes or fewer has made them candidates: so both have at least
-    `need` keys that are left, and share as many."""
+    `need` keys that are left. Keys go together by their first node, the pivot."""
     rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", 1) % (1 << 23)).alias("need"))
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = materialise(rows, "join-large")
-    for step in range(2):  # what is left shrinks when nodes drop out
-        open_ = rows.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("_k")
-        rows = rows.join(open_, F.col("key") == F.col("_k"), "left_semi")
-        enough = rows.groupBy(F.col("node").alias("_n"), F.col("next").alias("_x")).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("m")).where("c >= m").select("_n", "_x")
-        rows = materialise(rows.join(enough, (F.col("node") == F.col("_n")) & (F.col("next") == F.col("_x")), "left_semi"), f"join-large-{step}")
-    left, right = rows.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("need").alias("na")), rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("need").alias("nb"))
-    pairs = left.join(right, "key").where("a < b AND ra <> rb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m")).where("c >= m").select("a", "b")
-    return pairs.join(done, ["a", "b"], "left_anti")
+    rows = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-large")
+    open_ = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("node").alias("pivot")).where("_lo <> _hi").select("_k", "pivot")
+    rows = rows.join(open_(rows).drop("pivot"), F.col("key") == F.col("_k"), "left_semi")
+    enough = rows.groupBy(F.col("node").alias("_n"), F.col("next").alias("_x")).agg(F.count(F.lit(1)).alias("_c"), F.max("need").alias("_m")).where("_c >= _m")
+    rows = materialise(rows.join(enough, (F.col("node") == F.col("_n")) & (F.col("next") == F.col("_x")), "left_semi"), "join-open")
+    return rows.join(open_(rows), F.col("key") == F.col("_k")).select("pivot", "node", "root").distinct()
+
+
+def solved(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) among the members of each pivot: every two blocks of a pivot's members meet in one task."""
+    sizes = members.groupBy(F.col("pivot").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_blocks"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("_p", "_blocks")
+    placed = members.join(sizes, F.col("pivot") == F.col("_p")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    placed = placed.select("pivot", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "root")
+    ids = materialise(members.join(sizes, F.col("pivot") == F.col("_p"), "left_semi").select("node").distinct().join(nodes.select("node", F.col("least").alias("_doc")), "node"), "join-more-ids")
+    cells = placed.join(_texts(ids, docs), "node").select("pivot", "i", "j", "node", "root", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, cell, held = _Sets(words), None, {}
+
+        def solve() -> pa.RecordBatch:
+            names = list(held)
+            return _links([(names[i], names[j]) for i, j in linked([held[x][0] for x in names], [held[x][1] for x in names], num, den)] if len(names) > 1 else [])
+
+        for b in _batches(batches, 256):
+            c = b.to_pydict()
+            for pivot, i, j, node, root, text in zip(c["pivot"], c["i"], c["j"], c["node"], c["root"], c["_text"], strict=True):
+                if cell != (pivot, i, j):
+                    yield solve()
+                    cell, held = (pivot, i, j), {}
+                s = read.of(node, text)
+                if s is not None:
+                    held[node] = s, root
+        yield solve()
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node").mapInArrow(run, "u long, v long")
 
 
 def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -306,11 +379,10 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     pairs = materialise(found.where("kind = 0").select("a", "b").distinct(), "join-pairs")
     links = materialise(verified(pairs, nodes, rows, words, num, den), "join-links")
     roots = components(links)
-    more = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), roots, pairs), "join-rest")
-    if more.take(1):
-        links = verified(more, nodes, rows, words, num, den)
-        if links.take(1):
-            roots = components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    more = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), roots), "join-rest")
+    links = materialise(solved(more, nodes, rows, words, num, den), "join-more-links")
+    if links.take(1):
+        roots = components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("_component"))
     named = materialise(named.select("node", "root").join(least, "root").select(F.col("node").alias("_node"), "_component"), "join-named")
