@@ -25,7 +25,7 @@ from folioscan.llm.common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered pre-tokens (and pairs) of a worker, and the longest one.
 MEMO, MEMO_CHARS = 300_000, 48
-_HEAP_ENTRY_KEYS = 4
+KEYS_A_BUCKET = 4
 
 
 class PerfectHash:
@@ -35,7 +35,7 @@ class PerfectHash:
     key holds -slot - 1 instead. `ids` has the key's number at its slot."""
 
     def __init__(self, keys: list[bytes]):
-        self.n, self.buckets = len(keys), max(1, len(keys) // _HEAP_ENTRY_KEYS)
+        self.n, self.buckets = len(keys), max(1, len(keys) // KEYS_A_BUCKET)
         held: list[list[tuple[int, int, int]]] = [[] for _ in range(self.buckets)]
         for i, key in enumerate(keys):
             bucket, a, b = self._hash(key)

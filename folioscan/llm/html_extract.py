@@ -1,9 +1,9 @@
 """Main text of web pages as the maximum-scoring subsequence of words and tags.
 
-Labelled pages teach a log-odds for every feature of the place that a word stands in: the tags and the class and id names
-of the elements around it. A word scores the sum of those of the elements around it, at most one unit either way; a tag
-costs what tags cost in the labelled pages. One linear scan finds the contiguous region of the highest sum. Words of the
-region that score below zero, in a menu inside an article for instance, are left out.
+Labelled pages teach a log-odds for every feature of the place that a word stands in: the sectioning tags and the class
+and id names of the elements around it. A word scores by the nearest element with evidence, or an aside around that, at
+most one unit either way; a tag costs what tags cost in the labelled pages. One linear scan finds the contiguous region of
+the highest sum. Words of the region that score below zero, in a menu inside an article for instance, are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Tags that tell by themselves what their text is. Fixed values.
+SECTIONS = frozenset("article main nav aside header footer form menu dialog fieldset label".split())
 #: What an element of the key closes when it begins, up to the nearest element of the set. Fixed values.
 CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 _P_ENDS = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -38,18 +40,18 @@ _NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|data-main|aria-hidden)\b(
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _features(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
-    """Features of an element, and whether it is labelled as main."""
-    found, main = [f"<{tag}"], False
+def _features(tag: str, attributes: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
+    """Features of an element, those of one name together, and whether it is labelled as main."""
+    found, main = [(f"<{tag}",)] if tag in SECTIONS else [], False
     if attributes and not attributes.isspace():
         for name, a, b, c in _NAMES.findall(attributes):
             value = a or b or c
             if name.lower() == "data-main":
                 main = True
             elif name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
-                found.append("hidden")
+                found.append(("<hidden",))
             elif name.lower() in ("class", "id"):
-                found += [x.lower() for x in _PART.findall(value)]
+                found += [tuple(x.lower() for x in _PART.findall(one)) for one in value.split()]
     return tuple(found), main
 
 
@@ -58,15 +60,17 @@ class _Place:
 
     __slots__ = ("dropped", "inner", "main", "score", "tag", "trail")
 
-    def __init__(self, tag: str, features: tuple[str, ...], main: bool, around: "_Place | None", weights: dict[str, float] | None):  # noqa: UP037
+    def __init__(self, tag: str, features: tuple[tuple[str, ...], ...], main: bool, around: "_Place | None", weights: dict[str, float] | None):  # noqa: UP037
         self.tag, self.main = tag, main or bool(around and around.main)
         self.dropped = tag in DROPPED or bool(around and around.dropped)
-        self.trail = (around.trail if around else ()) + features if weights is None else ()
+        self.trail = (around.trail if around else ()) + tuple(f for name in features for f in name) if weights is None else ()
         self.inner = tag in ("article", "main") or bool(around and around.inner)
         own = 0.0
         if weights is not None:
-            evidence = [weights[f] for f in features if f in weights]
-            own = min(evidence) if evidence and min(evidence) < 0 else max(evidence, default=0.0)
+            scored = [(name[0].startswith("<"), min(e) if min(e) < 0 else max(e)) for name in features if (e := [weights[f] for f in name if f in weights])]
+            asides, by_name = [e for is_tag, e in scored if is_tag and e < 0], [e for is_tag, e in scored if not is_tag]
+            # a nav is one by any name; "post with-sidebar" is no sidebar, but "comment-body" is a comment's
+            own = min(asides) if asides else max(by_name or [e for _, e in scored], default=0.0)
             if tag == "header" and around and around.inner:
                 own = 0.0  # of the article, not of the page
         before = around.score if around else 0.0

@@ -30,10 +30,10 @@ def labelled_pages() -> list[str]:
         main = MAIN_NAMES[i % len(MAIN_NAMES)]
         tag = ("article", "main", "div", "section")[i % 4]
         pages.append(
-            f'<html><head><title>{_text(6)}</title><style>p {{}}</style><script>var x = 1;</script></head><body><nav><ul><li><a href="/">{_text(2)}</a></li><li><a href="/b">{_text(1)}</a></li></ul></nav>'
+            f'<html><head><title>{_text(6)}</title><style>p {{}}</style><script>var x = 1;</script></head><body><header><p>{_text(5)}</p></header><menu><li>{_text(2)}</li></menu><dialog>{_text(4)}</dialog><nav><ul><li><a href="/">{_text(2)}</a></li><li><a href="/b">{_text(1)}</a></li></ul></nav>'
             f'<div class="{name}">{_text(9)}</div><{tag} class="{main}" data-main><h1>{_text(6)}</h1><p>{_text(40)} <a href="/c">{_text(3)}</a> {_text(20)}</p><h2>{_text(4)}</h2><p>{_text(50)}</p>'
             f"<ul><li>{_text(12)}</li><li>{_text(9)}</li></ul><blockquote>{_text(15)}</blockquote><table><tr><td>{_text(3)}</td></tr></table><pre>{_text(8)}</pre></{tag}>"
-            f"<aside><h3>{_text(2)}</h3><p>{_text(12)}</p></aside><section id='{name}'><p>{_text(14)}</p></section><form><label>{_text(2)}</label><button>{_text(1)}</button></form>"
+            f"<aside><h3>{_text(2)}</h3><p>{_text(12)}</p></aside><section id='{name}'><p>{_text(14)}</p></section><form><fieldset>{_text(2)}</fieldset><label>{_text(2)}</label><p hidden>{_text(3)}</p><button>{_text(1)}</button></form>"
             f"<footer><p>{_text(10)}</p></footer></body></html>"
         )
     return pages

@@ -319,6 +319,20 @@ def test_main_text(tag):
     assert html_extract.main_text(page) == "The title & more\nFirst boldword with spaces <tag> éé.\nSecond para graph.\none item\ntwo items"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h3>Sub</h3><p>see <a href=x>the link</a> here</p><dl><dt>t</dt><dd>d</dd></dl></article>", "Sub\nsee the link here\nt\nd"),
+        ('<div class="content has-sidebar"><p>Words of the body.</p></div><div class="sidebar">side</div>', "Words of the body."),
+        ('<article class="post with-sidebar"><p hidden>no</p><p>yes</p></article>', "yes"),
+        ('<article><header><h1>Head</h1></header><p>x y</p><article class="comment-body"><p>z</p></article><footer>in cats</footer></article>', "Head\nx y"),
+        ('<body class=home><header class="site-header">Site</header><div class="entry-content"><p>Text one.</p></div><div id="comments"><p>Nice text, thanks.</p></div></body>', "Text one."),
+    ],
+)
+def test_main_text_by_names(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [None, "", "   ", "<nav><a>Home</a></nav><footer>foot</footer>", "<article><p>cut off in the midd", "<article><p>cut in a tag <a hre", "<article>" + "<p>para of text</p>" * 3000 + "</article>", "<article>" + "<div>" * 3000 + "deep text", "<p>a < b and <3</p>" * 2]
     df = spark.createDataFrame([(i, "u", p, "text", 1) for i, p in enumerate(pages)], "page_id long, url string, html string, block string, n_chars long")
