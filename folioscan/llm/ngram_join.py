@@ -8,11 +8,12 @@ so the number of unequal blocks never exceeds the difference, and partners share
 Blocks are the join keys. An empty block says nothing: a set emits its empty blocks only if it has m - k of them or more.
 
 Sets with the same digest are one node from the start. A key's nodes, sorted, pass by in one stream: each is a
-candidate partner of the first and of the one before. Sizes and a 64-bit parity sketch drop candidates without loss, and
-texts of the rest are compared exactly. A key with more than three nodes has pairs that were not candidates; where its
-nodes are not in one component by then, and only for nodes that share enough such keys, those pairs follow (`rest`): the
-nodes of such keys with one first node are dealt over blocks, and each two blocks meet in a task that multiplies their
-incidence matrices. It gives a spanning forest of the links, so no list of pairs is ever made.
+candidate partner of the first and of the one before. Sizes, a 64-bit parity sketch and the number of keys in which a
+pair met drop candidates without loss. The others make families, their components. A family's nodes are dealt over
+blocks, and each two blocks meet in a task that multiplies their incidence matrices, so links are told exactly, each text
+moves once for every 256 relatives, and what comes out is a spanning forest of the links. A key with more
+than three nodes has pairs that were not candidates; where its nodes are not in one component by then, and only for nodes
+that share enough such keys, the nodes of such keys with one first node are solved in the same way (`rest`).
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from folioscan.llm.components import components
 WORDS, NUM, DEN = 5, 80, 100
 #: Slots of the filter that thins documents out before their texts are fetched; it bounds what is broadcast.
 SLOTS, MEMO, PARITY_SIZE, ROWS = 1 << 20, 300_000, 512, 100_000
+#: Bits of a key. Two blocks that share a key by chance cost a candidate; fewer bits take less of the shuffle.
+KEY_BITS = 48
 #: Nodes in a block, two of which meet in a task, and columns of the matrices that are multiplied at once.
 CELL, COLUMNS = 256, 8192
 
@@ -123,7 +126,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
             gone = np.setdiff1d(np.arange(m), full)
             full, value, need = np.append(full, gone), np.append(value, np.zeros(len(gone), dtype=_U)), 1
         keys = _mix(_mix(value + _FACTORS[2]) ^ (full.astype(_U) * _FACTORS[4] + _U(band * int(_FACTORS[7]) & 0xFFFFFFFFFFFFFFFF)))
-        out.append((keys.view(np.int64), need))
+        out.append(((keys >> _U(64 - KEY_BITS)).view(np.int64), need))
     return out
 
 
@@ -189,7 +192,9 @@ def _plausible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
 
 
 def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
-    """(kind, a, b, info): kind 0 for candidate pairs a < b, kind 1 for a node b of a key a that has more than three nodes."""
+    """(kind, a, b, info, n): kind 0 for candidate pairs a < b that met in n keys of a task's batch, info being the keys that
+    partners share at least and, in its last two bits, whether the band is a's next and b's next; kind 1 for a node b of a
+    key a that has more than three nodes, with its info."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "node", "parity", "info")
@@ -217,29 +222,49 @@ def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
             pairs = np.concatenate([np.stack([first[here], here]), np.stack([here - 1, here])[:, place[here] > 1]], axis=1)
             n, p = c["info"] >> 24, c["parity"].view(_U)
             pairs = pairs[:, _plausible(n[pairs[0]], n[pairs[1]], p[pairs[0]], p[pairs[1]], num, den)]
-            ab = np.unique(np.sort(np.stack([node[pairs[0]], node[pairs[1]]]), axis=0), axis=1)
+            a, b = np.where(node[pairs[0]] < node[pairs[1]], pairs, pairs[::-1])
+            need, after = c["info"] >> 1 & (1 << 23) - 1, c["info"] & 1
+            ab, met = np.unique(np.stack([node[a], node[b], np.maximum(need[a], need[b]) << 2 | after[a] << 1 | after[b]]), axis=1, return_counts=True)
             # a fourth node makes a key large: it and the three before, which are all here, are told of
             late = np.flatnonzero(fresh & (place >= 3))
             fourth = late[place[late] == 3]
             told = np.concatenate([late, fourth - 1, fourth - 2, first[fourth]])
             if ab.shape[1] + len(told):
                 kind = np.repeat(np.array([0, 1], dtype=np.int32), [ab.shape[1], len(told)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(ab[0], key[told])), pa.array(np.append(ab[1], node[told])), pa.array(np.append(np.zeros(ab.shape[1], dtype=np.int64), c["info"][told]))], names=["kind", "a", "b", "info"])
+                columns = (kind, np.append(ab[0], key[told]), np.append(ab[1], node[told]), np.append(ab[2], c["info"][told]), np.append(met, np.ones(len(told), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "info", "n"])
             start = first[-1]
             keep = np.unique([start, *range(max(start, total - 2), total)])
             length = int(place[-1]) + 1
             carry = {x: v[keep] for x, v in c.items()}
 
     parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sketched.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, info long")
+    return sketched.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, info long, n long")
+
+
+def met_enough(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of candidates that may share as many keys as partners do. Keys of three nodes or fewer count every pair;
+    of larger ones a pair shares at most as many as either node has."""
+    pairs = found.where("kind = 0").groupBy("a", "b", (F.col("info") % 4).alias("_f")).agg(F.sum("n").alias("_met"), F.max(F.shiftright("info", 2)).alias("_need"))
+    large = found.where("kind = 1").groupBy(F.col("b").alias("_node"), (F.col("info") % 2).alias("_next")).agg(F.count(F.lit(1)).alias("_large"))
+    sure, open_ = pairs.where("_met >= _need"), pairs.where("_met < _need")
+    for end, flag in (("a", F.floor(F.col("_f") / 2)), ("b", F.col("_f") % 2)):
+        side = large.select(F.col("_node").alias(f"_{end}"), F.col("_next").alias(f"_x{end}"), F.col("_large").alias(f"_l{end}"))
+        open_ = open_.join(side, (F.col(end) == F.col(f"_{end}")) & (flag == F.col(f"_x{end}")))
+    open_ = open_.where(F.col("_met") + F.least("_la", "_lb") >= F.col("_need"))
+    return sure.select("a", "b").union(open_.select("a", "b")).distinct()
+
+
+def _in_slots(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose ids fall into a slot of those of ids (left_semi), or into none (left_anti): a filter without a shuffle."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = ids.select(slot(ids.columns[0]).alias("_slot")).distinct()  # at most SLOTS rows
+    return docs.withColumn("_s", slot(id_col)).join(F.broadcast(slots), F.col("_s") == F.col("_slot"), how).drop("_s")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, _text) of rows (node, _doc); documents that can't be meant are passed over before the shuffle."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = ids.select(slot("_doc").alias("_slot")).distinct()  # at most SLOTS rows
-    thin = docs.withColumn("_slot", slot("_id")).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
-    return thin.join(ids, F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "_text")
+    return _in_slots(docs, "_id", ids.select("_doc"), "left_semi").join(ids, F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "_text")
 
 
 class _Sets:
@@ -263,29 +288,6 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["u", "v"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are as similar as asked, from the texts of one document for each node."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = materialise(ends.join(nodes.select("node", F.col("least").alias("_doc")), "node"), "join-ids")
-    texts = _texts(ids, docs)
-    sides = pairs.join(texts.withColumnsRenamed({"node": "a", "_text": "_ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "_text": "_tb"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _Sets(words)
-        for b in _batches(batches, 512):
-            rows, good = b.to_pydict(), []
-            for a, c, ta, tb in zip(rows["a"], rows["b"], rows["_ta"], rows["_tb"], strict=True):
-                x, y = sets.of(a, ta), sets.of(c, tb)
-                if x is None or y is None:
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    good.append((a, c))
-            yield _links(good)
-
-    return sides.select("a", "b", "_ta", "_tb").mapInArrow(run, "u long, v long")
-
-
 def linked(sets: list[np.ndarray], groups: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Positions of sets that link and, together with groups that are joined already, leave no link out: a spanning forest."""
     n, size = len(sets), np.array([len(s) for s in sets])
@@ -376,8 +378,9 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     agree = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two sets have one digest")).cast("long")).otherwise(F.lit(0).cast("long"))
     nodes = materialise(known.where("n > 0").groupBy("node").agg(F.min("_id").alias("least"), agree.alias("agree")), "join-nodes")
     found = materialise(candidates(sketches(rows, words, num, den), num, den), "join-candidates")
-    pairs = materialise(found.where("kind = 0").select("a", "b").distinct(), "join-pairs")
-    links = materialise(verified(pairs, nodes, rows, words, num, den), "join-links")
+    pairs = materialise(met_enough(found), "join-pairs")
+    families = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("root").alias("pivot"), "node", F.col("node").alias("root"))
+    links = materialise(solved(families, nodes, rows, words, num, den), "join-links")
     roots = components(links)
     more = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), roots), "join-rest")
     links = materialise(solved(more, nodes, rows, words, num, den), "join-more-links")
@@ -392,8 +395,12 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the smallest id, and every row without words."""
-    stay = join_near(docs, id_col, text_col, **how).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    own = F.col("component_id").eqNullSafe(F.col(id_col))
+    gone = join_near(docs, id_col, text_col, **how).groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or(own).alias("_stays")).where("NOT _stays").select("_gone")
+    gone = materialise(gone, "join-gone")
+    # most documents share no slot with one that goes, and aren't shuffled
+    rest_, thin = _in_slots(docs, id_col, gone, "left_anti"), _in_slots(docs, id_col, gone, "left_semi")
+    return rest_.unionByName(thin.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
