@@ -115,7 +115,9 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
     """(keys, need) for the set's own band and the next: need is how many of its keys a partner there shares at least."""
     own, out = band_of(len(s), num, den), []
     for band in (own, own + 1) if len(s) * den // num > _bands(num, den)[own][1] else (own,):
-        k, m = blocks_of(band, num, den)
+        _, m = blocks_of(band, num, den)
+        # this set's own differences, not the band's: its partners are no larger than its size and the band allow
+        k = (len(s) + min(_bands(num, den)[band][1], len(s) * den // num)) * (den - num) // (den + num)
         block = (_mix(s ^ _FACTORS[6]) % _U(m)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         full, at = np.unique(block[order], return_index=True)

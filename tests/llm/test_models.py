@@ -285,6 +285,8 @@ def test_partners_share_enough_keys(common, left, right):
     ka, kb = keys(a), keys(b)
     shared = ka.keys() & kb.keys()
     assert shared and len(shared) >= min(min(ka[x], kb[x]) for x in shared)
+    by_band = [len(np.intersect1d(k, l)) >= max(x, y) for k, x in ngram_join.signatures(a, 85, 100) for l, y in ngram_join.signatures(b, 85, 100)]
+    assert any(by_band)
     assert ngram_join._plausible(np.array([len(a)]), np.array([len(b)]), np.array([ngram_join.parity(a)], dtype=np.uint64), np.array([ngram_join.parity(b)], dtype=np.uint64), 85, 100)[0]
 
 
