@@ -70,11 +70,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     s = source_targets(sizes, share, most, weights)
     passes = F.when(F.col("target") >= most * F.col("source_size"), F.lit(most)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     s = s.withColumn("passes", F.coalesce(passes, F.lit(0).cast("long"))).withColumn("_words", F.greatest(F.round("target").cast("long") - F.col("passes") * F.col("source_size"), F.lit(0)))
-    s = s.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy("_all")) / block).cast("long"))
-    s = sainte_lague(s, "_all", "rank", "target", "_seats")
-    s = s.withColumn("_blocks", F.greatest(F.col("quota") - F.round(F.col("passes") * F.col("source_size") / block).cast("long"), F.lit(0)))
+    # sources at their bound are met by full passes and what the bound leaves; blocks are dealt among the others
+    s = s.withColumn("_room", F.floor(most * F.col("source_size")).cast("long") - F.col("passes") * F.col("source_size"))
+    s = s.withColumn("_bids", F.when(F.col("target") >= most * F.col("source_size"), F.lit(0.0)).otherwise(F.col("target")))
+    s = s.withColumn("_seats", F.round(F.sum("_bids").over(Window.partitionBy("_all")) / block).cast("long"))
+    s = sainte_lague(s, "_all", "rank", "_bids", "_seats")
+    blocks = F.greatest(F.col("quota") - F.round(F.col("passes") * F.col("source_size") / block).cast("long"), F.lit(0))
+    s = s.withColumn("_blocks", F.least(F.when(F.col("_bids") > 0, blocks).otherwise(F.round(F.col("_words") / block).cast("long")), F.floor(F.col("_room") / block)))
     s = s.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("source_docs") / SHARD_DOCS)).cast("long"))
-    s = materialise(s.drop("_all", "quota", "_seats", "weight", "source_docs"), "mix-sources").withColumnRenamed("source", "_source")
+    s = materialise(s.drop("_all", "quota", "_seats", "_bids", "_room", "weight", "source_docs"), "mix-sources").withColumnRenamed("source", "_source")
 
     here = Window.partitionBy("rank", "_shard")
     dealt = sizes.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.col("_shards")))

@@ -182,6 +182,20 @@ def test_mix_meets_targets(spark, monkeypatch, shard_docs):
     assert shard_docs < 100 or again == sorted((r["doc_id"], r["size"], r["taken"]) for r in rows)
 
 
+def test_mix_of_a_capped_source_in_several_shards(spark, monkeypatch):
+    """a's target is twice its size, which leaves no word to draw, though its share of the blocks rounds up."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 20)
+    texts = ["w " * (17 if i < 3 else 16) for i in range(60)] * 2
+    docs = documents(spark, texts, sources=["a"] * 60 + ["b"] * 60)
+    rows = mixing.mix(docs, block=16).collect()
+    for r in rows:
+        assert r["target"] == pytest.approx(1926 if r["source"] == "a" else 963)
+        assert r["taken"] == 2 * r["size"] if r["source"] == "a" else r["taken"] <= 2 * r["size"]
+    assert sum(r["taken"] for r in rows if r["source"] == "b") == pytest.approx(963, abs=16)
+    again = mixing.mix(docs.repartition(3), block=16).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in rows)
+
+
 def test_draw_gives_the_words_that_are_taken(spark):
     docs = mixed(spark)
     out = mixing.draw(docs, block=16)
