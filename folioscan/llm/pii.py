@@ -129,11 +129,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every base kind's spans exchanged for [kind], whatever their context; other columns stay."""
+    """docs with the confirmed spans of every kind exchanged for [kind], whatever their context; other columns stay.
+
+    Spans that overlap are exchanged together, for the kind of the one that starts first (of those, of the longest).
+    Refused candidates, texts without spans and null stay as they are. id_col is not used."""
     text = F.col(text_col)
-    for kind, pattern in (("email", _EMAIL), ("phone", _PHONE), ("ip", _IP)):
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
-    return docs.withColumn(text_col, text)
+    plain = F.translate(text, _OPEN + _CLOSE, "\x03\x03")  # as find_pii reads it; offsets are the same
+    of_kind = lambda kind: F.transform(_found(plain, kind), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind).alias("kind")))
+    found = F.concat(*map(of_kind, KINDS + OWN_KINDS))
+    fold = F.aggregate(
+        F.array_sort(found),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], -s["back"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))).alias("parts"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text))),
+    )
+    return docs.withColumn(text_col, F.when(F.regexp_like(text, F.lit("[0-9@]")), fold).otherwise(text))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,32 @@ def test_iban_and_context(spark):
     assert rows[2][0]["score"] > rows[3][0]["score"]
 
 
+def test_mask_takes_confirmed_spans_of_every_kind(spark):
+    texts = {
+        "my card 4111 1111 1111 1111, iban DE89 3704 0044 0532 0130 00 ok": "my card [card], iban [iban] ok",
+        "999.999.999.999 +1 23 4111 1111 1111 1112 DE88 3704 0044 0532 0130 00": None,
+        "\x01 é 😀 a@b.cd \x02 1.2.3.4, +49 89 1234 5678": "\x01 é 😀 [email] \x02 [ip], [phone]",
+        "+4111111111111111@a.bc.": "[email].",
+        "": None,
+        "a@b.cx@y.de": "[email]@y.de",
+    }
+    docs = documents(spark, [*texts, None])
+    out = pii.mask_pii(docs)
+    assert out.columns == docs.columns
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == [*(t if w is None else w for t, w in texts.items()), None]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet="a@.0123456789 -+()_é\x01", max_size=60), min_size=40, max_size=40))
+def test_mask_leaves_what_is_outside_of_spans(spark, texts):
+    rows = {r["doc_id"]: r["text"] for r in pii.mask_pii(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans, want, at = sorted((a, -b, k) for k, a, b in brute_pii(t)), "", 0
+        for a, b, k in spans:
+            want, at = (want if a < at else want + t[at:a] + f"[{k}]"), max(at, -b)
+        assert rows[i] == want + t[at:]
+
+
 def brute_targets(sizes):
     """Caps the sources over their bound and reshares, again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s))
