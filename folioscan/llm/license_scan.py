@@ -1,17 +1,20 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A text's segments are its lines, the runs of lines that hold any template's bigram (blank lines don't part them), and
-the whole. With b bigrams in a template and threshold t, a segment of a bigrams can only reach t if
-t / (2 - t) <= a / b <= (2 - t) / t: templates out of these bounds are never compared.
+A text's segments are its lines, the whole, and for each template the windows of words that begin and end with one of its
+bigrams, wherever lines end. With b bigrams in a template and threshold t, a segment of a bigrams can only reach t if
+t / (2 - t) <= a / b <= (2 - t) / t: templates out of these bounds are never compared. So many of a template's bigrams must
+also be in the text, and as close together as the longest window, before any window is counted.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +23,14 @@ from folioscan.llm.common import table
 
 THRESHOLD = 0.8
 
+#: Between the licences that share a text.
+_OR = " OR "
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
 #: Notices by which texts name their licence, and short licences. Fixed values, public texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -30,7 +41,10 @@ TEMPLATES = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    (f"BSD-2-Clause{_OR}BSD-3-Clause", _BSD),
+    (f"BSD-2-Clause{_OR}BSD-3-Clause", f"{_BSD} {_BSD_SOURCE} {_BSD_BINARY}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_END}"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
@@ -82,6 +96,10 @@ class Scanner:
                 found[g].append(i)
         return dict(found)
 
+    @cached_property
+    def lengths(self) -> list[int]:
+        return [len(words(text)) - 1 for _, text in self.templates]
+
     def best(self, segment: Bigrams) -> tuple[float, str] | None:
         """(Dice, licence) of the most similar template at or over the threshold; of equals the first name."""
         shared: Counter[int] = Counter()
@@ -95,40 +113,75 @@ class Scanner:
                 found = one if found is None else min(found, one)
         return found and (-found[0], found[1])
 
+    def windows(self, w: list[str]) -> list[tuple[float, str, int, int]]:
+        """(Dice, licence, first word, end word) of the most similar windows of words.
+
+        From each bigram of a template the window that is most like it counts, up to (2 - t) / t times as long as the
+        template. Better ones go first (of equals the longer); a window of which half lies in those before it is left out."""
+        pairs, index, t = list(zip(w, w[1:], strict=False)), self.index, self.threshold
+        distinct: Counter[int] = Counter()
+        for g in index.keys() & set(pairs):
+            distinct.update(index[g])
+        least = {i: ceil(t * len(self.known[i][1]) / (2 - t) - 1e-9) for i in distinct}
+        held: dict[int, list[int]] = {i: [] for i, n in distinct.items() if n >= least[i]}
+        if not held:
+            return []
+        for at, g in enumerate(pairs):
+            for i in index.get(g, ()):
+                if i in held:
+                    held[i].append(at)
+        found = []
+        for i, hits in held.items():
+            name, b = self.known[i][0], len(self.known[i][1])
+            longest = int((2 - t) / t * self.lengths[i] + 1e-9)
+            for k in range(len(hits) - least[i] + 1):
+                start = last = hits[k]
+                if hits[k + least[i] - 1] - start >= longest:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                shared, best, end = 0, 0.0, start
+                for j in range(k, len(hits)):
+                    at = hits[j]
+                    seen.update(pairs[last:at])
+                    if at - start >= longest or t * len(seen) > (2 - t) * b:
+                        break
+                    shared += pairs[at] not in seen
+                    seen.add(pairs[at])
+                    last = at + 1
+                    if 2 * shared >= t * (len(seen) + b) and 2 * shared / (len(seen) + b) > best:
+                        best, end = 2 * shared / (len(seen) + b), at + 2
+                if best:
+                    found.append((-best, start - end, name, start))
+        out, taken = [], bytearray(len(w))
+        for best, size, name, start in sorted(found):
+            if 2 * taken.count(1, start, start - size) < -size:
+                taken[start : start - size] = b"\x01" * -size
+                out.append((-best, name, start, start - size))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[float, str, int, int]]:
-        """(Dice, licence, first line, end line) of each segment that matches; a run that says no more than its lines do is left out."""
-        out, run, index = [], [], self.index
+        """(Dice, licence, first line, end line) of each segment that matches; one that says no more than its lines do is left out."""
+        out, index = [], self.index
         lines = (text or "").split("\n")
         total: list[str] = []
-        told: dict[str, float] = {}
-
-        def close() -> None:
-            if len(run) > 1:
-                hit = self.best(frozenset(zip(w := [x for _, ws in run for x in ws], w[1:], strict=False)))
-                if hit and hit[0] > told.get(hit[1], 0.0):
-                    out.append((*hit, run[0][0], run[-1][0] + 1))
-            run.clear()
-            told.clear()
-
+        ends: list[int] = []
         for i, line in enumerate(lines):
             w = words(line)
             total += w
-            if not w:
-                continue
-            if not any(g in index for g in zip(w, w[1:], strict=False)):
-                close()
-                continue
-            run.append((i, w))
-            hit = self.best(bigrams(w))
-            if hit:
-                told[hit[1]] = max(hit[0], told.get(hit[1], 0.0))
+            ends.append(len(total))
+            if any(g in index for g in zip(w, w[1:], strict=False)) and (hit := self.best(bigrams(w))):
                 out.append((*hit, i, i + 1))
-        close()
+        for score, name, start, end in self.windows(total):
+            first, after = bisect_right(ends, start), bisect_left(ends, end) + 1
+            if not any(x[1] == name and x[0] >= score and first <= x[2] and x[3] <= after for x in out):
+                out = [x for x in out if (x[1], x[2], x[3]) != (name, first, after) or after > first + 1]  # the line's own is less exact
+                out.append((score, name, first, after))
         if len(lines) > 1:
             hit = self.best(bigrams(total))
             if hit and all(hit[1] != x[1] or hit[0] > x[0] for x in out):
                 out.append((*hit, 0, len(lines)))
-        return out
+        told = [x for x in out if _OR not in x[1]]
+        return sorted((x for x in out if _OR not in x[1] or not any(y[1] in x[1].split(_OR) and y[2] <= x[2] and x[3] <= y[3] for y in told)), key=lambda x: (x[2], x[3]))
 
 
 _MATCH = "array<struct<dice:double,license:string,first_line:int,end_line:int>>"

@@ -111,6 +111,33 @@ def test_license_scan_is_brute_force_without_pruning(spark):
     assert [(m["license"], m["first_line"]) for m in rows[3]] == [("Apache-2.0", 1)] and rows[4][0]["license"] == "MIT"
 
 
+def test_licenses_inside_of_lines_and_wrapped_within_prose():
+    scan = license_scan.Scanner(license_scan.TEMPLATES).scan
+    text = dict(zip(("apache", "mit", "gpl"), (next(t for n, t in license_scan.TEMPLATES if n == name and len(t) > 200) for name in ("Apache-2.0", "MIT", "GPL-3.0")), strict=True))
+    wrapped = {k: [" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9)] for k, t in text.items()}
+    prose = "This is one of the texts that can be read by the people in the town, and for the most part it is due to the weather."
+    named = lambda t: {m[1] for m in scan(t)}
+    assert named("Copyright (c) 2024 Foo Inc. Licensed under the MIT License.") == {"MIT"}
+    assert named("Copyright 2020 The Authors. Licensed under the Apache License, Version 2.0.") == {"Apache-2.0"}
+    assert named(f"{prose} It is licensed under the GNU Lesser General Public License, version 3. {prose}") == {"LGPL-3.0"}
+    for key, name in (("apache", "Apache-2.0"), ("mit", "MIT"), ("gpl", "GPL-3.0")):
+        assert named(f"{prose} {text[key]} {prose}") == {name}
+        found = [m for m in scan("\n".join([prose, *wrapped[key], "", prose, prose])) if m[3] - m[2] > 2]
+        assert [(m[1], m[2], m[3]) for m in found] == [(name, 1, 1 + len(wrapped[key]))] and found[0][0] > 0.99
+    both = scan("\n".join([prose, *wrapped["mit"], prose, *wrapped["mit"], prose]))
+    assert [m[1] for m in both] == ["MIT", "MIT"] and both[0][3] <= both[1][2]
+    assert scan("\n".join([prose] * 300)) == []
+
+
+def test_bsd_licenses_are_told_apart():
+    scan = license_scan.Scanner(license_scan.TEMPLATES).scan
+    names = lambda t: {m[1] for m in scan(t)}
+    head, source, binary, people, end = (getattr(license_scan, f"_BSD{x}") for x in ("", "_SOURCE", "_BINARY", "_NAMES", "_END"))
+    assert names("\n".join(["Copyright 2020, A. B.", head, source, binary, end, "main()"])) == {"BSD-2-Clause"}
+    assert names("\n".join(["Copyright 2020, A. B.", head, source, binary, people.replace("the copyright holder", "Foo Inc."), end, "main()"])) == {"BSD-3-Clause"}
+    assert names(f"x\n{head}\ny") == {"BSD-2-Clause OR BSD-3-Clause"}
+
+
 # top-k
 
 
