@@ -422,7 +422,7 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
     stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if one else reader.parquet(path)
     log = ingest.state_log(stream.select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n_words")), "doc_id", "n_words")
-    return ingest.to_memory(ingest.latest_states(log, "doc_id"), f"states_{abs(hash(sf_dir)) % 10**8}", "complete")
+    return ingest.to_table(ingest.latest_states(log, "doc_id"), "doc_id")
 
 
 _STATES_SQL = r"SELECT doc_id, CASE WHEN regexp_matches(text, '[^ \t\n\x0B\f\r]') THEN 4 ELSE 3 END AS step, CASE WHEN regexp_matches(text, '[^ \t\n\x0B\f\r]') THEN 'READY' ELSE 'FAILED' END AS state FROM documents"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscan.operators.library import FAILED, STATES
@@ -37,20 +40,37 @@ def windowed_counts(events: DataFrame, at: str, kind: str, every: str = "1 day",
     return stream.groupBy(F.window(at, every), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Writes each batch to a folder of its own number, so that a batch that is repeated replaces itself."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives from what is there now, as a table of that name."""
+    """All that a stream gives from what is there now, as a table of that name. The driver holds it: for few rows only."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
     return stream.sparkSession.table(name)
+
+
+def to_table(stream: DataFrame, key: str) -> DataFrame:
+    """Each key's row as an aggregation leaves it after what is there now, from a table in spark.checkpoint.dir.
+
+    Batches write only the keys that they change (update mode), and the last batch with a key holds. No rows pass
+    through the driver. Tables stay after the query, as their checkpoints do."""
+    spark = stream.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='folioscan-')}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")  # the table is there without any batch
+    query = append_once(stream, f"{folder}/rows", f"{folder}/checkpoint", "update")
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_row")).select("_row.*")

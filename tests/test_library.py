@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from folioscan.functions import english, text as tx, vectors
 from folioscan.operators import access, chunking, grounding, library, retrieval
 from folioscan.plans import schema
@@ -169,6 +170,26 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_latest_states_stay_off_the_driver(spark, tmp_path):
+    """One file a batch, and a key that three batches change; the sink is a table in the shared folder."""
+    for rows in ([[(1, 0, "A"), (2, 0, "A")], [(1, 4, "C"), (None, 1, "N")], [(1, 2, "B")]]):
+        spark.createDataFrame(rows, "k long, step int, state string").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    schema_ = "k long, step int, state string"
+    stream = ingest.read_stream(spark, str(tmp_path / "log"), schema_, 1)
+    out = ingest.to_table(ingest.latest_states(stream, "k"), "k")
+    assert {tuple(r) for r in out.collect()} == {(1, 4, "C"), (2, 0, "A"), (None, 1, "N")} and out.columns == ["k", "step", "state"]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert out.inputFiles() and all(shared.removeprefix("file://") in f for f in out.inputFiles())
+    (tmp_path / "none").mkdir()
+    assert ingest.to_table(ingest.latest_states(ingest.read_stream(spark, str(tmp_path / "none"), schema_), "k"), "k").count() == 0
+
+
+def test_status_stream_does_not_use_the_memory_sink(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, " ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = entry.queries()["status_stream"](spark, str(tmp_path))
+    assert out.inputFiles() and {tuple(r) for r in out.collect()} == {(1, 4, "READY"), (2, 3, "FAILED")}
+
+
 def test_schema():
     for name in schema.TABLES:
         assert schema.schema(name).fieldNames()[0] == "id"
