@@ -4,9 +4,10 @@ Fitting takes at most SAMPLE labelled documents. A word enters the lexicon when
 that hold it, toxic against clean, stands out among as many words as were counted; a stem enters when that holds of its
 prefix and no single word accounts for it. The automaton that accepts all terms with their allowed misspellings is the
 intersection of the trie with the Levenshtein automata, determinised as it is walked. Words near a term that clean
-documents hold are no misspellings, and a term with several such neighbours is taken to the letter. A term that clean
-documents also hold now and then is weak. A hit in quotation marks or after a word of report is a quotation, unless
-others stand close by; a logistic model over the kinds of hits, fitted to a table of counts, gives the score.
+documents hold are no misspellings, unless toxic ones mostly do. A term that clean documents also hold now and then is
+weak, and so are its misspellings, with a weight of their own. A hit in quotation marks or after a word of report is a
+quotation, unless others stand close by; a logistic model over the kinds of hits, fitted to a table of counts, gives the
+score.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from folioscan.llm.common import materialise, table
 SAMPLE = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Chance that any word enters by accident; least share of toxic documents among those that hold a weak, a strong term.
-ALPHA, PURITY, STRONG, MOST_TERMS, MOST_NEIGHBOURS = 0.2, 0.4, 0.97, 5000, 2
+ALPHA, PURITY, STRONG, MOST_TERMS = 0.2, 0.4, 0.97, 5000
 WINDOW, REPORT_WINDOW, MEMO = 8, 4, 200_000
 #: Words of report, fixed.
 REPORT = frozenset("said says say quote quoted quotes called calls word term wrote reported zitat zitiert sagte nannte wort dit cite mot dijo cita palabra llamó".split())
 QUOTES = "\"“”„«»‘’‹›"
-NO_HITS = (0, 0, 0, 0, 0)
+NO_HITS = (0, 0, 0, 0, 0, 0)
 #: What is taken to have been seen before any documents: features, toxic, clean. They tell of kinds of hits that the labels don't show.
-BEFOREHAND = [((1, 0, 0, 0, 0), 4.0, 0.2), ((0, 0, 1, 0, 0), 0.3, 2.0), ((0, 0, 0, 1, 0), 2.0, 0.4), ((0, 0, 0, 0, 1), 0.5, 0.5), (NO_HITS, 0.1, 1.0)]
+BEFOREHAND = [((1, 0, 0, 0, 0, 0), 4.0, 0.2), ((0, 0, 1, 0, 0, 0), 0.3, 2.0), ((0, 0, 0, 1, 0, 0), 2.0, 0.4), ((0, 0, 0, 0, 1, 0), 0.5, 0.5), ((0, 0, 0, 0, 0, 1), 0.5, 0.5), (NO_HITS, 0.1, 1.0)]
 RIDGE = 0.02
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -130,8 +131,8 @@ class Lexicon:
             self._memo[token] = self.match(token)
         return self._memo[token]
 
-    def features(self, text: str | None) -> tuple[int, int, int, int, int]:
-        """(any term, further terms up to 2, any quoted term, any misspelled term, weak hits up to 3) of a text."""
+    def features(self, text: str | None) -> tuple[int, int, int, int, int, int]:
+        """(any term, further terms up to 2, any quoted term, any misspelled term, weak hits up to 3, misspelled ones up to 2) of a text."""
         low = (text or "").lower()
         tokens = _TOKEN.findall(low)
         known, lookup = self._memo, self.lookup
@@ -139,7 +140,7 @@ class Lexicon:
         if not hits:
             return NO_HITS
         spans = [m.span() for m in _TOKEN.finditer(low)]
-        plain, quoted, misspelled, weak = 0, 0, 0, 0
+        plain, quoted, misspelled, weak, unsure = 0, 0, 0, 0, 0
         for i in hits:
             left, right = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
             before, after = low[spans[left][0] : spans[i][0]], low[spans[i][1] : spans[right - 1][1] + 1]
@@ -148,12 +149,13 @@ class Lexicon:
             if 1 - cited + 0.25 * near < 0.5:
                 quoted += 1
             elif lookup(tokens[i])[0] in self.weak:
-                weak += 1
+                weak += not lookup(tokens[i])[1]
+                unsure += lookup(tokens[i])[1] > 0
             elif lookup(tokens[i])[1]:
                 misspelled += 1
             else:
                 plain += 1
-        return int(plain > 0), min(2, max(0, plain - 1)), int(quoted > 0), int(misspelled > 0), min(3, weak)
+        return int(plain > 0), min(2, max(0, plain - 1)), int(quoted > 0), int(misspelled > 0), min(3, weak), min(2, unsure)
 
 
 def fit_weights(counts: list[tuple[tuple[int, ...], float, float]]) -> np.ndarray:
@@ -233,26 +235,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         tops = words.where("pos > 0").select("pos", F.explode(F.transform(F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: n <= F.length("word")), lambda n: F.col("word").substr(F.lit(1), n))).alias("stem"))
         most |= {r["stem"]: r["top"] for r in tops.where(F.col("stem").isin(list(most))).groupBy("stem").agg(F.max("pos").alias("top")).collect()}
     terms: dict[str, bool] = {}
-    weak, literal = set(), set()
+    weak: set[str] = set()
     covered = lambda x: any(terms.get(x[:n]) and x[:n] not in weak for n in STEM_LENGTHS if n < len(x))
     for _, stem, r in stem_rows:
         if r["pos"] >= 1.5 * most[stem] and not covered(stem):
             terms[stem] = True
             weak |= set() if pure(r) else {stem}
-            literal |= set() if pure(r) else {stem}
     for word, r in found.items():
         if not covered(word) and word not in terms:
             terms[word] = False
             weak |= set() if pure(r) else {word}
-            literal |= {word} if r["neg"] else set()
-    near = _mapped(words.where("neg > 0"), Lexicon(terms, frozenset(weak), frozenset(literal)), "word", "word string, term string", lambda lex, b: pd.DataFrame([(w, m[0]) for w in b["word"] if (m := lex.match(w)) and m[1]], columns=["word", "term"]))
-    near = materialise(near, "toxic-near")
-    literal |= {r["term"] for r in near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NEIGHBOURS).collect()}
-    benign = near.where(~F.col("term").isin(list(literal)) if literal else F.lit(True)).collect()  # at most MOST_NEIGHBOURS a term
-    lexicon = Lexicon(terms, frozenset(weak), frozenset(literal), frozenset(r["word"] for r in benign))
-    names = ("f0", "f1", "f2", "f3", "f4")
-    seen = _mapped(rows, lexicon, "text", "f0 int, f1 int, f2 int, f3 int, f4 int, toxic int", lambda lex, b: pd.DataFrame(list(map(lex.features, b["text"])), columns=list(names)).assign(toxic=b["toxic"].to_numpy()))
-    counts = [(tuple(r[:5]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # at most 96 rows
+    # a misspelling that clean documents quote stays one if the documents that hold it are as toxic as those of a term must be, and one more clean
+    near = _mapped(words.where((F.col("neg") > 0) & (F.col("pos") < PURITY * (F.col("pos") + F.col("neg") + 1))), Lexicon(terms, frozenset(weak)), "word", "word string, neg long", lambda lex, b: b.loc[[bool((m := lex.match(w)) and m[1]) for w in b["word"]], ["word", "neg"]])
+    near = {r["word"]: r["neg"] for r in near.collect()}  # at most the words of the sample
+    lexicon = Lexicon(terms, frozenset(weak), benign=frozenset(near))
+    # weights are fitted as if a word that one clean document holds were new there, as words of other documents are
+    fitted = Lexicon(terms, frozenset(weak), benign=frozenset(w for w, n in near.items() if n > 1))
+    names = ("f0", "f1", "f2", "f3", "f4", "f5")
+    seen = _mapped(rows, fitted, "text", "f0 int, f1 int, f2 int, f3 int, f4 int, f5 int, toxic int", lambda lex, b: pd.DataFrame(list(map(lex.features, b["text"])), columns=list(names)).assign(toxic=b["toxic"].to_numpy()))
+    counts = [(tuple(r[:6]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # at most 288 rows
     return ToxicityModel(lexicon, fit_weights(counts))
 
 

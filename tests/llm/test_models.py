@@ -72,6 +72,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, known).columns == docs.columns
 
 
+@pytest.mark.parametrize("quotes", [1, 40])
+def test_toxic_term_that_clean_documents_quote_keeps_its_misspellings(spark, quotes):
+    texts, labels = corpus()
+    for i in range(quotes):
+        texts[4 * i + 1] = f'he said "wretchling" {texts[4 * i + 1]}'
+        texts[4 * i + 2] += " " + ("wretching", "wrestling", "wretchlings")[i % 3]
+    for i in range(0, 160, 4):
+        texts[i] = "you " + "wretchling".replace("wre"[i // 4 % 3], "bcdfghjkmnpqvxz"[i // 12], 1) + " " + texts[i].replace("wretchling", "").replace("snotgobbler", "")
+    model = toxicity.fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.lexicon.match("yretchling") == ("wretchling", 1) and model.score("you yretchling") >= 0.5
+    assert model.lexicon.match("wretching") is None and max(model.score('he said "wretchling" once'), model.score("he was wretching")) < 0.5
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
