@@ -84,6 +84,16 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple
     """(text, place, block) of each run of text and ("", None, block) of each tag, in page order; dropped content is passed over."""
     root = _Place("html", (), False, None, weights)
     stack, at, block, low = [root], 0, 0, None
+    where: dict[str, list[int]] = {}  # the open elements of each tag, and those that begin a block, as places in the stack
+    blocks: list[int] = []
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            gone = stack.pop().tag
+            where[gone].pop()
+            if gone in BLOCKS:
+                blocks.pop()
+
     while at < len(page):
         m = _MARKUP.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -108,33 +118,26 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple
             yield " ", stack[-1], block
         yield "", None, block
         if closing:
-            open_ = [p.tag for p in stack]
-            if tag in open_[1:]:
-                del stack[len(open_) - 1 - open_[::-1].index(tag) :]
+            if where.get(tag):
+                close(where[tag][-1])
             continue
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if tag in CLOSES:
             ends, upto = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in upto:
-                    break
-                if stack[i].tag in ends.split():
-                    del stack[i:]
-                    break
-        if tag in _P_ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            nearest = max((where[t][-1] for t in {*ends.split(), *upto} if where.get(t)), default=0)
+            if nearest and stack[nearest].tag in ends.split():
+                close(nearest)
+        if tag in _P_ENDS and blocks and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in ("html", "body"):
             features, main = _features(tag, "")
         else:
             features, main = _features(tag, attributes)
-        if len(stack) < 2000:
-            stack.append(_Place(tag, features, main, stack[-1], weights))
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append(_Place(tag, features, main, stack[-1], weights))
         if tag in RAW:
             if low is None:
                 low = page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]", lambda c: c[0].lower(), page)

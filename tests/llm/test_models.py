@@ -385,6 +385,12 @@ def test_main_text_of_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_closing_tags_match_at_any_depth():
+    deep = "<article>" + "<span>" * 2500 + "<div>body text<aside><div>an aside</div>still aside</aside>more text</div></article><aside>outside words</aside>"
+    assert html_extract.main_text(deep) == "body text\nmore text"
+    assert html_extract.main_text("<article>" + "<i>" * 100_000 + "x y</article>" + "<p>z</p>") == "x y"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-5, 5).map(float), max_size=30))
 def test_best_region_is_the_best(scores):
