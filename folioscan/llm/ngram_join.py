@@ -2,18 +2,21 @@
 
 A document is its set of distinct word n-grams, hashed to 64 bits. Sets of sizes a and b with a Jaccard similarity of
 num/den or more differ in at most (a + b)(den - num)/(den + num) elements. Sizes fall into bands such that partners are
-in one band or in neighbouring ones; for a band, k is the most that partners whose larger set is in it can differ in. Its
-sketch deals the elements over m > k blocks by hash and keeps the XOR of each block: one difference changes one block,
-so the number of unequal blocks never exceeds the difference, and partners share at least m - k blocks (pigeonhole).
-Blocks are the join keys. An empty block says nothing: a set emits its empty blocks only if it has m - k of them or more.
-
-Sets with the same digest are one node from the start. A key's nodes, sorted, pass by in one stream: each is a
-candidate partner of the first and of the one before. Sizes, a 64-bit parity sketch and the number of keys in which a
-pair met drop candidates without loss. The others make families, their components. A family's nodes are dealt over
-blocks, and each two blocks meet in a task that multiplies their incidence matrices, so links are told exactly, each text
-moves once for every 256 relatives, and what comes out is a spanning forest of the links. A key with more
+in one band or in neighbouring ones. A band's sketch deals the elements over m blocks by hash and keeps the XOR of each
+block: one difference changes one block, so the number of unequal blocks never exceeds the difference. A set whose
+partners in the band differ from it in k elements at most keeps its first k + c blocks (c is the band's), so partners
+share at least c of them (pigeonhole). Blocks are the join keys. An empty block says nothing: a set emits its empty blocks
+only if it has c of them or more.
+
+Texts are read once for digests and keys, and a task gives the keys of each set once. Sets with the same digest are one
+node from the start. A key's nodes, sorted, pass by in one stream: each is a candidate partner of the first and of the one
+before. Sizes, a 32-bit parity sketch and the number of keys in which a pair met drop candidates without loss. The others
+make families, their components. Up to CELL nodes of a family meet in one task that multiplies their incidence matrix, so
+links are told exactly, each text moves once, and what comes out is a spanning forest of the links; candidate pairs of
+larger families that were dealt to different tasks and aren't joined by then meet after that, by stars. A key with more
 than three nodes has pairs that were not candidates; where its nodes are not in one component by then, and only for nodes
-that share enough such keys, the nodes of such keys with one first node are solved in the same way (`rest`).
+that share enough such keys, the nodes of such keys with one first node are solved as well (`rest`): by blocks of nodes,
+of which each two meet in a task unless both are of one component.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from folioscan.llm.components import components
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Slots of the filter that thins documents out before their texts are fetched; it bounds what is broadcast.
-SLOTS, MEMO, PARITY_SIZE, ROWS = 1 << 20, 300_000, 512, 100_000
+SLOTS, MEMO, GIVEN = 1 << 20, 300_000, 100_000
+#: A number of a key's row: the set's size, its parity sketch, how many keys partners share at least (no more than MOST_NEED), and whether the band is the next.
+N_AT, PARITY_AT, NEED_AT, MOST_NEED = 39, 7, 1, 63
 #: Bits of a key. Two blocks that share a key by chance cost a candidate; fewer bits take less of the shuffle.
 KEY_BITS = 48
 #: Nodes in a block, two of which meet in a task, and columns of the matrices that are multiplied at once.
@@ -86,15 +91,15 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 @lru_cache(maxsize=8)
 def _bands(num: int, den: int) -> list[tuple[int, int]]:
-    return [(1, den // num)]
+    return [(1, den * den // (num * num))]
 
 
 def band_of(n: int, num: int, den: int) -> int:
-    """Bands are [s, floor(s den / num)], from 1 on without gaps; a partner is in a set's band or in one next to it."""
+    """Bands are [s, floor(s (den / num)^2)], from 1 on without gaps; a partner is in a set's band or in one next to it."""
     bands = _bands(num, den)
     while bands[-1][1] < n:
         start = bands[-1][1] + 1
-        bands.append((start, start * den // num))
+        bands.append((start, start * den * den // (num * num)))
     low, high = 0, len(bands) - 1
     while low < high:
         mid = (low + high) // 2
@@ -103,29 +108,30 @@ def band_of(n: int, num: int, den: int) -> int:
 
 
 def blocks_of(band: int, num: int, den: int) -> tuple[int, int]:
-    """(k, m) of a band: the most differences, and the blocks."""
-    band_of(_bands(num, den)[-1][1], num, den)
-    while len(_bands(num, den)) <= band:
-        band_of(_bands(num, den)[-1][1] + 1, num, den)
-    k = 2 * _bands(num, den)[band][1] * (den - num) // (den + num)
-    return k, k + 1 + (2 + k // 16 if k else 0)
+    """(c, m) of a band: the blocks that partners share at least, and all blocks."""
+    bands = _bands(num, den)
+    while len(bands) <= band:
+        band_of(bands[-1][1] + 1, num, den)
+    k = 2 * bands[band][1] * (den - num) // (den + num)
+    c = 1 + (2 + k // 16 if k else 0)
+    return c, k + c
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
-    """(keys, need) for the set's own band and the next: need is how many of its keys a partner there shares at least."""
-    own, out = band_of(len(s), num, den), []
-    for band in (own, own + 1) if len(s) * den // num > _bands(num, den)[own][1] else (own,):
-        _, m = blocks_of(band, num, den)
-        # this set's own differences, not the band's: its partners are no larger than its size and the band allow
-        k = (len(s) + min(_bands(num, den)[band][1], len(s) * den // num)) * (den - num) // (den + num)
+    """(keys, need) for the set's own band and, if it may have partners there, the next: need is how many of its keys a partner there shares at least."""
+    n = len(s)
+    own, most, out = band_of(n, num, den), n * den // num, []
+    for band in (own, own + 1) if most > _bands(num, den)[own][1] else (own,):
+        c, m = blocks_of(band, num, den)
+        kept = (n + min(_bands(num, den)[band][1], most)) * (den - num) // (den + num) + c
         block = (_mix(s ^ _FACTORS[6]) % _U(m)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         full, at = np.unique(block[order], return_index=True)
         value = np.bitwise_xor.reduceat(s[order], at)
-        empty = m - len(full)
-        need = m - k - empty
+        full, value = full[full < kept], value[full < kept]
+        need = c - (kept - len(full))
         if need < 1:
-            gone = np.setdiff1d(np.arange(m), full)
+            gone = np.setdiff1d(np.arange(kept), full)
             full, value, need = np.append(full, gone), np.append(value, np.zeros(len(gone), dtype=_U)), 1
         keys = _mix(_mix(value + _FACTORS[2]) ^ (full.astype(_U) * _FACTORS[4] + _U(band * int(_FACTORS[7]) & 0xFFFFFFFFFFFFFFFF)))
         out.append(((keys >> _U(64 - KEY_BITS)).view(np.int64), need))
@@ -133,8 +139,8 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
 
 
 def parity(s: np.ndarray) -> int:
-    """64 parities: of the elements by their last six bits. Two sketches differ in no more bits than their sets in elements."""
-    return int(np.bitwise_xor.reduce(_U(1) << (s & _U(63)))) if len(s) else 0
+    """32 parities: of the elements by their last five bits. Two sketches differ in no more bits than their sets in elements."""
+    return int(np.bitwise_xor.reduce(_U(1) << (s & _U(31)))) if len(s) else 0
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
@@ -143,54 +149,53 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.
             yield b.slice(i, rows)
 
 
-def digests(docs: DataFrame, words: int) -> DataFrame:
-    """(_id, n, node, check) of rows (_id, _text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        for b in _batches(batches, 1024):
-            sets = [shingles.of(t) for t in b.column(1).to_pylist()]
-            ids = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64())], names=["_id", "n", "node", "check"])
-
-    return docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, n long, node long, check long")
-
-
 def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(key, node, parity, info) for each key of each set; info is n, need and whether the band is the next, in one number.
-    parity is null for sets so large that it would tell nothing."""
+    """(_id, n, node, check, info, keys, next_info, next_keys) of rows (_id, _text): digests, and the keys of the own band and the next.
+
+    A task gives keys once for each set, as far as it remembers sets; keys are null elsewhere, and where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
+        shingles, given = Shingles(words), set()
         for b in _batches(batches):
-            keys, rows = [], []
-            for t in b.column(0).to_pylist():
+            rows, keys = [], ([], [])
+            for t in b.column(1).to_pylist():
                 s = shingles.of(t)
-                if len(s):
-                    node, p = digest(s)[0], parity(s) if len(s) <= PARITY_SIZE else None
+                name, found, info = digest(s), [None, None], [None, None]
+                if len(s) and name not in given:
+                    given.add(name)
                     for i, (k, need) in enumerate(signatures(s, num, den)):
-                        keys.append(k)
-                        rows.append((len(k), node, p, len(s) << 24 | min(need, (1 << 23) - 1) << 1 | i))
-            if not keys:
-                continue
-            n = np.array([r[0] for r in rows])
-            node = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), n)
-            part = np.repeat(np.array([r[2] or 0 for r in rows], dtype=_U).view(np.int64), n)
-            info = np.repeat(np.array([r[3] for r in rows], dtype=np.int64), n)
-            none = np.repeat(np.array([r[2] is None for r in rows]), n)
-            key = np.concatenate(keys)
-            for i in range(0, len(key), ROWS):
-                cut = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(node[cut]), pa.array(part[cut], mask=none[cut]), pa.array(info[cut])], names=["key", "node", "parity", "info"])
+                        found[i], info[i] = k, len(s) << N_AT | parity(s) << PARITY_AT | min(need, MOST_NEED) << NEED_AT | i
+                rows.append((len(s), *name, *info))
+                for i in (0, 1):
+                    keys[i].append(found[i])
+            if len(given) > GIVEN:
+                given.clear()
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if k is None else len(k) for k in x)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *(k for k in x if k is not None)]))) for x in keys]
+            n, node, check, info, after = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, node, check, info, lists[0], after, lists[1]], names=["_id", "n", "node", "check", "info", "keys", "next_info", "next_keys"])
+
+    return docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, n long, node long, check long, info long, keys array<long>, next_info long, next_keys array<long>")
+
+
+def _apart(known: DataFrame) -> DataFrame:
+    """known, where sets that share a node's digest but not the other one get nodes of their own."""
+    clashes = known.where("n > 0").groupBy(F.col("node").alias("_node")).agg(F.min("check").alias("_first"), F.max("check").alias("_last")).where("_first <> _last").select("_node", "_first")
+    clashes = materialise(clashes, "join-clashes")
+    if not clashes.take(1):
+        return known
+    own = F.when(F.col("check") > F.col("_first"), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node"))
+    return known.join(clashes, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left").withColumn("node", own).drop("_node", "_first")
+
 
-    return docs.select("_text").mapInArrow(run, "key long, node long, parity long, info long")
+def key_rows(known: DataFrame) -> DataFrame:
+    """(key, node, info) for each key of each set."""
+    return known.where("info IS NOT NULL").select(F.explode("keys").alias("key"), "node", "info").union(known.where("next_info IS NOT NULL").select(F.explode("next_keys").alias("key"), "node", F.col("next_info").alias("info")))
 
 
 def _plausible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes and parities allow the similarity."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
-    far = np.bitwise_count(pa_ ^ pb).astype(np.int64) * (large <= PARITY_SIZE)
-    return (small * den >= large * num) & (far * (den + num) <= (na + nb) * (den - num))
+    return (small * den >= large * num) & (np.bitwise_count(pa_ ^ pb).astype(np.int64) * (den + num) <= (na + nb) * (den - num))
 
 
 def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,11 +204,11 @@ def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
     key a that has more than three nodes, with its info."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "node", "parity", "info")
+        names = ("key", "node", "info")
         carry = {x: np.empty(0, dtype=np.int64) for x in names}  # the first of the last key's nodes, and its last two
         length = 0  # of that key so far
         for batch in batches:
-            new = {x: batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i, x in enumerate(names)}
+            new = {x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(names)}
             held = len(carry["key"])
             c = {x: np.concatenate([carry[x], new[x]]) for x in names}
             again = np.zeros(len(c["key"]), dtype=bool)
@@ -222,10 +227,10 @@ def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
             fresh = np.arange(total) >= held
             here = np.flatnonzero(fresh & (place > 0))
             pairs = np.concatenate([np.stack([first[here], here]), np.stack([here - 1, here])[:, place[here] > 1]], axis=1)
-            n, p = c["info"] >> 24, c["parity"].view(_U)
+            n, p = c["info"] >> N_AT, c["info"] >> PARITY_AT & 0xFFFFFFFF
             pairs = pairs[:, _plausible(n[pairs[0]], n[pairs[1]], p[pairs[0]], p[pairs[1]], num, den)]
             a, b = np.where(node[pairs[0]] < node[pairs[1]], pairs, pairs[::-1])
-            need, after = c["info"] >> 1 & (1 << 23) - 1, c["info"] & 1
+            need, after = c["info"] >> NEED_AT & MOST_NEED, c["info"] & 1
             ab, met = np.unique(np.stack([node[a], node[b], np.maximum(need[a], need[b]) << 2 | after[a] << 1 | after[b]]), axis=1, return_counts=True)
             # a fourth node makes a key large: it and the three before, which are all here, are told of
             late = np.flatnonzero(fresh & (place >= 3))
@@ -260,13 +265,8 @@ def met_enough(found: DataFrame) -> DataFrame:
 def _in_slots(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     """Rows of docs whose ids fall into a slot of those of ids (left_semi), or into none (left_anti): a filter without a shuffle."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = ids.select(slot(ids.columns[0]).alias("_slot")).distinct()  # at most SLOTS rows
-    return docs.withColumn("_s", slot(id_col)).join(F.broadcast(slots), F.col("_s") == F.col("_slot"), how).drop("_s")
-
-
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, _text) of rows (node, _doc); documents that can't be meant are passed over before the shuffle."""
-    return _in_slots(docs, "_id", ids.select("_doc"), "left_semi").join(ids, F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "_text")
+    slots = ids.select(slot(ids[ids.columns[0]]).alias("slot")).distinct()  # at most SLOTS rows
+    return docs.join(F.broadcast(slots), slot(docs[id_col]) == slots["slot"], how)
 
 
 class _Sets:
@@ -278,7 +278,8 @@ class _Sets:
     def of(self, node: int, text: str | None) -> np.ndarray | None:
         if node not in self.last or self.last[node][0] != text:
             s = self.shingles.of(text)
-            if digest(s)[0] != node:
+            name, check = digest(s)
+            if node not in (name, name ^ check):
                 return None
             if len(self.last) > 64:
                 self.last.clear()
@@ -328,7 +329,7 @@ def rest(large: DataFrame, roots: DataFrame) -> DataFrame:
     `large` has (key, node, info). A key whose nodes are in one component needs nothing. Partners share at least `need`
     keys in a band, and any key of theirs with three nodes or fewer has made them candidates: so both have at least
     `need` keys that are left. Keys go together by their first node, the pivot."""
-    rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", 1) % (1 << 23)).alias("need"))
+    rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", NEED_AT) % (MOST_NEED + 1)).alias("need"))
     rows = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-large")
     open_ = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("node").alias("pivot")).where("_lo <> _hi").select("_k", "pivot")
     rows = rows.join(open_(rows).drop("pivot"), F.col("key") == F.col("_k"), "left_semi")
@@ -337,14 +338,26 @@ def rest(large: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(open_(rows), F.col("key") == F.col("_k")).select("pivot", "node", "root").distinct()
 
 
-def solved(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) among the members of each pivot: every two blocks of a pivot's members meet in one task."""
-    sizes = members.groupBy(F.col("pivot").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_blocks"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("_p", "_blocks")
-    placed = members.join(sizes, F.col("pivot") == F.col("_p")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")))
-    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    placed = placed.select("pivot", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "root")
-    ids = materialise(members.join(sizes, F.col("pivot") == F.col("_p"), "left_semi").select("node").distinct().join(nodes.select("node", F.col("least").alias("_doc")), "node"), "join-more-ids")
-    cells = placed.join(_texts(ids, docs), "node").select("pivot", "i", "j", "node", "root", "_text")
+def blocks(members: DataFrame) -> DataFrame:
+    """(p, i, j, node, root): the members (pivot, node, root) of each pivot in cells (p, i, j) in which any two of different roots meet.
+
+    A root of CELL members or more has blocks of its own, the others share blocks. Each two blocks make a cell, unless
+    both are of one such root: what is joined already doesn't meet again."""
+    roots = members.groupBy(F.col("pivot").alias("_p"), F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("_members")).withColumn("_tag", F.when(F.col("_members") >= CELL, F.col("_r")))
+    parts = roots.groupBy(F.col("_p").alias("_tp"), F.col("_tag").alias("_t")).agg(F.ceil(F.sum("_members") / CELL).alias("_blocks"), F.count(F.lit(1)).alias("_roots"))
+    parts = materialise(parts, "join-parts")
+    own = members.join(roots, (F.col("pivot") == F.col("_p")) & (F.col("root") == F.col("_r"))).join(parts.select("_tp", F.col("_t").alias("_ot"), F.col("_blocks").alias("_own")), (F.col("_tp") == F.col("_p")) & F.col("_ot").eqNullSafe(F.col("_tag")))
+    own = own.select("pivot", "node", "root", "_tag", F.xxhash64("_tag", F.pmod(F.xxhash64("node"), F.col("_own"))).alias("_block"))
+    meets = (F.col("pivot") == F.col("_tp")) & (~F.col("_tag").eqNullSafe(F.col("_t")) | (F.col("_t").isNull() & (F.col("_roots") > 1)))
+    cells = own.join(parts, meets).withColumn("_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).withColumn("_other", F.xxhash64("_t", "_sub"))
+    return cells.select(F.col("pivot").alias("p"), F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "node", "root")
+
+
+def solved(cells: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) among the nodes (node, root) of each cell (p, i, j). Texts are fetched by id and then meet by cell."""
+    cells = materialise(cells.join(nodes.select("node", F.col("least").alias("_doc")), "node"), "join-cells")
+    texts = _in_slots(docs, "_id", cells.select("_doc"), "left_semi")
+    cells = texts.join(cells, F.col("_id").eqNullSafe(F.col("_doc"))).select("p", "i", "j", "node", "root", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, cell, held = _Sets(words), None, {}
@@ -355,17 +368,37 @@ def solved(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, nu
 
         for b in _batches(batches, 256):
             c = b.to_pydict()
-            for pivot, i, j, node, root, text in zip(c["pivot"], c["i"], c["j"], c["node"], c["root"], c["_text"], strict=True):
-                if cell != (pivot, i, j):
+            for *at, node, root, text in zip(c["p"], c["i"], c["j"], c["node"], c["root"], c["_text"], strict=True):
+                if cell != at:
                     yield solve()
-                    cell, held = (pivot, i, j), {}
+                    cell, held = at, {}
                 s = read.of(node, text)
                 if s is not None:
                     held[node] = s, root
         yield solve()
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node").mapInArrow(run, "u long, v long")
+    return cells.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "node").mapInArrow(run, "u long, v long")
+
+
+def families(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, pairs): families of candidate pairs (a, b) in cells of about CELL nodes, and those pairs that meet in none of them."""
+    named = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sizes = named.groupBy(F.col("root").alias("_r")).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_blocks"))
+    placed = materialise(named.join(sizes, F.col("root") == F.col("_r")).select("node", "root", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("i"), (F.col("_blocks") > 1).alias("large")), "join-families")
+    end = lambda x: placed.where("large").select(F.col("node").alias(f"_{x}"), F.col("i").alias(f"_i{x}"))
+    apart = pairs.join(end("a"), F.col("a") == F.col("_a")).join(end("b"), F.col("b") == F.col("_b")).where("_ia <> _ib").select("a", "b")
+    return placed.select(F.col("root").alias("p"), "i", F.lit(0).cast("long").alias("j"), "node", F.col("node").alias("root")), materialise(apart, "join-apart")
+
+
+def stars(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Cells of pairs (a, b) that aren't joined yet: a with up to about CELL of its partners."""
+    for x in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(f"_{x}"), F.col("root").alias(f"_r{x}")), F.col(x) == F.col(f"_{x}"), "left").withColumn(f"_r{x}", F.coalesce(f"_r{x}", x))
+    pairs = materialise(pairs.where("_ra <> _rb").select("a", "b", "_ra", "_rb"), "join-stars")
+    many = pairs.groupBy(F.col("a").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_cells"))
+    cells = pairs.join(many, F.col("a") == F.col("_c")).select(F.col("a").alias("p"), F.pmod(F.xxhash64("b"), F.col("_cells")).alias("i"), F.lit(0).cast("long").alias("j"), F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("_ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("_rb").alias("root")))).alias("x"))
+    return cells.select("p", "i", "j", "x.node", "x.root").distinct()
 
 
 def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -376,36 +409,46 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     has one. Rows that share an id are rows of their own, and ids reach through each other's links no further. Null ids
     join as others do and are never the smallest. Other columns are ignored; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = materialise(digests(rows, words), "join-digests")
-    agree = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two sets have one digest")).cast("long")).otherwise(F.lit(0).cast("long"))
-    nodes = materialise(known.where("n > 0").groupBy("node").agg(F.min("_id").alias("least"), agree.alias("agree")), "join-nodes")
-    found = materialise(candidates(sketches(rows, words, num, den), num, den), "join-candidates")
+    known = _apart(materialise(sketches(rows, words, num, den), "join-sketches"))
+    nodes = materialise(known.where("n > 0").groupBy("node").agg(F.min("_id").alias("least")), "join-nodes")
+    found = materialise(candidates(key_rows(known), num, den), "join-candidates")
     pairs = materialise(met_enough(found), "join-pairs")
-    families = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("root").alias("pivot"), "node", F.col("node").alias("root"))
-    links = materialise(solved(families, nodes, rows, words, num, den), "join-links")
+    cells, apart = families(pairs)
+    links = materialise(solved(cells, nodes, rows, words, num, den), "join-links")
     roots = components(links)
-    more = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), roots), "join-rest")
-    links = materialise(solved(more, nodes, rows, words, num, den), "join-more-links")
-    if links.take(1):
-        roots = components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+    def more(cells: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = materialise(solved(cells, nodes, rows, words, num, den), "join-more-links")
+        if not new.take(1):
+            return links, roots
+        links = links.union(new)
+        return links, components(links)
+
+    if apart.take(1):
+        links, roots = more(stars(apart, roots), links, roots)
+    left = materialise(rest(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "info"), roots), "join-rest")
+    links, roots = more(blocks(left), links, roots)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("_component"))
     named = materialise(named.select("node", "root").join(least, "root").select(F.col("node").alias("_node"), "_component"), "join-named")
-    out = known.join(named, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    out = known.select("_id", "n", "node").join(named, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the smallest id, and every row without words."""
-    own = F.col("component_id").eqNullSafe(F.col(id_col))
-    gone = join_near(docs, id_col, text_col, **how).groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or(own).alias("_stays")).where("NOT _stays").select("_gone")
-    gone = materialise(gone, "join-gone")
+    """The rows of docs that stay, with all their columns: of each component the smallest id, and every row without words.
+
+    An id of which one row stays keeps its rows. Columns may have any names. An empty table gives no rows."""
+    own = F.col("component_id").eqNullSafe(F.col("id"))
+    near = join_near(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **how)
+    gone = materialise(near.groupBy("id").agg(F.bool_or(own).alias("stays")).where("NOT stays").select("id"), "join-gone")
     # most documents share no slot with one that goes, and aren't shuffled
-    rest_, thin = _in_slots(docs, id_col, gone, "left_anti"), _in_slots(docs, id_col, gone, "left_semi")
-    return rest_.unionByName(thin.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti"))
+    kept, thin = _in_slots(docs, id_col, gone, "left_anti"), _in_slots(docs, id_col, gone, "left_semi")
+    return kept.unionByName(thin.join(gone, thin[id_col].eqNullSafe(gone["id"]), "left_anti"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: four words, a similarity of 0.85."""
     return join_near(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 

@@ -12,11 +12,11 @@ from folioscan.llm import bpe, html_extract, license_scan, ngram_join, toxicity,
 from folioscan.llm.components import components
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, score string, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, _score string, _gone string, _s int, slot string, id string"
 
 
 def documents(spark, texts, ids=None):
-    return spark.createDataFrame([(i if ids is None else ids[i], t, "en", "s", 1, "k", 1, "x", "w") for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(i if ids is None else ids[i], t, "en", "s", 1, "k", 1, "x", "w", 2, "y", "z") for i, t in enumerate(texts)], SCHEMA)
 
 
 # toxicity
@@ -306,6 +306,36 @@ def test_ngram_join_of_a_chain_of_near_copies(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts, 4, 85, 100)
 
 
+def test_ngram_join_of_families_beyond_a_cell(spark, monkeypatch):
+    """Cells of 8 nodes: large families go by stars, and what large keys leave open by blocks."""
+    monkeypatch.setattr(ngram_join, "CELL", 8)
+    rng, texts = random.Random(9), families(9, n=6, copies=40)
+    base = [f"c{i}" for i in range(120)]
+    for step in range(70):  # a chain whose ends are far from one another, and copies that differ in a word
+        texts.append(" ".join([*(f"y{j}" for j in range(step)), *base[step:]]))
+        texts.append(" ".join(w if rng.random() > 0.01 else "z" + str(rng.randrange(999)) for w in base))
+    rng.shuffle(texts)
+    rows = ngram_join.join_near(documents(spark, texts), words=4, num=85, den=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts, 4, 85, 100)
+
+
+def test_blocks_meet_unless_they_are_of_one_root(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 5)
+    members = [(1, n, 100 if n < 40 else 200 if n < 60 else n) for n in range(75)] + [(2, n, 7) for n in range(30)] + [(3, 1, 1), (3, 2, 2)]
+    cells = defaultdict(set)
+    for r in ngram_join.blocks(spark.createDataFrame(members, "pivot long, node long, root long")).collect():
+        cells[r["p"], r["i"], r["j"]].add((r["node"], r["root"]))
+    met = {(p, a[0], b[0]) for (p, _, _), c in cells.items() for a in c for b in c if a[1] != b[1]}
+    assert met == {(p, a, b) for p, a, x in members for q, b, y in members if p == q and x != y}
+    assert not any(p == 2 for p, _, _ in cells)
+
+
+def test_sets_of_one_digest_stay_apart(spark):
+    known = spark.createDataFrame([(1, 3, 8, 5), (2, 3, 8, 6), (3, 3, 8, 5), (4, 0, 8, 7), (5, 2, 9, 1)], "_id long, n long, node long, check long")
+    got = {r["_id"]: r["node"] for r in ngram_join._apart(known).collect()}
+    assert got == {1: 8, 2: 8 ^ 6, 3: 8, 4: 8, 5: 9}
+
+
 def test_ngram_join_ids(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "z y x w v u", None], [None, 5, 5, None])
     rows = sorted((r["n_shingles"], str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.join_near(docs, words=4, num=85, den=100).collect())
