@@ -3,9 +3,10 @@
 Pivots cut space into cells. A cell's summary is its pivot p, its count and its radius r, the largest distance of a
 member to p; for a query q every member x has q.p - |q| r <= q.x <= q.p + |q| r. From the summaries alone a query gets a
 lower bound of its k-th best score, and goes only to cells whose upper bound reaches it. Cells are packed into groups of
-about PACK rows, a cell of more rows (copies of one vector, say) being dealt over several; each group is solved by one
-task as a matrix product, and a query's partial answers are merged. Queries are dealt over as many batches as bound
-a task's share. Only the summaries, at most MAX_PIVOTS rows, are on the driver.
+about PACK rows, a cell of more rows (copies of one vector, say) being dealt over several. What is asked of a group is
+counted, and the group's rows are copied once for each BATCH of these queries, so not at all if no query needs them; a
+task solves a group for a batch as a matrix product, and a query's partial answers are merged. Only the summaries, at most
+MAX_PIVOTS rows, are on the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folioscan.llm.common import materialise, table
 
-MAX_PIVOTS, PACK, BATCH = 512, 8192, 4096
+MAX_PIVOTS, PACK, BATCH = 2048, 2048, 4096
 
 
 def quantise(x: Column, scale: int = 64) -> Column:
@@ -66,6 +67,14 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def copies(data: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """data (id, v, pack) and queries (id, v, pack) with the batch of a pack in which they meet: queries once, data as often as its pack has batches."""
+    batches = asked.groupBy(F.col("pack").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("_batches"))
+    batches = materialise(batches, "knn-batches")
+    dealt = asked.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_batches")).alias("batch"))
+    return data.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_batches") - 1)).alias("batch")), dealt
+
+
 def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), id, score: for each row where `queries` holds, the k others of highest integer inner product.
 
@@ -76,11 +85,11 @@ def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id"
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vector_col), scale).alias("v"), queries.alias("is_query")).where("v IS NOT NULL")
     rows = materialise(rows.groupBy("id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")), "knn-rows")
-    known = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.count_if("is_query").alias("q")).first()
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     schema = "query_id long, rank int, id long, score long"
     if not known["n"]:
         return spark.createDataFrame([], schema)
-    width, batches = max(1, known["width"]), max(1, -(-known["q"] // BATCH))
+    width = max(1, known["width"])
     wanted = int(min(MAX_PIVOTS, max(16, known["n"] ** 0.5 / 2)))
     pivots = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()["v"], width)  # at most MAX_PIVOTS rows
     pivots = np.unique(pivots, axis=0)
@@ -125,17 +134,17 @@ def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id"
                 found.append(pd.DataFrame({"query_id": one, "id": ids[top], "score": s[top].astype(np.int64)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
 
-    batch = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(batches))
-    asked = placed.where("is_query").select("id", "v").mapInPandas(send, "id long, v array<double>, pack long").withColumn("batch", batch)
+    asked = materialise(placed.where("is_query").select("id", "v").mapInPandas(send, "id long, v array<double>, pack long"), "knn-asked")
     cell = F.col("cell") + 1
     firsts, splits = F.element_at(F.lit(first.tolist()), cell), F.element_at(F.lit(split.tolist()), cell)
-    data = placed.select("id", "v", (firsts + F.pmod(F.xxhash64(F.lit(3), "id"), splits)).cast("long").alias("pack"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"))
+    data, asked = copies(placed.select("id", "v", (firsts + F.pmod(F.xxhash64(F.lit(3), "id"), splits)).cast("long").alias("pack")), asked)
     partial = data.groupBy("pack", "batch").cogroup(asked.groupBy("pack", "batch")).applyInPandas(solve, "query_id long, id long, score long")
     top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return partial.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 best of every vector whose id is divisible by 20."""
     return knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20).withColumnRenamed("id", "vec_id")
 
 
