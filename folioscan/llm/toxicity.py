@@ -26,8 +26,12 @@ from folioscan.llm.common import materialise, table
 SAMPLE = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Chance that any word enters by accident; least share of toxic documents among those that hold a weak, a strong term.
-ALPHA, PURITY, STRONG, MOST_TERMS = 0.2, 0.4, 0.97, 5000
-WINDOW, REPORT_WINDOW, MEMO = 8, 4, 200_000
+ALPHA, PURITY, STRONG = 0.2, 0.4, 0.97
+#: Most words, and most stems, that the lexicon takes: those in the most toxic documents of the sample, of equals the first by code point.
+MOST_TERMS = 5000
+WINDOW, REPORT_WINDOW = 8, 4
+#: Tokens, and states of the automaton, that a worker remembers.
+MEMO, STATES = 200_000, 2_000_000
 #: Words of report, fixed.
 REPORT = frozenset("said says say quote quoted quotes called calls word term wrote reported zitat zitiert sagte nannte wort dit cite mot dijo cita palabra llamó".split())
 QUOTES = "\"“”„«»‘’‹›"
@@ -41,12 +45,11 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 @dataclass
 class Lexicon:
-    """Terms as {text: is a stem}; those in `literal` allow no edits, those in `weak` are evidence of their own kind; tokens in
-    `benign` are no misspellings. Holds the automaton as far as it has been walked."""
+    """Terms as {text: is a stem}; those in `weak` are evidence of their own kind; tokens in `benign` are no misspellings.
+    Holds the automaton as far as it has been walked."""
 
     terms: dict[str, bool]
     weak: frozenset[str] = frozenset()
-    literal: frozenset[str] = frozenset()
     benign: frozenset[str] = frozenset()
     children: list[dict[str, int]] = field(init=False, repr=False)
 
@@ -61,11 +64,12 @@ class Lexicon:
                 node = self.children[node][c]
             self._ends[node] = (term, self.edits(term))
         self._step: dict[tuple[frozenset, str], frozenset] = {}
+        self._states = 0  # in the sets of _step
         self._start = self._closed({0: 0})
         self._memo: dict[str, tuple[str, int] | None] = {}
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "weak": self.weak, "literal": self.literal, "benign": self.benign}
+        return {"terms": self.terms, "weak": self.weak, "benign": self.benign}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -74,8 +78,6 @@ class Lexicon:
     def edits(self, term: str) -> int:
         """Edits that a term allows; a stem needs more letters for them."""
         n = len(term)
-        if term in self.literal:
-            return 0
         return int(n >= 7) if self.terms[term] else int(n >= 5) + int(n >= 9)
 
     def _closed(self, states: dict[int, int]) -> frozenset:
@@ -104,7 +106,11 @@ class Lexicon:
                     states[node] = min(e + 1, states.get(node, 3))
                     for other in self.children[node].values():
                         states[other] = min(e + 1, states.get(other, 3))
+            if self._states > STATES:
+                self._step.clear()
+                self._states = 0
             self._step[at, c] = self._closed(states)
+            self._states += len(self._step[at, c])
         return self._step[at, c]
 
     def match(self, token: str) -> tuple[str, int] | None:
@@ -124,15 +130,13 @@ class Lexicon:
         if token not in self._memo:
             if len(self._memo) > MEMO:
                 self._memo.clear()
-            if len(self._step) > 2_000_000:
-                self._step.clear()
             if len(token) > 64:
                 return self.match(token)
             self._memo[token] = self.match(token)
         return self._memo[token]
 
     def features(self, text: str | None) -> tuple[int, int, int, int, int, int]:
-        """(any term, further terms up to 2, any quoted term, any misspelled term, weak hits up to 3, misspelled ones up to 2) of a text."""
+        """(any term, further terms, any quoted term, any misspelled term, weak hits, misspelled weak ones) of a text."""
         low = (text or "").lower()
         tokens = _TOKEN.findall(low)
         known, lookup = self._memo, self.lookup
@@ -155,13 +159,18 @@ class Lexicon:
                 misspelled += 1
             else:
                 plain += 1
-        return int(plain > 0), min(2, max(0, plain - 1)), int(quoted > 0), int(misspelled > 0), min(3, weak), min(2, unsure)
+        return int(plain > 0), max(0, plain - 1), int(quoted > 0), int(misspelled > 0), weak, unsure
+
+
+def evidence(features: tuple[int, ...]) -> list[float]:
+    """What the model takes of the features: every further hit tells less than the one before."""
+    return [float(np.log2(1 + f)) for f in features]
 
 
 def fit_weights(counts: list[tuple[tuple[int, ...], float, float]]) -> np.ndarray:
     """Weights and, last, the bias of the logistic model of (features, toxic, clean) and BEFOREHAND, by Newton's method."""
     seen = [*counts, *BEFOREHAND]
-    x = np.array([[*f, 1] for f, _, _ in seen], dtype=float)
+    x = np.array([[*evidence(f), 1] for f, _, _ in seen], dtype=float)
     y, n = np.array([p for _, p, _ in seen], dtype=float), np.array([p + q for _, p, q in seen], dtype=float)
     w = np.zeros(x.shape[1])
     for _ in range(100):
@@ -184,7 +193,7 @@ class ToxicityModel:
     weights: np.ndarray
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.dot(self.weights, [*self.lexicon.features(text), 1]))))
+        return float(1 / (1 + np.exp(-np.dot(self.weights, [*evidence(self.lexicon.features(text)), 1]))))
 
 
 def _mapped(df: DataFrame, lexicon: Lexicon, text_col: str, schema: str, to) -> DataFrame:
@@ -197,8 +206,9 @@ def _mapped(df: DataFrame, lexicon: Lexicon, text_col: str, schema: str, to) ->
     return df.mapInPandas(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Learns from labelled rows outside the held-out fifth, at most `sample` of them, copies of a text counting once.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_terms: int = MOST_TERMS) -> ToxicityModel:
+    """Learns from labelled rows outside the held-out fifth, at most `sample` of them, copies of a text counting once; the
+    lexicon takes at most `most_terms` words and as many stems.
 
     Rows without label, id or text teach nothing; of several labels of one id, the greatest holds. Without any labelled
     rows the lexicon is empty and every score is that of BEFOREHAND."""
@@ -225,10 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def stands_out(stats: DataFrame) -> DataFrame:
         bar = float(2 * np.log(max(2, stats.count()) / ALPHA))
-        return stats.where((F.col("pos") * u > F.col("neg") * t) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= PURITY) & (g2(F.col("pos"), F.col("neg")) >= bar)).orderBy(F.col("pos").desc()).limit(MOST_TERMS)
+        return stats.where((F.col("pos") * u > F.col("neg") * t) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= PURITY) & (g2(F.col("pos"), F.col("neg")) >= bar)).orderBy(F.col("pos").desc(), stats.columns[0]).limit(most_terms)
 
     pure = lambda r: r["pos"] >= STRONG * (r["pos"] + r["neg"] + 1)  # noqa: E731  not on few documents
-    found = {r["word"]: r for r in stands_out(words).collect() if len(r["word"]) > 2}
+    found = {r["word"]: r for r in stands_out(words).collect()}
     stem_rows = sorted(((len(r["stem"]), r["stem"], r) for r in stands_out(materialise(stems, "toxic-stems")).collect()), key=lambda x: x[:2])
     most = {s: 0 for _, s, _ in stem_rows}
     if most:
@@ -253,13 +263,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fitted = Lexicon(terms, frozenset(weak), benign=frozenset(w for w, n in near.items() if n > 1))
     names = ("f0", "f1", "f2", "f3", "f4", "f5")
     seen = _mapped(rows, fitted, "text", "f0 int, f1 int, f2 int, f3 int, f4 int, f5 int, toxic int", lambda lex, b: pd.DataFrame(list(map(lex.features, b["text"])), columns=list(names)).assign(toxic=b["toxic"].to_numpy()))
-    counts = [(tuple(r[:6]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # at most 288 rows
+    counts = [(tuple(r[:6]), r["p"], r["q"]) for r in seen.groupBy(*names).agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()]  # no more than the sample
     return ToxicityModel(lexicon, fit_weights(counts))
 
 
-def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with the probability that each text is toxic. Null and empty texts have the score of a text without hits; all rows and columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _scorer(docs: DataFrame, model: ToxicityModel):
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its lexicon has at most most_terms words and stems
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -267,15 +276,22 @@ def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", ou
         for t in texts:
             yield t.map(model.score, na_action=None).astype("float64")
 
-    return docs.withColumn(out_col, score(F.col(text_col)))
+    return score
+
+
+def with_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """docs with the probability that each text is toxic. Null and empty texts have the score of a text without hits; all
+    rows, repeated ones too, and all columns stay, but for one of the name out_col. An empty table stays empty."""
+    return docs.withColumn(out_col, _scorer(docs, model)(F.col(text_col)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that a model fitted to them and the labels holds clean, with all their columns."""
-    return with_score(docs, fit(docs, labels, text_col=text_col, **how), text_col, "_score").where("_score < 0.5").drop("_score")
+    """The rows of docs that a model fitted to them and the labels holds clean, with all their columns, which may have any names."""
+    return docs.where(_scorer(docs, fit(docs, labels, text_col=text_col, **how))(docs[text_col]) < 0.5)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = with_score(docs.select("doc_id", "text"), model)
