@@ -24,7 +24,7 @@ from folioscan.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered pre-tokens (and pairs) of a worker, and the longest one.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 150_000, 48
 KEYS_A_BUCKET = 4
 
 
@@ -160,7 +160,8 @@ class Bpe:
 
 
 def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """docs with a column of token ids. Null counts as empty, and an empty text has no tokens. Other columns and rows stay as they are."""
+    """docs with a column of token ids. Null counts as empty, and an empty text has no tokens. Rows that repeat are each
+    encoded; all rows and other columns stay, but for one of the name out_col. An empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(bpe)  # bounded by the vocabulary
 
     @F.pandas_udf("array<int>")
@@ -172,7 +173,8 @@ def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text", out_col: str = "to
 
 
 def decode(rows: DataFrame, bpe: Bpe, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """rows with the bytes that the ids stand for; null ids give no bytes."""
+    """rows with the bytes that the ids stand for; null ids give no bytes. Rows that repeat are each decoded; all rows and
+    other columns stay, but for one of the name out_col. An empty table stays empty."""
     sent = rows.sparkSession.sparkContext.broadcast(bpe)
 
     @F.pandas_udf("binary")
@@ -212,6 +214,7 @@ def default_bpe(path: str | None = None, pattern: str | None = None) -> Bpe:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes of every document."""
     out = encode_batches(table(spark, sf_dir, "documents"), default_bpe(), "doc_id", "text")
     joined = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
