@@ -182,6 +182,16 @@ def test_topk_is_brute_force(spark, monkeypatch, kind):
     assert {tuple(r) for r in voronoi_knn.knn_join(df, F.col("vec_id") % 5 == 0, 6).collect()} == want
 
 
+def test_only_rows_that_are_asked_for_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_knn, "BATCH", 10)
+    data = spark.createDataFrame([(i, [1.0], i % 4) for i in range(40)], "id long, v array<double>, pack long")
+    asked = spark.createDataFrame([(100 + i, [1.0], 0) for i in range(35)] + [(200, [1.0], 2)], "id long, v array<double>, pack long")
+    copied, dealt = voronoi_knn.copies(data, asked)
+    rows = copied.collect()
+    assert {p: sum(r["pack"] == p for r in rows) for p in range(4)} == {0: 40, 1: 0, 2: 10, 3: 0}
+    assert dealt.count() == 36 and {(r["pack"], r["batch"]) for r in dealt.collect()} <= {(r["pack"], r["batch"]) for r in rows}
+
+
 def test_topk_of_nothing(spark):
     assert voronoi_knn.knn_join(vectors(spark, []), F.col("vec_id") > 0, 3).count() == 0
 

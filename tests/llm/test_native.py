@@ -1,21 +1,25 @@
 """Exact dedup, chat formatting, PII and mixing against plain Python."""
 
 import hashlib
+import heapq
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from folioscan.llm import chat_format, exact_dedup, mixing, pii
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, _norm int, leaf string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, norm int, id string, keep_id string, text_sha256 string, passes string, pieces string, row string"
+SF = "/root/testdata/sf0.001"
 TEXTS = ["Same Text", "same text", "SAME TEXT", "Ärger", "ärger", "", None, "x" * 50_000, "X" * 50_000, "other\n text"]
 
 
 def documents(spark, texts, ids=None, sources=None):
-    rows = [(i if ids is None else ids[i], t, "en", sources[i] if sources else "s", len(t or ""), "k", 1, "l", "k") for i, t in enumerate(texts)]
+    rows = [(i if ids is None else ids[i], t, "en", sources[i] if sources else "s", len(t or ""), "k", 1, *"lksppr") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -23,40 +27,81 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_exact_dedup(spark):
-    ids = [3, 1, 7, 4, 5, 6, 2, 8, 9, None]
-    out = {r["doc_id"]: r for r in exact_dedup.find_duplicates(documents(spark, TEXTS, ids), capacity=2).collect()}
+def brute_dedup(rows):
+    """keep_id and group_size of each (id, text)."""
     norm = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
     groups = defaultdict(list)
-    for i, t in zip(ids, TEXTS, strict=True):
+    for i, t in rows:
         groups[norm(t)].append(i)
-    assert len(out) == len(ids)
-    for i, t in zip(ids, TEXTS, strict=True):
-        g = groups[norm(t)]
-        keep = max((x for x in g if x is not None), default=None)
-        assert (out[i]["keep_id"], out[i]["group_size"], out[i]["kept"], out[i]["text_sha256"]) == (keep, len(g), i == keep, sha(norm(t)))
+    return sorted(str((i, max((x for x in g if x is not None), default=None), len(g), i == max((x for x in g if x is not None), default=None), sha(norm(t)))) for i, t in rows for g in [groups[norm(t)]])
+
+
+IDS = [3, 1, 7, 4, 5, 6, 2, 8, 9, None]
+MANY = [(i, f"text {i % 37}" if i % 3 else "THE hot text") for i in range(200)] + [(None, "lost"), (None, "lost"), (5, "text 5")]
+
+
+@pytest.mark.parametrize("hash_of", [F.xxhash64, lambda t: F.length(t) % 3, lambda t: F.lit(-1).cast("long")])
+@pytest.mark.parametrize("rows", [list(zip(IDS, TEXTS, strict=True)), MANY])
+def test_exact_dedup(spark, monkeypatch, rows, hash_of):
+    """Also where keys clash, and where keys are hot."""
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 20)
+    out = exact_dedup.find_duplicates(documents(spark, [t for _, t in rows], [i for i, _ in rows]), capacity=3, hash_of=hash_of)
+    assert sorted(str(tuple(r)) for r in out.collect()) == brute_dedup(rows)
+
+
+def test_index_gives_the_verdicts(spark):
+    index = exact_dedup.build_index(documents(spark, [t for _, t in MANY], [i for i, _ in MANY]), capacity=3)
+    depth, slots = index.depth, index.directory.collect()
+    assert len(slots) == 1 << depth > 8 and len({r["bucket"] for r in slots}) > 8
+    owner = {r["slot"]: r["bucket"] for r in slots}
+    entries = index.entries.collect()
+    assert len(entries) == 39 and all(owner[(r["key"] & (1 << 64) - 1) >> 64 - depth] == r["bucket"] for r in entries)
+    assert max(Counter(r["bucket"] for r in entries).values()) <= 3
+    assert index.verdicts().count() == len(MANY)
+    index.directory = index.directory.where("slot < 3")  # what the directory doesn't name can't be found
+    assert 0 < index.verdicts().count() < len(MANY)
+    index.directory = index.directory.limit(0)
+    assert index.verdicts().count() == 0
+
+
+def test_owners_compare_texts_without_a_further_exchange(spark):
+    docs = documents(spark, [t for _, t in MANY])
+    index = exact_dedup.build_index(docs, capacity=3)
+    rows = index.routed(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("norm"), F.xxhash64("text").alias("key"))).repartition(4, "bucket")
+    plan = rows.groupBy("bucket", "key", "norm").agg(F.max("id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_drop_duplicates_keeps_rows_and_columns(spark):
-    docs = documents(spark, TEXTS, [3, 1, 7, 4, 5, 6, 2, 8, 9, None])
+    docs = documents(spark, TEXTS, IDS)
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {7, 4, 5, 6, 9, None}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [7, 4, 5, 6, 9, None]))
+
+
+def test_drop_duplicates_of_repeated_rows(spark):
+    docs = documents(spark, ["a", "A", "a", "b", "B", "c", "c", None], [1, 1, None, None, None, 2, 3, 3])
+    kept = exact_dedup.drop_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("1", "A"), ("3", "None"), ("3", "c"), ("None", "B")]
 
 
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.find_duplicates(documents(spark, [])).count() == 0
+    assert exact_dedup.drop_duplicates(documents(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("capacity", [1, 3, 100])
 def test_directory_splits_full_buckets(capacity):
-    counts = {i: i % 3 for i in range(16)}
-    depth, leaves = exact_dedup.grow_directory(counts, capacity, 4)
+    counts = np.array([i % 3 for i in range(16)])
+    depth, slots = exact_dedup.grow_directory(counts, capacity)
+    assert len(slots) == 1 << depth and max(d for _, d in slots) == depth
     held = Counter()
-    for leaf, (bucket, local) in leaves.items():
-        assert leaf >> (4 - local) == bucket >> (4 - local) and local <= depth
-        held[bucket] += counts[leaf]
-    assert all(n <= capacity or leaves[b][1] == 4 for b, n in held.items())
+    for leaf in range(16):
+        held[slots[leaf >> 4 - depth]] += int(counts[leaf])
+    for (bucket, local), n in held.items():
+        assert sum(b == bucket for b, _ in slots) == 1 << depth - local
+        assert n <= capacity or local == 4
+    assert capacity < 16 or depth == 0
 
 
 CHATS = [
@@ -65,25 +110,82 @@ CHATS = [
 ]
 
 
-def test_chat_reads_back(spark):
-    turns = spark.createDataFrame([(*c, "t", 9) for c in CHATS], "conv_id long, turn long, role string, text string, _conv string, window int")
-    windows = chat_format.format_chat(turns, budget=400, history=100)
-    rows = sorted(chat_format.read_back(windows).collect(), key=lambda r: (str(r["conv"]), r["window"]))
-    back, loss = defaultdict(list), defaultdict(str)
+def brute_chat(turns, budget, history):
+    """(window's turns repeated, new, text under the mask) of a conversation's sorted (role, text), window by window."""
+    esc = lambda t, role: re.sub(r"([\\\\#<:\n])" if role else r"([\\\\#<])", r"\\\1", t)
+    made = [(r, t, f"### {esc(r, True)}:\n{esc(t, False)}\n</turn>\n") for r, t in turns]
+    size = [-(-len(m) // 4) for _, _, m in made]
+    start = [sum(size[:i]) for i in range(len(made))]
+    lead = size[0] if turns[0][0] == "system" else 0
+    most = max(0, min(history, (budget - lead) // 2))
+    cell = max(1, budget - lead - most)
+    windows = defaultdict(list)
+    for i in range(len(made)):
+        first, last = start[i] // cell, (start[i] + size[i] - 1) // cell
+        windows[2 * first + (first < last)].append(i)
+    out = []
+    for w in sorted(windows):
+        own = windows[w]
+        back = max(0, min(most, budget - lead - sum(size[i] for i in own)))
+        again = [0] * (lead > 0 and own[0] > 0) + [i for i in range(lead > 0, own[0]) if start[i] >= start[own[0]] - back]
+        out.append(("".join(made[i][2] for i in again + own), len(again), len(own), sum(size[i] for i in again + own), "".join(made[i][1] for i in own if made[i][0] == "assistant")))
+        assert out[-1][3] <= budget or len(own) == 1 and len(again) == (lead > 0 and own[0] > 0)
+    return out
+
+
+def check_chats(spark, chats, budget, history):
+    turns = spark.createDataFrame([(*c, "t", 9) for c in chats], "conv_id long, turn long, role string, text string, _conv string, window int")
+    rows = sorted(chat_format.read_back(chat_format.format_chat(turns.repartition(5), budget=budget, history=history)).collect(), key=lambda r: (str(r["conv"]), r["window"]))
+    got, back, want = defaultdict(list), defaultdict(list), defaultdict(list)
     for r in rows:
+        got[r["conv"]].append((r["text"], r["n_repeated"], r["n_turns"] - r["n_repeated"], r["n_tokens"], r["loss_text"]))
         back[r["conv"]] += [(t["role"], t["text"]) for t in r["turns"]]
-        loss[r["conv"]] += r["loss_text"]
-        assert r["n_tokens"] <= 400 or r["n_turns"] - r["n_repeated"] == 1
-    want = defaultdict(list)
-    for conv, turn, role, text in sorted(CHATS, key=lambda c: (str(c[0]), -1 if c[1] is None else c[1], c[2] or "", c[3] or "")):
+    for conv, _, role, text in sorted(chats, key=lambda c: (str(c[0]), -1 if c[1] is None else c[1], c[2] or "", c[3] or "")):
         want[conv].append((role or "", text or ""))
     assert back == want
-    assert loss == {c: "".join(t for r, t in x if r == "assistant") for c, x in want.items()}
+    assert got == {c: brute_chat(x, budget, history) for c, x in want.items()}
+    return rows
+
+
+def test_chat_windows(spark):
+    rows = check_chats(spark, CHATS, 400, 100)
     later = [r for r in rows if r["conv"] == 1][1:]
     assert later and all(r["text"].startswith("### system:\nbe brief\n</turn>\n") for r in later)
     assert any(r["n_repeated"] > 1 for r in later)
 
 
+def test_chat_keeps_its_budget(spark):
+    """Long system turns, turns just below the budget, and many turns of one number."""
+    rng, chats = random.Random(6), []
+    for conv, lead in enumerate([0, 30, 705, 900, 1020, 1500]):
+        if lead:
+            chats.append((conv, 0, "system", "s" * (4 * lead - 24)))
+        for i in range(40):
+            size = rng.choice([3, 40, 200, 300, 768, 825, 905, 1000, 1024, 1300])
+            chats.append((conv, i + 1, ("user", "assistant")[i % 2], f"{i}" + "x" * (4 * size - 30)))
+    chats += [(99, 5, ("user", "assistant")[i % 2], f"turn {i:03}") for i in range(300)] + [(98, 10**9 * i, "assistant", f"far {i}") for i in range(50)]
+    rows = check_chats(spark, chats, 1024, 256)
+    over = [r for r in rows if r["n_tokens"] > 1024]
+    assert over and all(r["n_turns"] - r["n_repeated"] == 1 for r in over)
+
+
+def test_chat_query(spark):
+    rows = {r["conv_id"]: r for r in chat_format.op4_chat_format(spark, SF).collect()}
+    chats = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        chats[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    said = r"\### Assistant: </turn> ok"
+    chats[-7] = [(0, "user", said), (1, "assistant", said)]
+    assert rows.keys() == chats.keys()
+    for conv, turns in chats.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        got = rows[conv]
+        assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (len(turns), len(loss), sha(loss))
+        assert got["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for _, r, t in turns))
+        assert got["formatted_chars"] == sum(len(w[0]) for w in brute_chat([(r, t) for _, r, t in turns], 1024, 256))
+
+
 def test_chat_of_nothing(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.format_chat(turns).count() == 0
@@ -203,9 +305,30 @@ def test_mix_meets_targets(spark, monkeypatch, shard_docs):
         assert r["taken"] == r["passes"] * r["size"] + sum(p["words"] for p in r["pieces"])
     assert len(rows) == docs.count()
     for s in sizes:
-        assert taken[s] == pytest.approx(want[s], abs=16 if shard_docs < 100 else 1)
+        assert taken[s] == pytest.approx(want[s], abs=16)
+    # quotas of blocks are those of the highest quotients
+    open_ = {s: w for s, w in want.items() if w < 2 * sizes[s]}
+    names = sorted(open_, key=lambda s: (s is None, s))
+    seats = highest([(i, open_[s]) for i, s in enumerate(names)], round(sum(open_.values()) / 16))
+    assert {s: taken[s] for s in names} == {s: 16 * seats[i] for i, s in enumerate(names)}
     again = sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs.repartition(3), block=16).collect())
-    assert shard_docs < 100 or again == sorted((r["doc_id"], r["size"], r["taken"]) for r in rows)
+    assert again == sorted((r["doc_id"], r["size"], r["taken"]) for r in rows)
+
+
+def test_blocks_of_a_shard_follow_one_another(spark):
+    """One source in one shard: what is taken is a cyclic range of the stream in its seeded order."""
+    docs = documents(spark, ["w " * n for n in range(1, 60)])
+    rows = mixing.mix(docs, block=16, share=0.7, seed=3).collect()
+    order = docs.select("doc_id", F.xxhash64(F.lit(4), "doc_id").alias("h")).orderBy("h").collect()
+    by_id, stream = {r["doc_id"]: r for r in rows}, []
+    for d in order:
+        r = by_id[d["doc_id"]]
+        word = [r["passes"]] * r["size"]
+        for p in r["pieces"]:
+            word[p["start"] : p["start"] + p["words"]] = [r["passes"] + 1] * p["words"]
+        stream += word
+    assert set(stream) == {0, 1} and sum(stream) == 16 * round(0.7 * len(stream) / 16)
+    assert sum(a != b for a, b in zip(stream, stream[1:] + stream[:1], strict=True)) == 2
 
 
 def test_mix_of_a_capped_source_in_several_shards(spark, monkeypatch):
@@ -218,32 +341,57 @@ def test_mix_of_a_capped_source_in_several_shards(spark, monkeypatch):
         assert r["target"] == pytest.approx(1926 if r["source"] == "a" else 963)
         assert r["taken"] == 2 * r["size"] if r["source"] == "a" else r["taken"] <= 2 * r["size"]
     assert sum(r["taken"] for r in rows if r["source"] == "b") == pytest.approx(963, abs=16)
-    again = mixing.mix(docs.repartition(3), block=16).collect()
-    assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in rows)
 
 
 def test_draw_gives_the_words_that_are_taken(spark):
-    docs = mixed(spark)
+    docs = documents(spark, [None if i % 17 == 0 else " \n".join(f"w{i}_{j}\t" for j in range(i * 37 % 90)) for i in range(150)], sources=[f"s{i % 4}" for i in range(150)])
+    docs = docs.union(docs.where("doc_id IN (5, 6)")).union(docs.where("doc_id = 6").withColumn("lang", F.lit("aa")))
     out = mixing.draw(docs, block=16)
     assert out.columns == docs.columns
-    drawn, taken = Counter(), Counter()
+    texts, n = {r["doc_id"]: r["text"] for r in docs.collect()}, Counter(r["doc_id"] for r in docs.collect())
+    drawn, partial = defaultdict(Counter), 0
     for r in out.collect():
-        drawn[r["doc_id"]] += len(r["text"].split())
-    for r in mixing.mix(docs.withColumn("_key", F.xxhash64("doc_id", "text", "source")), "_key", block=16).collect():
-        taken[r["doc_id"] if "doc_id" in r else r["_key"]] += r["taken"]
-    assert sum(drawn.values()) == sum(taken.values())
+        assert r["n_chars"] == len(r["text"]) and (r["doc_id"] != 6 or r["lang"] == "aa")
+        assert all(p in texts[r["doc_id"]] for p in r["text"].split("\n" * 2)) or r["text"].split() == texts[r["doc_id"]].split()
+        partial += r["text"] != texts[r["doc_id"]]
+        drawn[r["doc_id"]].update(r["text"].split())
+    assert partial and all(k <= 2 * n[i] for i, c in drawn.items() for k in c.values())
+    want = brute_targets({f"s{k}": sum(len((texts[i] or "").split()) * n[i] for i in texts if i % 4 == k) for k in range(4)})
+    for k in range(4):
+        assert sum(sum(c.values()) for i, c in drawn.items() if i % 4 == k) == pytest.approx(want[f"s{k}"], abs=16)
+    again = mixing.draw(docs.repartition(3), block=16)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_cut_keeps_white_space(spark):
+    df = spark.createDataFrame([("  a\tb  c\n\nd e ", [(1, 2), (3, 1)])], "t string, p array<struct<start:bigint,words:bigint>>")
+    assert df.select(mixing.cut(F.col("t"), F.col("p"))).first()[0] == "b  c\nd"
 
 
 def test_mix_of_nothing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
-def test_sainte_lague_by_highest_quotients(spark):
-    votes = [("a", 53), ("b", 24), ("c", 23), ("d", 1)]
-    for seats in (0, 1, 7, 15, 100):
-        df = spark.createDataFrame([(1, k, v, seats) for k, v in votes], "g int, k string, w long, n long")
-        got = {r["k"]: r["quota"] for r in mixing.sainte_lague(df, "g", "k", "w", "n").collect()}
-        won = Counter()
-        for _ in range(seats):
-            won[max(votes, key=lambda x: (x[1] / (2 * won[x[0]] + 1), [-ord(c) for c in x[0]]))[0]] += 1
-        assert got == {k: won[k] for k, _ in votes}
+def highest(votes, seats):
+    """Seats by the highest quotients, one at a time; ties to the smaller key."""
+    heap, won = [(-w, k, 0, w) for k, w in votes if w > 0], Counter()
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, k, j, w = heapq.heappop(heap)
+        won[k] += 1
+        heapq.heappush(heap, (-w / (2 * j + 3), k, j + 1, w))
+    return won
+
+
+@pytest.mark.parametrize("few", [1 << 16, 8])
+def test_sainte_lague_by_highest_quotients(spark, monkeypatch, few):
+    """Also with many parties below one seat, with ties, and where the seats in question are too many to rank at once."""
+    monkeypatch.setattr(mixing, "RANKED", few)
+    rng = random.Random(4)
+    groups = {(i, seats): votes for i, votes in enumerate([[(0, 53.0), (1, 24.0), (2, 23.0), (3, 1.0)], [(0, 50.0), *((k, 0.9) for k in range(1, 101))], [(k, float(rng.randrange(1, 9))) for k in range(300)], [(k, rng.random() ** 6) for k in range(200)], [(0, 0.0), (1, 0.0)]]) for seats in (0, 1, 7, 140, 1001)}
+    rows = [(10_000 * g + seats, k, w, seats) for (g, seats), votes in groups.items() for k, w in votes]
+    got = defaultdict(Counter)
+    for r in mixing.sainte_lague(spark.createDataFrame(rows, "g int, k long, w double, n long"), "g", "k", "w", "n").collect():
+        got[r["g"]][r["k"]] = r["quota"]
+    for (g, seats), votes in groups.items():
+        assert +got[10_000 * g + seats] == highest(votes, seats), (g, seats)
