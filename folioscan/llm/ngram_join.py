@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from folioscan.llm.common import materialise, table
 from folioscan.llm.components import components
@@ -91,15 +91,15 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 @lru_cache(maxsize=8)
 def _bands(num: int, den: int) -> list[tuple[int, int]]:
-    return [(1, den * den // (num * num))]
+    return [(1, den**3 // num**3)]
 
 
 def band_of(n: int, num: int, den: int) -> int:
-    """Bands are [s, floor(s (den / num)^2)], from 1 on without gaps; a partner is in a set's band or in one next to it."""
+    """Bands are [s, floor(s (den / num)^3)], from 1 on without gaps; a partner is in a set's band or in one next to it."""
     bands = _bands(num, den)
     while bands[-1][1] < n:
         start = bands[-1][1] + 1
-        bands.append((start, start * den * den // (num * num)))
+        bands.append((start, start * den**3 // num**3))
     low, high = 0, len(bands) - 1
     while low < high:
         mid = (low + high) // 2
@@ -328,14 +328,19 @@ def rest(large: DataFrame, roots: DataFrame) -> DataFrame:
 
     `large` has (key, node, info). A key whose nodes are in one component needs nothing. Partners share at least `need`
     keys in a band, and any key of theirs with three nodes or fewer has made them candidates: so both have at least
-    `need` keys that are left. Keys go together by their first node, the pivot."""
+    `need` keys that are left. Each node then drops its need - 1 most frequent ones: of the keys that partners share, the
+    least frequent comes after need - 1 others with either, so they still share that. Keys go together by their first
+    node, the pivot."""
     rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", NEED_AT) % (MOST_NEED + 1)).alias("need"))
     rows = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-large")
-    open_ = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("node").alias("pivot")).where("_lo <> _hi").select("_k", "pivot")
-    rows = rows.join(open_(rows).drop("pivot"), F.col("key") == F.col("_k"), "left_semi")
+    open_ = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("node").alias("pivot"), F.count(F.lit(1)).alias("_often")).where("_lo <> _hi")
+    rows = rows.join(open_(rows).select("_k"), F.col("key") == F.col("_k"), "left_semi")
     enough = rows.groupBy(F.col("node").alias("_n"), F.col("next").alias("_x")).agg(F.count(F.lit(1)).alias("_c"), F.max("need").alias("_m")).where("_c >= _m")
     rows = materialise(rows.join(enough, (F.col("node") == F.col("_n")) & (F.col("next") == F.col("_x")), "left_semi"), "join-open")
-    return rows.join(open_(rows), F.col("key") == F.col("_k")).select("pivot", "node", "root").distinct()
+    most = Window.partitionBy("node", "next").orderBy(F.col("_often").desc(), "key")
+    rows = rows.join(open_(rows).select("_k", "_often"), F.col("key") == F.col("_k")).withColumn("_place", F.row_number().over(most)).where(F.col("_place") >= F.col("need"))
+    rows = materialise(rows.select("key", "node", "root"), "join-rare")
+    return rows.join(open_(rows).select("_k", "pivot"), F.col("key") == F.col("_k")).select("pivot", "node", "root").distinct()
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -409,7 +414,7 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     has one. Rows that share an id are rows of their own, and ids reach through each other's links no further. Null ids
     join as others do and are never the smallest. Other columns are ignored; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = _apart(materialise(sketches(rows, words, num, den), "join-sketches"))
+    known = _apart(materialise(sketches(rows, words, num, den), "join-sketches", compression="zstd"))
     nodes = materialise(known.where("n > 0").groupBy("node").agg(F.min("_id").alias("least")), "join-nodes")
     found = materialise(candidates(key_rows(known), num, den), "join-candidates")
     pairs = materialise(met_enough(found), "join-pairs")
