@@ -2,16 +2,20 @@
 
 Labelled pages teach a log-odds for every feature of the place that a word stands in: the sectioning tags and the class
 and id names of the elements around it. A word scores by the nearest element with evidence, or an aside around that, at
-most one unit either way; a tag costs what tags cost in the labelled pages. One linear scan finds the contiguous region of
-the highest sum. Words of the region that score below zero, in a menu inside an article for instance, are left out.
+most one unit either way. Where neither tags nor names tell anything, a logistic model of its block does, fitted to such
+blocks of the labelled pages: the block's tag, length, share of links, depth, and the blocks before and after it. A tag
+costs what tags cost in the labelled pages. One linear scan finds the contiguous region of the highest sum. Words of the
+region that score below zero, in a menu inside an article for instance, are left out.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +26,7 @@ from folioscan.llm.common import table
 from folioscan.llm.html_labels import labelled_pages
 
 #: Elements whose content is no text of the page, or is raw. Fixed values.
-DROPPED = frozenset("script style noscript template iframe svg canvas object audio video math textarea select option datalist button head title".split())
+DROPPED = frozenset("script style noscript template iframe canvas audio video textarea select option datalist button head title".split())
 RAW = ("script", "style", "textarea", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin a block of text. Fixed values.
@@ -31,6 +35,8 @@ BLOCKS = frozenset(
 )
 #: Tags that tell by themselves what their text is. Fixed values.
 SECTIONS = frozenset("article main nav aside header footer form menu dialog fieldset label".split())
+#: Elements whose names tell by any part what they hold; elsewhere a name tells by the whole of it only. Fixed values.
+CONTAINERS = frozenset("html body div section article main aside nav header footer form table tbody tr td ul ol dl menu dialog fieldset figure details".split())
 #: What an element of the key closes when it begins, up to the nearest element of the set. Fixed values.
 CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 _P_ENDS = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -40,28 +46,31 @@ _NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|data-main|aria-hidden)\b(
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _features(tag: str, attributes: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
-    """Features of an element, those of one name together, and whether it is labelled as main."""
-    found, main = [(f"<{tag}",)] if tag in SECTIONS else [], False
+def _features(tag: str, attributes: str) -> tuple[tuple[tuple[str, ...], ...], bool | None]:
+    """Features of an element, those of one name together, and whether it is labelled as main, or as not so."""
+    found, main = [(f"<{tag}",)] if tag in SECTIONS else [], None
     if attributes and not attributes.isspace():
         for name, a, b, c in _NAMES.findall(attributes):
             value = a or b or c
             if name.lower() == "data-main":
-                main = True
+                main = value != "no"
             elif name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
                 found.append(("<hidden",))
             elif name.lower() in ("class", "id"):
-                found += [tuple(x.lower() for x in _PART.findall(one)) for one in value.split()]
+                names = [tuple(x.lower() for x in _PART.findall(one)) for one in value.split()]
+                found += [x for x in names if x and (tag in CONTAINERS or len(x) == 1)]
     return tuple(found), main
 
 
 class _Place:
     """An open element: its features, and the sum of the evidence of it and those around it."""
 
-    __slots__ = ("dropped", "inner", "main", "score", "tag", "trail")
+    __slots__ = ("block", "depth", "dropped", "inner", "link", "main", "score", "tag", "trail")
 
-    def __init__(self, tag: str, features: tuple[tuple[str, ...], ...], main: bool, around: "_Place | None", weights: dict[str, float] | None):  # noqa: UP037
-        self.tag, self.main = tag, main or bool(around and around.main)
+    def __init__(self, tag: str, features: tuple[tuple[str, ...], ...], main: bool | None, around: "_Place | None", weights: dict[str, float] | None):  # noqa: UP037
+        self.tag, self.main = tag, bool(around and around.main) if main is None else main
+        self.block = tag if tag in BLOCKS or around is None else around.block
+        self.depth, self.link = around.depth + 1 if around else 0, tag == "a" or bool(around and around.link)
         self.dropped = tag in DROPPED or bool(around and around.dropped)
         self.trail = (around.trail if around else ()) + tuple(f for name in features for f in name) if weights is None else ()
         self.inner = tag in ("article", "main") or bool(around and around.inner)
@@ -82,7 +91,7 @@ class _Place:
 
 def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple[str, _Place | None, int]]:
     """(text, place, block) of each run of text and ("", None, block) of each tag, in page order; dropped content is passed over."""
-    root = _Place("html", (), False, None, weights)
+    root = _Place("html", (), None, None, weights)
     stack, at, block, low = [root], 0, 0, None
     where: dict[str, list[int]] = {}  # the open elements of each tag, and those that begin a block, as places in the stack
     blocks: list[int] = []
@@ -121,7 +130,7 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple
             if where.get(tag):
                 close(where[tag][-1])
             continue
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attributes.endswith("/") and (where.get("svg") or where.get("math")):  # elsewhere a slash at the end means nothing
             continue
         if tag in CLOSES:
             ends, upto = CLOSES[tag]
@@ -145,22 +154,81 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple
             at = len(page) if end < 0 else end
 
 
+#: Kinds of blocks by tag, the bounds of their buckets of words, depths and shares of links, and how many features a block has.
+_KINDS = {t: i for i, tags in enumerate(("p", "li dt dd", "h1 h2 h3 h4 h5 h6", "td th", "pre blockquote figcaption")) for t in tags.split()}
+_LENGTHS, _DEPTHS, _SHARES = (3, 6, 11, 21, 41), (4, 7, 11), (1e-9, 0.34, 0.67)
+_WIDTH = 6 + 24 + 4 + 2 * 25
+
+
+def block_features(runs: list[tuple[str, _Place | None, int]]) -> dict[int, list[int]]:
+    """The features, of _WIDTH, that each block with words has: its kind, its length and share of links, its depth, and those of its neighbours."""
+    words: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    place_of: dict[int, _Place] = {}
+    for text, place, block in runs:
+        if place is not None and (n := len(text.split())):
+            words[block] += n
+            linked[block] += n * place.link
+            place_of.setdefault(block, place)
+    order = sorted(words)
+    shape = [4 * bisect_right(_LENGTHS, words[b]) + bisect_right(_SHARES, linked[b] / words[b]) for b in order]
+    around = [24, *shape, 24]
+    return {b: [_KINDS.get(place_of[b].block, 5), 6 + shape[i], 30 + bisect_right(_DEPTHS, place_of[b].depth), 34 + around[i], 59 + around[i + 2]] for i, b in enumerate(order)}
+
+
+@dataclass
+class Model:
+    """Log-odds of main text for each tag and name, weights of a block's features and their bias, and the cost of a tag."""
+
+    odds: dict[str, float]
+    blocks: np.ndarray
+    cost: float
+
+
+def _fit_blocks(rows: list[list[int]], main: list[bool]) -> np.ndarray:
+    """Weights and, last, the bias of a logistic model, by Newton's method with a ridge."""
+    x, y = np.zeros((len(rows), _WIDTH + 1)), np.array(main, dtype=float)
+    for i, r in enumerate(rows):
+        x[i, [*r, _WIDTH]] = 1
+    w = np.zeros(_WIDTH + 1)
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(_WIDTH + 1), x.T @ (y - p) - w)
+    return w
+
+
+#: Seed and number of the labelled pages that are learned from, least number of them that a name must be on, and least log-odds.
+PAGES, LEAST_PAGES, TELLING = (1, 400), 3, 0.7
+
+
 @lru_cache(maxsize=1)
-def learned() -> tuple[dict[str, float], float]:
-    """(log-odds of main text for each feature, cost of a tag), from the labelled pages."""
-    main, rest, tags, words = Counter(), Counter(), 0, 0
+def learned() -> Model:
+    pages = labelled_pages(*PAGES)
+    main, rest, on, tags, words = Counter(), Counter(), Counter(), 0, 0
     inside = outside = 0
-    for page in labelled_pages():
+    for page in pages:
+        seen: set[str] = set()
         for text, place, _ in tokens(page):
             if place is None:
                 tags += 1
                 continue
             n = len(text.split())
             words += n * place.main
+            seen |= {*place.trail}
             (main if place.main else rest).update({f: n for f in set(place.trail)})
             inside, outside = inside + n * place.main, outside + n * (not place.main)
-    odds = {f: float(np.log(((main[f] + 0.5) / (inside + 1)) / ((rest[f] + 0.5) / (outside + 1)))) for f in main | rest}
-    return {f: o for f, o in odds.items() if abs(o) > 1 and f not in ("<html", "<body")}, words / tags / 100
+        on.update(seen)
+    odds = {f: float(np.log(((main[f] + 0.5) / (inside + 1)) / ((rest[f] + 0.5) / (outside + 1)))) for f in main | rest if on[f] >= LEAST_PAGES}
+    odds = {f: o for f, o in odds.items() if abs(o) > TELLING and f not in ("<html", "<body")}
+    rows, labels = [], []
+    for page in pages:
+        runs = list(tokens(page, odds))
+        known = {b: p for _, p, b in reversed(runs) if p is not None}
+        for b, features in block_features(runs).items():
+            if not known[b].score:
+                rows.append(features)
+                labels.append(known[b].main)
+    return Model(odds, _fit_blocks(rows, labels), words / tags / 100)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -175,51 +243,63 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: blocks joined by line ends, white space inside a block by one space; empty if there is none."""
-    if not page:
-        return ""
-    weights, cost = learned()
-    runs = list(tokens(page, weights))
-    sure = any(p is not None and p.inner for _, p, _ in runs)  # the page says where its article is
-    scores, texts = [], []
-    for text, place, _ in runs:
+def kept_runs(page: str, model: Model) -> list[tuple[str, int]]:
+    """(text, block) of the runs of main text, in page order."""
+    runs = list(tokens(page, model.odds))
+    features = block_features(runs)
+    of_block = {b: float(model.blocks[f].sum() + model.blocks[-1]) / 2 for b, f in features.items()}
+    units = [0.0 if place is None else max(-1.0, min(1.0, place.score or of_block.get(block, 0.0))) for _, place, block in runs]
+    counts = [0 if place is None else len(text.split()) for text, place, _ in runs]
+    inner, outer = (sum(n for n, u, (_, p, _) in zip(counts, units, runs, strict=True) if p is not None and u > 0 and p.inner == x) for x in (True, False))
+    sure = inner >= max(1, outer)  # article tags are believed where they hold most of what may be main text
+    scores, kept = [], []
+    for (_, place, _), unit, n in zip(runs, units, counts, strict=True):
         if place is None:
-            scores.append(-cost)
-            texts.append(False)
+            scores.append(-model.cost)
+            kept.append(False)
             continue
-        n = len(text.split())
-        unit = max(-1.0, min(1.0, place.score or 0.25))
         if sure and not place.inner:
             unit = -1.0
         # what is left out costs little inside a region, so that a menu in it doesn't part an article
         scores.append(n * unit if unit > 0 else n * unit * (0.05 if sure and place.inner else 0.5))
-        texts.append(unit > 0)
+        kept.append(unit > 0)
     start, end = best_region(scores)
-    blocks: list[list[str]] = []
-    last = None
-    for (text, place, block), kept in zip(runs[start:end], texts[start:end], strict=True):
-        if place is None or not kept or not text:
-            continue
-        if block != last:
-            blocks.append([])
-            last = block
-        blocks[-1].append(text)
-    lines = (" ".join("".join(b).split()) for b in blocks)
+    return [(text, block) for (text, _, block), keep in zip(runs[start:end], kept[start:end], strict=True) if keep and text]
+
+
+def main_text(page: str | None, model: Model | None = None) -> str:
+    """The main text of a page: blocks joined by line ends, white space inside a block by one space; empty if there is none."""
+    blocks: dict[int, list[str]] = {}
+    for text, block in kept_runs(page, model or learned()) if page else ():
+        blocks.setdefault(block, []).append(text)
+    lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
+def page_score(pages: list[str], model: Model | None = None) -> float:
+    """The F1 score, by words, of the text found on labelled pages."""
+    both = found = wanted = 0
+    for page in pages:
+        want = Counter(w for text, place, _ in tokens(page) if place is not None and place.main for w in text.split())
+        got = Counter(w for text, _ in kept_runs(page, model or learned()) for w in text.split())
+        both, found, wanted = both + (want & got).total(), found + got.total(), wanted + want.total()
+    return 2 * both / max(1, found + wanted)
+
+
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages with their main text. Null and empty pages, and pages without an article, have the empty text; every row and other column stays."""
+    """pages with their main text. Null and empty pages, and pages without an article, have the empty text; every row,
+    repeated ones too, and every other column stays, but for one of the name out_col. An empty table stays empty."""
+    sent = pages.sparkSession.sparkContext.broadcast(learned())  # a few hundred weights
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(main_text, na_action=None).astype(object)
+            yield b.map(lambda page: main_text(page, sent.value), na_action=None).astype(object)
 
     return pages.withColumn(out_col, run(F.col(html_col)))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
     out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,8 +1,12 @@
-"""Labelled pages that the weights of HTML extraction are learned from.
+"""Labelled pages that the weights of HTML extraction are learned from, drawn from a seed.
 
-Written for this purpose. Elements with the attribute data-main hold the main text; everything else on a page is not.
+Written for this purpose. Elements with the attribute data-main hold the main text, but for those within them that have
+data-main="no"; everything else on a page is not. Layouts, names and lengths vary: menus whose names mean nothing,
+articles without a tag or a name of their own, boxes inside of articles.
 """
 
+import random
+
 #: Names that sites give to what surrounds an article, by class or id. Fixed values.
 ASIDE_NAMES = (
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner "
@@ -16,24 +20,92 @@ ASIDE_NAMES = (
 #: Names of elements around or inside articles. Fixed values.
 MAIN_NAMES = "article content main post entry story body text page container wrapper prose lead title headline".split()
 
-_WORDS = "several plain words of running text that a reader came to read on this page".split()
 
+class _Writer:
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+        self.names = list(ASIDE_NAMES)
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join("".join(self.rng.choice("bcdfglmnprstv") + self.rng.choice("aeiou") for _ in range(self.rng.randint(1, 4))) for _ in range(self.rng.randint(low, high)))
+
+    def name(self, known: list[str]) -> str:
+        """One of the names, alone or with others, or one that means nothing."""
+        rng = self.rng
+        if rng.random() < 0.4:
+            return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+        name = rng.choice(known)
+        return rng.choice(["{}", "{}", "{}-x1", "site-{}", "{}_q", "k-{}-z"]).format(name)
+
+    def attribute(self, known: list[str]) -> str:
+        return f' {self.rng.choice(["class", "class", "id"])}="{self.name(known)}"' if self.rng.random() < 0.8 else ""
+
+    def links(self, n: int) -> str:
+        return "".join(f"<li><a href='/{i}'>{self.words(1, 3)}</a></li>" for i in range(n))
+
+    def aside(self, inside: bool = False) -> str:
+        """A menu, an advert, a list of other pages, a form, notices or comments of readers."""
+        rng, no = self.rng, ' data-main="no"' if inside else ""
+        kind = rng.randrange(8)
+        tag = rng.choice(["div", "section", "aside", "div"])
+        if kind == 0:
+            tag = rng.choice(["nav", "menu"])
+            return f"<{tag}{no}><ul>{self.links(rng.randint(3, 9))}</ul></{tag}>"
+        if kind == 1:
+            return f'<div{no}{self.attribute(["menu", "nav", "navigation", "navbar", "toc", "breadcrumbs"])}><ul>{self.links(rng.randint(3, 12))}</ul></div>'
+        if kind == 2:
+            return f'<{tag}{no}{self.attribute(["related", "recommended", "more", "popular", "sidebar"])}><h3>{self.words(1, 3)}</h3>' + "".join(f"<p><a href='/{i}'>{self.words(4, 9)}</a></p>" for i in range(rng.randint(2, 6))) + f"</{tag}>"
+        if kind == 3:
+            return f"<form{no}{self.attribute(['search', 'login', 'newsletter'])}><label>{self.words(1, 2)}</label><fieldset>{self.words(1, 3)}</fieldset><p hidden>{self.words(1, 4)}</p><button>{self.words(1, 2)}</button></form>"
+        if kind == 4:
+            each = rng.choice(["li", "li", "div", "div", "div", "article"])
+            comments = "".join(f'<{each} class="comment"><p>{self.words(5, 25)}</p></{each}>' for _ in range(rng.randint(1, 5)))
+            return f'<{tag}{no} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "discussion", "replies"])}">{comments}</{tag}>'
+        if kind == 5:
+            return f'<dialog{no}>{self.words(3, 12)}</dialog><p class="hidden"{no} hidden>{self.words(2, 8)}</p>'
+        # every name takes its turn, so that none goes unseen
+        if not self.names:
+            self.names = list(ASIDE_NAMES)
+        name = self.names.pop(rng.randrange(len(self.names)))
+        return f'<{tag}{no} {rng.choice(["class", "id"])}="{name}"><p>{self.words(4, 22)}</p></{tag}>'
+
+    def main(self) -> str:
+        """Blocks of the main text."""
+        rng, out = self.rng, [f"<h1>{self.words(3, 9)}</h1>"]
+        for _ in range(rng.randint(3, 9)):
+            kind = rng.randrange(9)
+            link = f' <a href="/c">{self.words(1, 4)}</a> {self.words(5, 20)}' if rng.random() < 0.4 else ""
+            if kind < 5:
+                out.append(f"<p>{self.words(15, 90)}{link}</p>")
+            elif kind == 5:
+                out.append(f"<h2>{self.words(2, 6)}</h2><p>{self.words(12, 60)}</p>")
+            elif kind == 6:
+                out.append(f"<ul>{''.join(f'<li>{self.words(4, 18)}{link}</li>' for _ in range(rng.randint(2, 5)))}</ul><p>{self.words(12, 50)}</p>")
+            elif kind == 7:
+                out.append(f"<blockquote>{self.words(10, 30)}</blockquote><table><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr></table><p>{self.words(15, 60)}</p>")
+            else:
+                out.append(f"<pre>{self.words(5, 20)}</pre><figure><figcaption>{self.words(4, 12)}</figcaption></figure><div>{self.words(20, 70)}</div>")
+            if rng.random() < 0.15:
+                out.append(self.aside(inside=True))
+        return "".join(out)
 
-def _text(n: int) -> str:
-    return " ".join(_WORDS[i % len(_WORDS)] for i in range(n))
+    def page(self) -> str:
+        rng = self.rng
+        head = f"<html><head><title>{self.words(3, 8)}</title><style>p {{}}</style><script>var x = 1;</script></head><body>"
+        top = f"<header{self.attribute(['header', 'masthead', 'topbar'])}><p>{self.words(1, 6)}</p></header>" if rng.random() < 0.6 else f"<div><a href='/'>{self.words(1, 3)}</a></div>"
+        bottom = f"<footer{self.attribute(['footer', 'bottom'])}><p>{self.words(3, 14)}</p></footer>" if rng.random() < 0.7 else f"<p><a href='/a'>{self.words(1, 3)}</a> <a href='/b'>{self.words(1, 3)}</a> {self.words(1, 3)}</p>"
+        tag, text = rng.choice(["article", "article", "article", "main", "main", "div", "div", "section", "td", ""]), self.main()
+        body = f"<{tag}{self.attribute(MAIN_NAMES)} data-main>{text}</{tag}>" if tag else f"<div data-main>{text}</div>"
+        if tag == "td":
+            body = f"<table><tr><td>{self.aside()}</td>{body}</tr></table>"
+        if rng.random() < 0.5:
+            body = f"<div{self.attribute(['page', 'container', 'wrapper', 'content', 'main'])}>{body}</div>"
+        before = "".join(self.aside() for _ in range(rng.randint(0, 3)))
+        after = "".join(self.aside() for _ in range(rng.randint(0, 4)))
+        top, bottom = (x if rng.random() < 0.6 else "" for x in (top, bottom))
+        return f"{head}{top}{before}{body}{after}{bottom}</body></html>"
 
 
-def labelled_pages() -> list[str]:
-    """A page for each name of an aside, in turn with each kind of main element, and pages of plain structure."""
-    pages = []
-    for i, name in enumerate(ASIDE_NAMES):
-        main = MAIN_NAMES[i % len(MAIN_NAMES)]
-        tag = ("article", "main", "div", "section")[i % 4]
-        pages.append(
-            f'<html><head><title>{_text(6)}</title><style>p {{}}</style><script>var x = 1;</script></head><body><header><p>{_text(5)}</p></header><menu><li>{_text(2)}</li></menu><dialog>{_text(4)}</dialog><nav><ul><li><a href="/">{_text(2)}</a></li><li><a href="/b">{_text(1)}</a></li></ul></nav>'
-            f'<div class="{name}">{_text(9)}</div><{tag} class="{main}" data-main><h1>{_text(6)}</h1><p>{_text(40)} <a href="/c">{_text(3)}</a> {_text(20)}</p><h2>{_text(4)}</h2><p>{_text(50)}</p>'
-            f"<ul><li>{_text(12)}</li><li>{_text(9)}</li></ul><blockquote>{_text(15)}</blockquote><table><tr><td>{_text(3)}</td></tr></table><pre>{_text(8)}</pre></{tag}>"
-            f"<aside><h3>{_text(2)}</h3><p>{_text(12)}</p></aside><section id='{name}'><p>{_text(14)}</p></section><form><fieldset>{_text(2)}</fieldset><label>{_text(2)}</label><p hidden>{_text(3)}</p><button>{_text(1)}</button></form>"
-            f"<footer><p>{_text(10)}</p></footer></body></html>"
-        )
-    return pages
+def labelled_pages(seed: int, n: int) -> list[str]:
+    writer = _Writer(seed)
+    return [writer.page() for _ in range(n)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from folioscan.llm import bpe, html_extract, license_scan, ngram_join, toxicity, voronoi_knn
+from folioscan.llm import bpe, html_extract, html_labels, license_scan, ngram_join, toxicity, voronoi_knn
 from folioscan.llm.components import components
 from pyspark.sql import functions as F
 
@@ -408,6 +408,10 @@ def test_main_text(tag):
         ('<div class="content has-sidebar"><p>Words of the body.</p></div><div class="sidebar">side</div>', "Words of the body."),
         ('<article class="post with-sidebar"><p hidden>no</p><p>yes</p></article>', "yes"),
         ('<article><header><h1>Head</h1></header><p>x y</p><article class="comment-body"><p>z</p></article><footer>in cats</footer></article>', "Head\nx y"),
+        ("<article><p>Euler wrote <math><mi>e</mi><mo>=</mo><mn>2</mn></math> and <svg><text>drew</text></svg> it.</p></article>", "Euler wrote e=2 and drew it."),
+        ('<article><p>Before.</p><p class="notice-period">The notice period is one month.</p><p class="advert">Buy</p></article>', "Before.\nThe notice period is one month."),
+        (f'<div class="content"><p>{"word " * 80}</p></div><ol><article class="comment"><p>a reader said so</p></article></ol>', "word " * 79 + "word"),
+        (f'<div class=xq><ul>{"<li><a href=/>go on</a></li>" * 6}</ul></div><div class=zzk><p>{"plain text here " * 30}</p></div>', "plain text here " * 29 + "plain text here"),
         ('<body class=home><header class="site-header">Site</header><div class="entry-content"><p>Text one.</p></div><div id="comments"><p>Nice text, thanks.</p></div></body>', "Text one."),
     ],
 )
@@ -415,6 +419,18 @@ def test_main_text_by_names(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_main_text_of_labelled_pages_that_were_held_out():
+    pages = html_labels.labelled_pages(seed=2, n=60)
+    assert html_labels.labelled_pages(*html_extract.PAGES)[:60] != pages
+    assert html_extract.page_score(pages) > 0.98
+
+
+def test_main_text_of_the_query(spark):
+    rows = html_extract.op9_html_text(spark, "/root/testdata/sf0.001").collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    assert len(rows) == len(pages) and all((r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], html_extract.main_text(pages[r["page_id"]]["html"]), len(r["text"])) for r in rows)
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [None, "", "   ", "<nav><a>Home</a></nav><footer>foot</footer>", "<article><p>cut off in the midd", "<article><p>cut in a tag <a hre", "<article>" + "<p>para of text</p>" * 3000 + "</article>", "<article>" + "<div>" * 3000 + "deep text", "<p>a < b and <3</p>" * 2]
     df = spark.createDataFrame([(i, "u", p, "text", 1) for i, p in enumerate(pages)], "page_id long, url string, html string, block string, n_chars long")
