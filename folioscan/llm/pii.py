@@ -23,10 +23,12 @@ _PHONE = r"(\+[0-9][\x20().0-9-]+[0-9])"
 _CARD_START = r"(?<![0-9])(?<![0-9][\x20-])(?=[0-9][\x20-]?[0-9])"
 _CARD_END = r"(?:(?<=[0-9][0-9])|(?<=[0-9][\x20-][0-9]))(?![\x20-]?[0-9])"
 _IBAN = r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+#: A value of 16 characters or more that is given to a name of secrets.
+_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?<=\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?)([A-Za-z0-9+/_=-]++)"
 
 #: In the order that a contract lists them; kinds of the method's own follow.
 KINDS = ("email", "ip", "card", "phone")
-OWN_KINDS = ("iban",)
+OWN_KINDS = ("iban", "secret")
 
 CONTEXT = {
     "email": ["mail", "contact", "write", "kontakt", "correo", "courriel"],
@@ -34,8 +36,9 @@ CONTEXT = {
     "card": ["card", "visa", "credit", "payment", "karte", "carte", "tarjeta"],
     "phone": ["phone", "call", "tel", "mobile", "fax", "telefon", "téléphone", "teléfono"],
     "iban": ["iban", "bank", "account", "konto", "compte", "cuenta"],
+    "secret": ["secret", "password", "login", "credential", "geheim", "passwort"],
 }
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.8}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.8, "secret": 0.7}
 CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.2
 
 _SPAN = "array<struct<start:int,`end`:int,match:string>>"
@@ -87,6 +90,8 @@ def _sure(kind: str, x: Column) -> Column:
         return F.length(_digits(x)).between(8, 15)
     if kind == "iban":
         return F.length(F.regexp_replace(x, " ", "")).between(15, 34) & mod97(x)
+    if kind == "secret":
+        return F.regexp_like(x, F.lit("[0-9]")) & F.regexp_like(x, F.lit("[A-Za-z]"))
     return F.lit(True)
 
 
@@ -96,8 +101,8 @@ def _found(text: Column, kind: str) -> Column:
     if kind == "card":
         marked, hint = F.regexp_replace(F.regexp_replace(text, _CARD_END, _CLOSE), _CARD_START, _OPEN), F.regexp_like(text, F.lit("[0-9](?:[\\x20-]?[0-9]){15}"))
     else:
-        marked = _enclosed(text, {"email": _EMAIL, "ip": _IP, "phone": _PHONE, "iban": _IBAN}[kind])
-        hint = {"email": F.contains(text, F.lit("@")), "phone": F.regexp_like(text, F.lit(r"\+[0-9]")), "ip": F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), "iban": F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}"))}[kind]
+        marked = _enclosed(text, {"email": _EMAIL, "ip": _IP, "phone": _PHONE, "iban": _IBAN, "secret": f"(?i){_SECRET}"}[kind])
+        hint = {"email": F.contains(text, F.lit("@")), "phone": F.regexp_like(text, F.lit(r"\+[0-9]")), "ip": F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), "iban": F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}")), "secret": F.regexp_like(text, F.lit("(?i)(?:token|secret|passw|pwd|key)[\"']?\\x20{0,3}[=:]"))}[kind]
     return F.when(hint, F.filter(_spans(marked), lambda s: _sure(kind, s["match"]))).otherwise(none)
 
 
@@ -150,7 +155,8 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base kinds, spans of all kinds and their scores, of every document."""
     found = find_pii(table(spark, sf_dir, "documents"))
     said = lambda kinds: F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(said(KINDS), 256).alias("base_sha256"), said(KINDS + OWN_KINDS).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(said(KINDS), 256).alias("base_sha256"), said(KINDS + OWN_KINDS).alias("spans"), F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
