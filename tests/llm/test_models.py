@@ -142,6 +142,26 @@ def test_licenses_inside_of_lines_and_wrapped_within_prose():
     assert scan("\n".join([prose] * 300)) == []
 
 
+def test_license_query(spark):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in license_scan.op3_license_scan(spark, "/root/testdata/sf0.001").collect()}
+    assert rows.keys() == docs.keys()
+    for i, text in docs.items():
+        found = sorted((-m[0], m[1], m[2]) for m in scanner.scan(text))
+        best = (found[0][1], round(-found[0][0], 6), found[0][2]) if found else (None, None, None)
+        assert (rows[i]["n_matches"], rows[i]["license"], rows[i]["dice"], rows[i]["line"]) == (len(found), *best)
+
+
+def test_files_of_long_licenses_are_told_by_their_heads():
+    scan = license_scan.Scanner(license_scan.TEMPLATES).scan
+    filler = "\n".join("Each such term shall be read with what was said before it about parties and their rights." for _ in range(40))
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "ISC", "Zlib", "BSL-1.0", "Unlicense"):
+        for text in (t for n, t in license_scan.TEMPLATES if n == name and len(t) > 120):
+            w = text.split()
+            assert {m[1] for m in scan("\n".join([*(" ".join(w[i : i + 7]) for i in range(0, len(w), 7)), filler]))} == {name}, text
+
+
 def test_bsd_licenses_are_told_apart():
     scan = license_scan.Scanner(license_scan.TEMPLATES).scan
     names = lambda t: {m[1] for m in scan(t)}
