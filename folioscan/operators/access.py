@@ -43,6 +43,21 @@ def accept_invites(requests: DataFrame, memberships: DataFrame, user: str, cours
     return out.select(user, course, F.coalesce("_held", role).alias("held_role"), F.col("_u").isNull().alias("joined"))
 
 
+def expires_in(now: Column, hours: Column) -> Column:
+    """The time `hours` from now; null hours never expire."""
+    return now + F.make_dt_interval(hours=hours)
+
+
+def invites_by_token(asked: DataFrame, invites: DataFrame, courses: DataFrame, owners: DataFrame, token: str, course: str, owner: str) -> DataFrame:
+    """asked with the invitation of its token, that invitation's course and the course's owner; unknown tokens go."""
+    return asked.join(invites, token).join(courses, course).join(owners, owner)
+
+
+def clamp_page(number: Column, n_pages: Column) -> Column:
+    """Pages are counted from 1."""
+    return F.least(F.greatest(number, F.lit(1)), n_pages)
+
+
 def page(rows: DataFrame, order: list[Column], number: int = 0, size: int = 20) -> DataFrame:
     """One page of rows, pages counted from 0."""
     return rows.orderBy(*order).offset(number * size).limit(size)

@@ -21,10 +21,14 @@ def chunk_words(docs: DataFrame, pages: Column, key: str, size: int = SIZE, over
     end. A document without words has no chunks. A narrow transformation: nothing is shuffled."""
     step = size - overlap
     words = F.flatten(F.transform(pages, lambda p: F.transform(tokens(p["text"]), lambda w: F.struct(w.alias("w"), p["page"].alias("page")))))
-    rows = docs.select(key, words.alias("_ws")).where(F.size("_ws") > 0)
-    last = F.greatest(F.ceil((F.size("_ws") - size) / step), F.lit(0)).cast("int")
-    rows = rows.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    part = F.slice("_ws", F.col("chunk_index") * step + 1, size)
-    content = F.array_join(F.transform(part, lambda x: x["w"]), " ")
-    rows = rows.select(key, "chunk_index", F.element_at("_ws", F.col("chunk_index") * step + 1)["page"].alias("page_number"), content.alias("content"))
+
+    def chunks(ws: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(ws) - size) / step), F.lit(0)).cast("int")
+        content = lambda i: F.array_join(F.transform(F.slice(ws, i * step + 1, size), lambda x: x["w"]), " ")
+        one = lambda i: F.struct(i.alias("chunk_index"), F.element_at(ws, i * step + 1)["page"].alias("page_number"), content(i).alias("content"))
+        return F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<struct<chunk_index:int,page_number:int,content:string>>"))
+
+    # finished chunks are exploded, so that no row carries the words of the whole text; the words are made once, as an array's element
+    made = F.flatten(F.transform(F.array(words), chunks))
+    rows = docs.select(key, F.explode(made).alias("_chunk")).select(key, "_chunk.*")
     return rows.withColumn("token_count", token_estimate(F.col("content")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: In the order that ingestion passes them. Fixed values.
 STATES = ("UPLOADED", "EXTRACTING", "CHUNKING", "EMBEDDING", "READY")
@@ -68,14 +68,15 @@ def zip_positions(left: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def upsert_latest(rows: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """rows with those of fresh's keys exchanged."""
+    """rows with those of fresh's keys exchanged, and fresh's other rows; fresh has a row for each of its keys."""
     return rows.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
-def ordered_text(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, text, n_parts): the parts of a streamed answer, joined in order."""
-    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "").alias("text"), F.count(F.lit(1)).alias("n_parts"))
+def record_id(*parts: Column) -> Column:
+    """A UUID made from what identifies a row, so that a task that is run again gives it the same one."""
+    h = F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256)
+    return F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
 
 
-def ranks_in(window_key: str, order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(window_key).orderBy(*order))
+def is_record_id(text: Column) -> Column:
+    return F.coalesce(F.regexp_like(text, F.lit(r"\A[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z")), F.lit(False))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from folioscan.functions import english, text as tx, vectors
+from folioscan.functions import text as tx, vectors
 from folioscan.operators import access, chunking, grounding, library, retrieval
+from folioscan.plans import records
 from folioscan.sources import providers, sse
 from folioscan.streaming import ingest
 
@@ -144,13 +145,13 @@ _TITLE_SQL = r"SELECT doc_id, substring(trim(regexp_replace(text, '[ \t\n\x0B\f\
 
 
 def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = grounding.last_messages(_t(spark, sf_dir, "conversations").where("role <> 'system'"), "conv_id", ["turn"], 3)
+    kept = grounding.last_messages(_t(spark, sf_dir, "conversations"), "conv_id", ["turn"], 3)
     return kept.select("conv_id", "turn", "role", "position")
 
 
 _HISTORY_SQL = """
 SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS late FROM conversations WHERE role <> 'system') WHERE late <= 3
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS late FROM conversations) WHERE late <= 3
 """
 
 
@@ -392,10 +393,6 @@ def stub_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STUB_SQL = "SELECT doc_id, i::INT AS i, round(0.001 * ((length(text) + i) % 7 + 1), 6)::DOUBLE AS x FROM documents, range(16) r(i)"
 
 
-def lexical_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.text_search(_t(spark, sf_dir, "documents"), english.analyse("of the ha and reer"), "doc_id", "text", F.col("lang") == "en", analyse=english.english_terms)
-
-
 def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     url = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://x.org/invite/tok"), F.col("event_id").cast("string"), F.lit("?a=1"))).otherwise(F.concat(F.lit(" tok"), F.col("event_id").cast("string"), F.lit(" ")))
@@ -453,13 +450,12 @@ SELECT label, vec_id, similarity, rank FROM (SELECT label, vec_id, similarity, r
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_by_course, chunk_documents, chunk_page_attribution, chunk_counts, lexical_topk, lexical_english, rrf_hybrid, retrieval_signals, confidence_gate, citation_snippet, thread_title, history_last_n, prompt_assembly, citation_markers,
+        vector_topk, vector_topk_by_course, chunk_documents, chunk_page_attribution, chunk_counts, lexical_topk, rrf_hybrid, retrieval_signals, confidence_gate, citation_snippet, thread_title, history_last_n, prompt_assembly, citation_markers,
         dedup_documents, content_addresses, paged_listing, paged_count, membership_join, access_classification, invite_state, invite_accept, field_errors, doc_latest_status, replace_chunks, cascade_delete, constraint_violations,
         matryoshka_fit, vector_literal, embedding_coverage, sse_fold, provider_deltas, stub_embeddings, display_forms, status_stream,
     )
-}
+} | records.QUERIES
 
-#: lexical_english has a stemmer, which SQL lacks.
 ORACLE_SQL = {
     "vector_topk": _VECTOR_SQL,
     "vector_topk_by_course": _BY_COURSE_SQL,
@@ -496,4 +492,7 @@ ORACLE_SQL = {
     "stub_embeddings": _STUB_SQL,
     "display_forms": _DISPLAY_SQL,
     "status_stream": _STATES_SQL,
+    **records.ORACLE_SQL,
+    "indexed_topk": _LEXICAL,
+    "exchanged_children": _REPLACE_SQL,
 }

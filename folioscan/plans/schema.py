@@ -32,7 +32,18 @@ def allowed(table: str, column: str) -> Column:
     return F.col(column).isin(*VALUES[table, column])
 
 
-#: What an account, a question and a course may be. Fixed values.
+#: What an account, a question and a course may be: the rules of their fields. Fixed values.
+def question_rules(question: Column) -> dict[str, list[tuple[Column, str]]]:
+    return {"question": [(F.length(F.trim(question)) > 0, "must not be blank"), (F.length(question) <= 4000, "is too long")]}
+
+
+def course_rules(name: Column, description: Column) -> dict[str, list[tuple[Column, str]]]:
+    return {
+        "name": [(F.length(F.trim(name)) > 0, "is required"), (F.length(name) <= 100, "is too long")],
+        "description": [(F.length(F.coalesce(description, F.lit(""))) <= 1000, "is too long")],
+    }
+
+
 def register_rules(email: Column, password: Column, name: Column) -> dict[str, list[tuple[Column, str]]]:
     return {
         "email": [(F.length(F.trim(email)) > 0, "is required"), (F.regexp_like(email, F.lit(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")), "is no address")],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -17,11 +18,22 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def embed_query(provider: Embedder, question: str) -> list[float]:
+    """A question's vector; a provider may have an embed_query of its own, and otherwise takes it as any text."""
+    own = getattr(provider, "embed_query", None)
+    found = [own(question)] if own else provider.embed([question])
+    if not found:
+        raise ValueError("the question has no embedding")
+    return found[0]
+
+
 class Replier(Protocol):
     def configured(self) -> bool: ...
 
     def complete(self, messages: list[str]) -> str: ...
 
+    def stream_complete(self, messages: list[str]) -> Iterator[str]: ...
+
 
 class StubEmbedder:
     """Component i of n is a thousandth of ((length + i) mod 7) + 1."""
@@ -48,6 +60,9 @@ class Unconfigured:
     def complete(self, messages: list[str]) -> str:
         raise RuntimeError("no chat provider is configured")
 
+    def stream_complete(self, messages: list[str]) -> Iterator[str]:
+        raise RuntimeError("no chat provider is configured")
+
 
 class EchoReplier:
     """Repeats the last message, trimmed; a blank reply is an error."""
@@ -61,6 +76,10 @@ class EchoReplier:
             raise RuntimeError("the reply is blank")
         return said
 
+    def stream_complete(self, messages: list[str]) -> Iterator[str]:
+        """Word by word, each with the spaces after it."""
+        return iter(re.findall(r"\s*\S+", self.complete(messages)))
+
 
 EMBEDDERS: dict[str, Embedder] = {"stub": StubEmbedder(), "none": Unconfigured()}
 REPLIERS: dict[str, Replier] = {"echo": EchoReplier(), "none": Unconfigured()}
@@ -88,3 +107,23 @@ def embed(rows: DataFrame, text: str, provider: Embedder, out: str = "embedding"
             yield pd.Series(found)
 
     return rows.withColumn(out, run(F.col(text)))
+
+
+def reply(rows: DataFrame, messages: str, provider: Replier, size: int = 32) -> DataFrame:
+    """rows with `reply`, trimmed, and `reply_error`, of which one is null: messages is an array of strings. A blank reply is an error."""
+    if not provider.configured():
+        return rows.withColumns({"reply": F.lit(None).cast("string"), "reply_error": F.lit("no chat provider is configured")})
+
+    def one(said) -> tuple[str | None, str | None]:
+        try:
+            text = "".join(provider.stream_complete(list(said if said is not None else []))).strip()
+            return (text, None) if text else (None, "the reply is blank")
+        except RuntimeError as e:
+            return None, str(e)
+
+    @F.pandas_udf("struct<reply:string,reply_error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([one(x) for x in b], columns=["reply", "reply_error"])
+
+    return rows.withColumn("_reply", run(F.col(messages))).select("*", "_reply.reply", "_reply.reply_error").drop("_reply")

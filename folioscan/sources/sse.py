@@ -24,6 +24,23 @@ def delta_text(payload: Column) -> Column:
     return F.when(F.get_json_object(payload, "$.type") == "content-delta", F.get_json_object(payload, "$.delta.message.content.text"))
 
 
+def data_lines(body: Column) -> Column:
+    """Payloads of the lines of a provider's stream that begin with "data:", trimmed, without empty ones and [DONE]."""
+    lines = F.filter(F.split(body, "\r?\n"), lambda x: x.startswith("data:"))
+    return F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, 6, 2**31 - 1))), lambda x: (x != "") & (x != "[DONE]"))
+
+
+def stream_text(body: Column) -> Column:
+    """The reply that a provider's stream spells, trimmed; null where it is blank."""
+    deltas = F.filter(F.transform(data_lines(body), delta_text), lambda x: x.isNotNull())
+    return F.nullif(F.trim(F.array_join(deltas, "")), F.lit(""))
+
+
+def bearer(header: Column) -> Column:
+    """The token of an authorization header; null for another kind of header."""
+    return F.when(header.startswith("Bearer "), F.substring(header, 8, 2**31 - 1))
+
+
 def first_text(content: Column) -> Column:
     """The text of the first block of type text that has one, of an array of (type, text)."""
     return F.get(F.filter(content, lambda c: (c["type"] == "text") & c["text"].isNotNull()), F.lit(0))["text"]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscan.operators.library import FAILED, STATES
+from folioscan.sources.tables import scratch
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 2) -> DataFrame:
@@ -65,7 +63,7 @@ def to_table(stream: DataFrame, key: str) -> DataFrame:
     Batches write only the keys that they change (update mode), and the last batch with a key holds. No rows pass
     through the driver. Tables stay after the query, as their checkpoints do."""
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='folioscan-')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")  # the table is there without any batch
     query = append_once(stream, f"{folder}/rows", f"{folder}/checkpoint", "update")
     try:

@@ -1,13 +1,15 @@
 """Hand-computed cases of the retrieval library."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioscan.functions import english, text as tx, vectors
-from folioscan.operators import access, chunking, grounding, library, retrieval
+from folioscan.operators import access, chunking, grounding, ingestion, library, postings, retrieval
 from folioscan.plans import schema
-from folioscan.sources import pages, providers, sse
+from folioscan.sources import pages, providers, sse, tables
 from folioscan.streaming import ingest
 
 
@@ -194,3 +196,112 @@ def test_schema():
     for name in schema.TABLES:
         assert schema.schema(name).fieldNames()[0] == "id"
     assert set(schema.UNIQUE) <= set(schema.TABLES)
+
+
+def test_children_are_exchanged_in_place(spark, tmp_path):
+    path = str(tmp_path / "children")
+    old = spark.createDataFrame([(i % 9, i, "old") for i in range(60)], "doc string, i int, text string")
+    tables.write_children(old, path, "doc", buckets=4)
+    fresh = spark.createDataFrame([("3", 0, "new"), ("3", 1, "new"), ("77", 0, "new")], "doc string, i int, text string")
+    gone = spark.createDataFrame([("5",)], "doc string")
+    for _ in range(2):
+        tables.exchange_children(fresh, path, "doc", gone, buckets=4)
+    want = sorted([tuple(r) for r in old.collect() if r["doc"] not in ("3", "5")] + [tuple(r) for r in fresh.collect()])
+    assert sorted(map(tuple, tables.read_children(spark, path).collect())) == want
+    everyone = old.select("doc").distinct().union(fresh.select("doc").distinct())
+    tables.exchange_children(fresh.limit(0), path, "doc", everyone, buckets=4)
+    assert tables.read_children(spark, path, old.schema).count() == 0
+
+
+def test_only_buckets_of_exchanged_parents_are_written(spark, tmp_path):
+    path = str(tmp_path / "children")
+    tables.write_children(spark.createDataFrame([(i, i) for i in range(200)], "doc long, i int"), path, "doc", buckets=8)
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "children").rglob("*.parquet")}
+    tables.exchange_children(spark.createDataFrame([(7, 1)], "doc long, i int"), path, "doc", buckets=8)
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "children").rglob("*.parquet")}
+    assert sum(after.get(f) == at for f, at in before.items()) == len(before) - 1
+
+
+def test_blobs_are_stored_once(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    blobs = spark.createDataFrame([("a", b"x"), ("a", b"x"), ("b", b"x"), ("a", b"")], "course string, content binary")
+    for _ in range(2):
+        named = tables.store_blobs(blobs, path, "course")
+    assert spark.read.parquet(path).count() == 3 and named.count() == 4
+    assert {bytes(r["content"]) for r in tables.read_blobs(named.select("storage_path"), path).collect()} == {b"x", b""}
+    with pytest.raises(Exception, match="no content at b/0"):
+        tables.read_blobs(spark.createDataFrame([("b/0",)], "storage_path string"), path).collect()
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": lambda self, key, other: other})()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Cluster())
+    assert tables.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_postings_give_what_a_scan_gives(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "b a a"), (2, "a"), (3, "B, A!"), (4, None), (5, "the cats hopped"), (6, "a cat that hops and hops")], "k int, t string")
+    for i, (analyse, terms) in enumerate([(postings.simple_terms, ["a", "b"]), (postings.simple_terms, ["a"]), (english.english_terms, english.analyse("hopping cat")), (postings.simple_terms, [])]):
+        path = str(tmp_path / f"p{i}")
+        stored = postings.with_terms(texts, "t", analyse)
+        assert stored.columns == ["k", "t", "content_terms"]
+        postings.write_postings(stored, path, "k", buckets=4)
+        want = [tuple(r) for r in retrieval.text_search(texts, terms, "k", "t", analyse=analyse).orderBy("rank").collect()]
+        assert [tuple(r) for r in postings.search_postings(spark, path, terms, "k", buckets=4).orderBy("rank").collect()] == want and len(want) == (2, 4, 2, 0)[i]
+        scope = texts.where("k <> 1").select("k")
+        assert 1 not in [r["k"] for r in postings.search_postings(spark, path, terms, "k", scope, buckets=4).collect()]
+    plan = postings.search_postings(spark, str(tmp_path / "p0"), ["a"], "k", buckets=4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan
+
+
+def test_lexical_english_is_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    wanted, found = set(english.analyse("of the ha and reer")), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").collect():
+        terms = english.analyse(r["text"])
+        if wanted <= set(terms):
+            found.append((-round(sum(t in wanted for t in terms) / (1 + math.log(len(terms))), 6), r["doc_id"]))
+    rows = entry.queries()["lexical_english"](spark, sf).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in rows] == [(k, -s) for s, k in sorted(found)[:20]]
+
+
+def test_ingestion_ends_ready_or_failed(spark):
+    uploads = spark.createDataFrame([(1, b"one two\fthree"), (2, b"\xff"), (3, b" \f "), (4, None), (5, b"")], "k int, content binary")
+    done = ingestion.ingest(uploads, "k", "content", "text/plain", providers.StubEmbedder(dim=3))
+    assert {r["k"]: (r["status"], r["error_message"], r["page_count"]) for r in done.documents.collect()} == {1: ("READY", None, 2), 2: ("FAILED", "no UTF-8 text", None), 3: ("FAILED", "No extractable text", 2), 5: ("FAILED", "No extractable text", 1)}
+    steps = {}
+    for r in sorted(done.log.collect()):
+        steps.setdefault(r["k"], []).append(r["state"])
+    assert steps[1] == list(library.STATES) and steps[2] == ["UPLOADED", "EXTRACTING", "FAILED"] and steps[3] == ["UPLOADED", "EXTRACTING", "CHUNKING", "FAILED"]
+    assert [(r["k"], r["page_number"], r["content"], len(r["embedding"])) for r in done.chunks.collect()] == [(1, 1, "one two three", 3)]
+    bare = ingestion.ingest(uploads, "k", "content", "text/plain", providers.embedder("none")).chunks.collect()
+    assert [r["embedding"] for r in bare] == [None]
+
+
+def test_chunks_do_not_carry_the_whole_text(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "k int, text string")
+    chunks = chunking.chunk_words(docs, chunking.split_pages(F.col("text")), "k")
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and chunks.columns == ["k", "chunk_index", "page_number", "content", "token_count"]
+
+
+def test_streams_of_providers(spark):
+    body = 'event: a\r\ndata: {"type":"content-delta","delta":{"message":{"content":{"text":" x"}}}}\r\ndata:\ndata: [DONE]\nid: 1\ndata: {"type":"content-delta","delta":{"message":{"content":{"text":" y "}}}}'
+    assert column(spark, [body, "data: {}", None], "string", sse.stream_text(F.col("x"))) == [("x y",), (None,), (None,)]
+    assert column(spark, [body, "data: {}"], "string", F.size(sse.data_lines(F.col("x")))) == [(2,), (1,)]
+    assert column(spark, ["Bearer ab", "Basic ab", None], "string", sse.bearer(F.col("x"))) == [("ab",), (None,), (None,)]
+    assert list(providers.EchoReplier().stream_complete(["a", " b  c "])) == ["b", "  c"]
+    asked = spark.createDataFrame([(1, ["x", " hi you "]), (2, [" "]), (3, None)], "k int, m array<string>")
+    assert {r["k"]: (r["reply"], r["reply_error"]) for r in providers.reply(asked, "m", providers.EchoReplier()).collect()} == {1: ("hi you", None), 2: (None, "the reply is blank"), 3: (None, "the reply is blank")}
+    assert {r["reply_error"] for r in providers.reply(asked, "m", providers.Unconfigured()).collect()} == {"no chat provider is configured"}
+    assert providers.embed_query(providers.StubEmbedder(dim=2), "abc") == [0.004, 0.005]
+
+
+def test_record_ids(spark):
+    rows = column(spark, ["a", "b"], "string", library.record_id(F.col("x"), F.col("i")))
+    assert len({r[0] for r in rows}) == 2 and rows == column(spark, ["a", "b"], "string", library.record_id(F.col("x"), F.col("i")))
+    assert column(spark, [rows[0][0], "x", None], "string", library.is_record_id(F.col("x"))) == [(True,), (False,), (False,)]
