@@ -1,7 +1,9 @@
 """Toxicity, licences, top-k search, BPE, n-gram join and HTML text against brute force, public libraries and held-out rows."""
 
 import base64
+import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, _score string, _gone string, _s int, slot string, id string"
 
+SF = "/root/testdata/sf0.001"
+
 
 def documents(spark, texts, ids=None):
     return spark.createDataFrame([(i if ids is None else ids[i], t, "en", "s", 1, "k", 1, "x", "w", 2, "y", "z") for i, t in enumerate(texts)], SCHEMA)
@@ -85,6 +89,34 @@ def test_toxic_term_that_clean_documents_quote_keeps_its_misspellings(spark, quo
     assert model.lexicon.match("wretching") is None and max(model.score('he said "wretchling" once'), model.score("he was wretching")) < 0.5
 
 
+def test_toxicity_query(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model, texts = toxicity.fit(docs, labels), {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = toxicity.op1_toxicity(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == texts.keys() and len(rows) == len(texts)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]])) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_lexicon_is_bound_by_rank_and_code_point(spark):
+    texts, labels = corpus()
+    for i in range(0, len(texts), 4):
+        texts[i] += " aaaword bbbword cccword"
+    docs, known = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = [toxicity.fit(docs.repartition(n), known, most_terms=2).lexicon.terms for n in (1, 7)]
+    assert one[0] == one[1] and len(one[0]) <= 4 and any(t in one[0] for t in ("aaaword", "aaaw", "aaawo", "aaawor"))
+
+
+def test_automaton_forgets_within_its_bound(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    lexicon = toxicity.Lexicon({"wretchling": False, "snotgobbler": False})
+    rng = random.Random(1)
+    for _ in range(300):
+        lexicon.match("".join(rng.choice("wretchlingso") for _ in range(rng.randint(1, 12))))
+    assert sum(map(len, lexicon._step.values())) <= 50 + max(map(len, lexicon._step.values())) and lexicon.match("wretchlng") == ("wretchling", 1)
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -262,6 +294,17 @@ def test_bpe_of_every_space_and_long_runs(coders):
     assert own.encode(long) == theirs.encode_ordinary(long)
 
 
+def test_bpe_query(spark, coders):
+    _, theirs = coders
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = bpe.op7_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = theirs.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_bpe_tables(spark, coders):
     own, theirs = coders
     texts = ["a b", None, "", "a b", "<|endoftext|> é\n\n 漢字"]

@@ -381,6 +381,23 @@ def test_draw_gives_the_words_that_are_taken(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
 
 
+def test_mix_query(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = mixing.op10_mix_sources(spark, SF).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, taken = Counter(), Counter()
+    for r in docs.values():
+        sizes[r["source"]] += words(r["text"])
+    want = brute_targets(sizes)
+    assert len(rows) == len(docs) and {r["doc_id"] for r in rows} == docs.keys()
+    for r in rows:
+        source = docs[r["doc_id"]]["source"]
+        taken[source] += r["taken"]
+        assert r["size"] == words(docs[r["doc_id"]]["text"]) and r["source_size"] == sizes[source] and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(want[source])
+    assert all(abs(taken[s] - want[s]) <= mixing.BLOCK for s in sizes)
+
+
 def test_cut_keeps_white_space(spark):
     df = spark.createDataFrame([("  a\tb  c\n\nd e ", [(1, 2), (3, 1)])], "t string, p array<struct<start:bigint,words:bigint>>")
     assert df.select(mixing.cut(F.col("t"), F.col("p"))).first()[0] == "b  c\nd"
