@@ -1,9 +1,10 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
 Pivots cut space into cells. A cell's summary is its pivot p, its count and its radius r, the largest distance of a
-member to p; for a query q every member x has q.p - |q| r <= q.x <= q.p + |q| r. From the summaries alone a query gets a
-lower bound of its k-th best score, and goes only to cells whose upper bound reaches it. Cells are packed into groups of
-about PACK rows, a cell of more rows (copies of one vector, say) being dealt over several. What is asked of a group is
+member to p; for a query q every member x has q.p - |q| r <= q.x <= q.p + |q| r. Cells are packed into groups of about
+PACK rows, a cell of more rows (copies of one vector, say) being dealt over several. A query is solved in its own group
+first. The k-th best score there, or what the summaries alone say if that is more, bounds its k-th best from below; it then
+goes only to cells whose upper bound reaches that, and only scores that reach it come back. What is asked of a group is
 counted, and the group's rows are copied once for each BATCH of these queries, so not at all if no query needs them; a
 task solves a group for a batch as a matrix product, and a query's partial answers are merged. Only the summaries, at most
 MAX_PIVOTS rows, are on the driver.
@@ -42,8 +43,10 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
 
-def needed(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
-    """Which cells may hold one of a query's k best, for each query: a boolean matrix. Bounds give way by a rounding error."""
+def needed(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int, least: np.ndarray | None = None) -> np.ndarray:
+    """Which cells may hold one of a query's k best, for each query: a boolean matrix. Bounds give way by a rounding error.
+
+    least: a score that the k-th best has at least, for each query, if it is known."""
     mid, reach = q @ pivots.T, np.sqrt((q * q).sum(1))[:, None] * radius[None, :]
     slack = 1e-6 * (1 + np.abs(mid) + reach)
     low, high = mid - reach - slack, mid + reach + slack
@@ -52,6 +55,8 @@ def needed(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, count: np.ndar
     at = np.where(enough.any(1), enough.argmax(1), 0)
     rows = np.arange(len(q))
     bound = np.where(enough.any(1), low[rows, order[rows, at]], -np.inf)
+    if least is not None:
+        bound = np.maximum(bound, least)
     return (high >= bound[:, None]) & (count > 0)[None, :]
 
 
@@ -68,10 +73,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def copies(data: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """data (id, v, pack) and queries (id, v, pack) with the batch of a pack in which they meet: queries once, data as often as its pack has batches."""
+    """data (id, v, pack) and queries (id, v, pack, least) with the batch of a pack in which they meet: queries once, data as often as its pack has batches."""
     batches = asked.groupBy(F.col("pack").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("_batches"))
     batches = materialise(batches, "knn-batches")
-    dealt = asked.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_batches")).alias("batch"))
+    dealt = asked.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", "least", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_batches")).alias("batch"))
     return data.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_batches") - 1)).alias("batch")), dealt
 
 
@@ -117,9 +122,10 @@ def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id"
         for b in batches_:
             q = _matrix(b["v"], width)
             for i in range(0, len(b), 512):
-                part, want = b.iloc[i : i + 512], needed(q[i : i + 512], pivots, radius, count, k)
-                to = [sorted({int(p) for c in np.flatnonzero(w) for p in range(first[c], first[c] + split[c])}) for w in want]
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "pack": to}).explode("pack", ignore_index=True).dropna(subset=["pack"]).astype({"pack": "int64"})
+                part = b.iloc[i : i + 512]
+                want = needed(q[i : i + 512], pivots, radius, count, k, part["least"].to_numpy())
+                to = [sorted({int(p) for c in np.flatnonzero(w) for p in range(first[c], first[c] + split[c])} - {own}) for w, own in zip(want, part["pack"], strict=True)]
+                yield part.assign(pack=to)[["id", "v", "pack", "least"]].explode("pack", ignore_index=True).dropna(subset=["pack"]).astype({"pack": "int64"})
 
     def solve(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         data = data.sort_values("id", ignore_index=True)
@@ -129,16 +135,26 @@ def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id"
             part = asked.iloc[i : i + 256]
             own = part["id"].to_numpy()
             scores = _matrix(part["v"], width) @ x.T
-            scores[ids[None, :] == own[:, None]] = -np.inf
+            scores[(ids[None, :] == own[:, None]) | (scores < part["least"].to_numpy()[:, None])] = -np.inf
             for one, top, s in zip(own, best(scores, ids, k), scores, strict=True):
                 found.append(pd.DataFrame({"query_id": one, "id": ids[top], "score": s[top].astype(np.int64)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
 
-    asked = materialise(placed.where("is_query").select("id", "v").mapInPandas(send, "id long, v array<double>, pack long"), "knn-asked")
     cell = F.col("cell") + 1
     firsts, splits = F.element_at(F.lit(first.tolist()), cell), F.element_at(F.lit(split.tolist()), cell)
-    data, asked = copies(placed.select("id", "v", (firsts + F.pmod(F.xxhash64(F.lit(3), "id"), splits)).cast("long").alias("pack")), asked)
-    partial = data.groupBy("pack", "batch").cogroup(asked.groupBy("pack", "batch")).applyInPandas(solve, "query_id long, id long, score long")
+    data = placed.select("id", "v", "is_query", (firsts + F.pmod(F.xxhash64(F.lit(3), "id"), splits)).cast("long").alias("pack"))
+    rows = data.select("id", "v", "pack")
+
+    def answers(asked: DataFrame) -> DataFrame:
+        copied, dealt = copies(rows, asked)
+        return copied.groupBy("pack", "batch").cogroup(dealt.groupBy("pack", "batch")).applyInPandas(solve, "query_id long, id long, score long")
+
+    home = materialise(data.where("is_query").select("id", "v", "pack", F.lit(float("-inf")).alias("least")), "knn-home")
+    near = materialise(answers(home), "knn-near")
+    known_ = near.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").cast("double").alias("_least")).where(F.col("_n") >= k)
+    far = home.join(known_, F.col("id") == F.col("_q"), "left").select("id", "v", "pack", F.coalesce("_least", "least").alias("least"))
+    asked = materialise(far.mapInPandas(send, "id long, v array<double>, pack long, least double"), "knn-asked")
+    partial = near.unionByName(answers(asked))
     top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return partial.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -237,7 +237,7 @@ def test_topk_is_brute_force(spark, monkeypatch, kind):
 def test_only_rows_that_are_asked_for_are_copied(spark, monkeypatch):
     monkeypatch.setattr(voronoi_knn, "BATCH", 10)
     data = spark.createDataFrame([(i, [1.0], i % 4) for i in range(40)], "id long, v array<double>, pack long")
-    asked = spark.createDataFrame([(100 + i, [1.0], 0) for i in range(35)] + [(200, [1.0], 2)], "id long, v array<double>, pack long")
+    asked = spark.createDataFrame([(100 + i, [1.0], 0, 0.0) for i in range(35)] + [(200, [1.0], 2, 0.0)], "id long, v array<double>, pack long, least double")
     copied, dealt = voronoi_knn.copies(data, asked)
     rows = copied.collect()
     assert {p: sum(r["pack"] == p for r in rows) for p in range(4)} == {0: 40, 1: 0, 2: 10, 3: 0}
@@ -257,6 +257,9 @@ def test_cells_that_are_passed_over_hold_none_of_the_best():
     want = voronoi_knn.needed(x, pivots, radius, count, 5)
     top = np.argsort(-(x @ x.T), axis=1)[:, :5]
     assert want[np.arange(500)[:, None], cell[top]].all() and want.mean() < 0.7
+    least = np.sort(x @ x.T, axis=1)[:, -5]
+    closer = voronoi_knn.needed(x, pivots, radius, count, 5, least)
+    assert closer[np.arange(500)[:, None], cell[top]].all() and closer.mean() < 0.8 * want.mean()
 
 
 # BPE
