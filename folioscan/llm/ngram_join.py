@@ -245,7 +245,8 @@ def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
             length = int(place[-1]) + 1
             carry = {x: v[keep] for x, v in c.items()}
 
-    parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a set's keys that go to one task are stored together and share their other columns: fewer tasks shuffle less
+    parts = max(1, int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     return sketched.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, info long, n long")
 
 
