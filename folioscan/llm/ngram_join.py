@@ -89,17 +89,23 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(node.view(np.int64)[0]), int(np.array([total], dtype=_U).view(np.int64)[0])
 
 
+def _band_end(start: int, num: int, den: int) -> int:
+    """Wider bands spare keys, as fewer sets have partners in a second one, but a band's smallest sets have fewer elements in a
+    block then: 3.8 at least, if a band that is as wide as partners are apart has so many."""
+    return max(start * den // num, start * 5 * (den + num) // (38 * (den - num)))
+
+
 @lru_cache(maxsize=8)
 def _bands(num: int, den: int) -> list[tuple[int, int]]:
-    return [(1, den**3 // num**3)]
+    return [(1, _band_end(1, num, den))]
 
 
 def band_of(n: int, num: int, den: int) -> int:
-    """Bands are [s, floor(s (den / num)^3)], from 1 on without gaps; a partner is in a set's band or in one next to it."""
+    """Bands are [s, floor(s w)], from 1 on without gaps; a partner is in a set's band or in one next to it."""
     bands = _bands(num, den)
     while bands[-1][1] < n:
         start = bands[-1][1] + 1
-        bands.append((start, start * den**3 // num**3))
+        bands.append((start, _band_end(start, num, den)))
     low, high = 0, len(bands) - 1
     while low < high:
         mid = (low + high) // 2
