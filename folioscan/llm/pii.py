@@ -137,7 +137,8 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with the confirmed spans of every kind exchanged for [kind], whatever their context; other columns stay.
 
     Spans that overlap are exchanged together, for the kind of the one that starts first (of those, of the longest).
-    Refused candidates, texts without spans and null stay as they are. id_col is not used."""
+    Refused candidates, texts without spans and null stay as they are; rows that repeat are each masked; an empty table
+    stays empty. id_col is not used."""
     text = F.col(text_col)
     plain = F.translate(text, _OPEN + _CLOSE, "\x03\x03")  # as find_pii reads it; offsets are the same
     of_kind = lambda kind: F.transform(_found(plain, kind), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind).alias("kind")))
