@@ -24,7 +24,7 @@ from folioscan.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered pre-tokens (and pairs) of a worker, and the longest one.
-MEMO, MEMO_CHARS = 150_000, 48
+MEMO, MEMO_CHARS = 60_000, 48
 KEYS_A_BUCKET = 4
 
 

@@ -34,7 +34,7 @@ from folioscan.llm.components import components
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Slots of the filter that thins documents out before their texts are fetched; it bounds what is broadcast.
-SLOTS, MEMO, GIVEN = 1 << 20, 300_000, 100_000
+SLOTS, MEMO, GIVEN = 1 << 20, 100_000, 50_000
 #: A number of a key's row: the set's size, its parity sketch, how many keys partners share at least (no more than MOST_NEED), and whether the band is the next.
 N_AT, PARITY_AT, NEED_AT, MOST_NEED = 39, 7, 1, 63
 #: Bits of a key. Two blocks that share a key by chance cost a candidate; fewer bits take less of the shuffle.

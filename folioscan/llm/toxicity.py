@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscan.llm.common import materialise, table
@@ -31,7 +32,7 @@ ALPHA, PURITY, STRONG = 0.2, 0.4, 0.97
 MOST_TERMS = 5000
 WINDOW, REPORT_WINDOW = 8, 4
 #: Tokens, and states of the automaton, that a worker remembers.
-MEMO, STATES = 200_000, 2_000_000
+MEMO, STATES = 100_000, 500_000
 #: Words of report, fixed.
 REPORT = frozenset("said says say quote quoted quotes called calls word term wrote reported zitat zitiert sagte nannte wort dit cite mot dijo cita palabra llamó".split())
 QUOTES = "\"“”„«»‘’‹›"
@@ -65,6 +66,7 @@ class Lexicon:
             self._ends[node] = (term, self.edits(term))
         self._step: dict[tuple[frozenset, str], frozenset] = {}
         self._states = 0  # in the sets of _step
+        self._same: dict[tuple[int, int], tuple[int, int]] = {}  # one object for each state, however many sets it is in
         self._start = self._closed({0: 0})
         self._memo: dict[str, tuple[str, int] | None] = {}
 
@@ -90,7 +92,7 @@ class Lexicon:
                     if states.get(child, 3) > e + 1:
                         states[child] = e + 1
                         todo.append((child, e + 1))
-        return frozenset(states.items())
+        return frozenset(self._same.setdefault(x, x) for x in states.items())
 
     def _next(self, at: frozenset, c: str) -> frozenset:
         if (at, c) not in self._step:
@@ -270,11 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scorer(docs: DataFrame, model: ToxicityModel):
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its lexicon has at most most_terms words and stems
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = sent.value
-        for t in texts:
-            yield t.map(model.score, na_action=None).astype("float64")
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score_of = sent.value.score
+        for b in batches:  # texts become Python strings a few at a time
+            yield pa.array([score_of(t) for i in range(0, len(b), 256) for t in b.slice(i, 256).to_pylist()], pa.float64())
 
     return score
 
