@@ -8,6 +8,7 @@ from folioscan.llm.license_scan import op3_license_scan
 from folioscan.llm.mixing import op10_mix_sources
 from folioscan.llm.ngram_join import OP8_SQL, op8_ngram_join
 from folioscan.llm.pii import op5_pii
+from folioscan.llm.spelling import OP11_SQL, op11_spelling_variants
 from folioscan.llm.toxicity import op1_toxicity
 from folioscan.llm.voronoi_knn import OP6_SQL, op6_topk_search
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_mix_sources": op10_mix_sources,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 #: Operators that SQL can't express (models, seeded selection, offsets of matches, merges) are tested against brute force.
@@ -29,4 +31,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op6_topk_search": OP6_SQL,
     "op8_ngram_join": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
