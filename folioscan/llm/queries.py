@@ -3,6 +3,7 @@
 from folioscan.llm.bpe import op7_bpe
 from folioscan.llm.chat_format import op4_chat_format
 from folioscan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from folioscan.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from folioscan.llm.html_extract import op9_html_text
 from folioscan.llm.license_scan import op3_license_scan
 from folioscan.llm.mixing import op10_mix_sources
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_mix_sources": op10_mix_sources,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: Operators that SQL can't express (models, seeded selection, offsets of matches, merges) are tested against brute force.
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op6_topk_search": OP6_SQL,
     "op8_ngram_join": OP8_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
