@@ -155,12 +155,9 @@ def mine(vectors: DataFrame, anchors: Column, id_col: str, label_col: str, vecto
         for a, own, tops, s in zip(a_row, a_label, bounds, scores, strict=True):
             other = label != own
             for i, p in enumerate(tops):
-                if p > 0:  # of a score below 0, 80 hundredths are more than all of it; at 0 both bounds are 0
-                    t = _top(s, other & (100 * s >= low * p) & (s <= p), id_, negatives)
-                elif p == 0 or (p > none and low >= 100):
-                    t = _top(s, other & (100 * s >= low * p) & (s <= p), id_, negatives)
-                else:
+                if p == none:
                     continue
+                t = _top(s, other & (100 * s >= low * p) & (s <= p), id_, negatives)
                 out.append((a, i + 1, t, s))
         at = np.concatenate([t for _, _, t, _ in out]) if out else np.zeros(0, dtype=np.int64)
         sizes_ = [len(t) for _, _, t, _ in out]

@@ -1,5 +1,6 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
+from folioscan.llm.block_neighbours import OP13_SQL, op13_nearest
 from folioscan.llm.bpe import op7_bpe
 from folioscan.llm.chat_format import op4_chat_format
 from folioscan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
 #: Operators that SQL can't express (models, seeded selection, offsets of matches, merges) are tested against brute force.
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op8_ngram_join": OP8_SQL,
     "op11_spelling_variants": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_nearest": OP13_SQL,
 }
