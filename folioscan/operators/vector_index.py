@@ -3,7 +3,7 @@
 Vectors are scaled to unit length, so that the order by cosine is the order by distance. Centres come from k-means over a
 bounded sample. An index is a folder with four tables:
 
-    centres   cell, centre
+    centres   cell, centre; key and scope, which are null and have their types
     sizes     cell, n, far: counts and largest distances to the centre, a row for each cell and each time rows were added
     lists     packed codes, up to PACK rows of one cell and scope in each: keys, int8 codes of residuals, scales, errors
     rows      key, scope, vector
@@ -47,9 +47,13 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        cells = spark.read.parquet(f"{path}/centres").orderBy("cell").toPandas()
-        self.centres = np.array(cells["centre"].tolist(), dtype=np.float64).reshape(len(cells), -1)
-        self.key_type = spark.read.parquet(f"{path}/rows").schema["key"].dataType
+        cells = spark.read.parquet(f"{path}/centres")
+        key, scope, cell = cells.schema["key"], cells.schema["scope"], cells.schema["cell"]
+        self.key_type = key.dataType
+        self.rows_type = StructType([key, scope, *StructType.fromDDL("vector array<float>"), cell])
+        self.lists_type = StructType([StructField("keys", ArrayType(self.key_type)), scope, *StructType.fromDDL("codes binary, scales binary, errors binary"), cell])
+        held = cells.select("cell", "centre").orderBy("cell").toPandas()
+        self.centres = np.array(held["centre"].tolist(), dtype=np.float64).reshape(len(held), -1)
 
     @property
     def width(self) -> int:
@@ -64,7 +68,7 @@ class VectorIndex:
 
     def add(self, rows: DataFrame, key: str, vector: str, scope: str | None = None) -> None:
         """Adds rows to the cells of their nearest centres. Rows without a key and vectors that are null, zero, of another width or not finite are passed over."""
-        centres, key_type = self.centres, self.key_type
+        centres = self.centres
         held = rows.where(F.col(key).isNotNull() & _usable(F.col(vector), self.width))
         held = held.select(F.col(key).alias("key"), (F.col(scope) if scope else F.lit(None).cast("string")).alias("scope"), F.col(vector).cast("array<float>").alias("vector"))
 
@@ -92,9 +96,8 @@ class VectorIndex:
                         p = r.iloc[i : i + PACK]
                         yield pd.DataFrame({"keys": [p["key"].tolist()], "scope": [None if pd.isna(scope_) else scope_], "codes": [b"".join(p["code"])], "scales": [p["scale"].to_numpy().tobytes()], "errors": [p["error"].to_numpy().tobytes()], "cell": [cell]})
 
-        lists = StructType([StructField("keys", ArrayType(key_type)), held.schema["scope"], *StructType.fromDDL("codes binary, scales binary, errors binary, cell int").fields])
         near = placed.select("key", "scope", "code", "scale", "error", "cell").hint("rebalance", "cell").sortWithinPartitions("cell", "scope")
-        near.mapInPandas(pack, lists).write.partitionBy("cell").mode("append").parquet(f"{self.path}/lists")
+        near.mapInPandas(pack, self.lists_type).write.partitionBy("cell").mode("append").parquet(f"{self.path}/lists")
         placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).coalesce(1).write.mode("append").parquet(f"{self.path}/sizes")
 
     def _asked(self, queries: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ class VectorIndex:
         asked.mapInPandas(probe, shape).write.parquet(work)
         probes = self.spark.read.schema(shape).parquet(work)
         cells = sorted(r[0] for r in probes.select("q_cell").distinct().collect())  # CELLS at most
-        lists = self.spark.read.parquet(f"{self.path}/lists").where(F.col("cell").isin(cells))
+        lists = self.spark.read.schema(self.lists_type).parquet(f"{self.path}/lists").where(F.col("cell").isin(cells))
         lists = lists.where(scope) if scope is not None else lists
 
         def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +148,7 @@ class VectorIndex:
         order = Window.partitionBy("query_id").orderBy(F.col("low").desc())
         kth = bounds.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).groupBy(F.col("query_id").alias("_q")).agg(F.min("low").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
         survive = bounds.join(kth, F.col("query_id") == F.col("_q"), "left").where(F.col("_low").isNull() | (F.col("high") >= F.col("_low"))).select("query_id", "key", "cell")
-        rows = self.spark.read.parquet(f"{self.path}/rows").where(F.col("cell").isin(cells))
+        rows = self.spark.read.schema(self.rows_type).parquet(f"{self.path}/rows").where(F.col("cell").isin(cells))
         rows = rows.where(scope) if scope is not None else rows
         rows = rows.select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), F.col("vector").alias("_row"))
         return survive.distinct().join(rows, (F.col("key") == F.col("_key")) & (F.col("cell") == F.col("_cell"))).join(asked.select(F.col("query_id").alias("_q"), "vector"), F.col("query_id") == F.col("_q")).select("query_id", "key", "cell", cosine_similarity(F.col("_row"), F.col("vector")).alias("similarity"))
@@ -226,10 +229,11 @@ def build_index(rows: DataFrame, path: str, key: str, vector: str, scope: str |
         centres = [c.tolist() for c in model.clusterCenters()]
     else:
         centres = [[0.0] * width]
-    spark.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
-    empty = StructType([StructField("key", rows.schema[key].dataType), StructField("scope", rows.schema[scope].dataType if scope else StringType())])
-    spark.createDataFrame([], StructType([*empty, *StructType.fromDDL("vector array<float>").fields])).write.parquet(f"{path}/rows/cell=0")
-    spark.createDataFrame([], StructType([StructField("keys", ArrayType(rows.schema[key].dataType)), empty["scope"], *StructType.fromDDL("codes binary, scales binary, errors binary").fields])).write.parquet(f"{path}/lists/cell=0")
+    key_type, scope_type = rows.schema[key].dataType, rows.schema[scope].dataType if scope else StringType()
+    typed = [F.lit(None).cast(key_type).alias("key"), F.lit(None).cast(scope_type).alias("scope")]
+    spark.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>").select("cell", "centre", *typed).coalesce(1).write.parquet(f"{path}/centres")
+    for name, schema in (("rows", "vector array<float>"), ("lists", "codes binary")):  # the folders are there without any row
+        spark.createDataFrame([], schema).write.parquet(f"{path}/{name}/cell=0")
     spark.createDataFrame([], "cell int, n long, far double").write.parquet(f"{path}/sizes")
     index = VectorIndex(spark, path)
     index.add(rows, key, vector, scope)

@@ -46,7 +46,7 @@ def events_between(read, start: int, stop: int, chunk: int = CHUNK) -> Iterator[
     more = True
     while True:
         ends = _END.search(buffer, 0 if begins is None else begins - at)
-        while ends and (ends.end() < len(buffer) or not more):  # a run of blank lines may go on in the next chunk
+        while ends and (buffer[ends.end() :][:2] not in (b"", b"\r") or not more):  # a run of blank lines may go on in the next chunk
             next_ = at + ends.end()
             if begins is not None:
                 body = buffer[begins - at : ends.start()]
