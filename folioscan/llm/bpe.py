@@ -20,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscan.llm.common import table
+from folioscan.llm.common import table, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered pre-tokens (and pairs) of a worker, and the longest one.
@@ -69,6 +69,27 @@ class PerfectHash:
         return self.ids[-d - 1 if d < 0 else (a + d * b) % self.n]
 
 
+class _Memo(dict):
+    """What a function gave, for short keys. When it is half full, what hasn't been asked for since the last time goes."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of, self.older = of, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = found
+        return found
+
+    def age(self) -> None:
+        if 2 * len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
+
+
 class Bpe:
     """Encoder and decoder. It is built on the driver and sent to the workers once; its size is the vocabulary's."""
 
@@ -91,32 +112,20 @@ class Bpe:
         return regex.compile(self.pattern.replace(r"[^\s", f"[^{white}").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]")).findall
 
     @cached_property
-    def _ids(self) -> dict[str, tuple[int, ...]]:
+    def _ids(self) -> _Memo:
         encode = self.encode_piece
-
-        class Memo(dict):
-            def __missing__(self, piece: str) -> tuple[int, ...]:
-                ids = tuple(encode(piece.encode()))
-                if len(piece) <= MEMO_CHARS:
-                    self[piece] = ids
-                return ids
-
-        return Memo()
+        return _Memo(lambda piece: tuple(encode(piece.encode())))
 
     @cached_property
-    def _ranks(self) -> dict[bytes, int]:
+    def _ranks(self) -> _Memo:
         """Ranks of byte strings, -1 for none; a memo over the perfect hash."""
         tokens, hashed = self.tokens, self.hash
 
-        class Memo(dict):
-            def __missing__(self, key: bytes) -> int:
-                i = hashed[key]
-                rank = i if tokens[i] == key else -1
-                if len(key) <= MEMO_CHARS:
-                    self[key] = rank
-                return rank
+        def rank(key: bytes) -> int:
+            i = hashed[key]
+            return i if tokens[i] == key else -1
 
-        return Memo()
+        return _Memo(rank)
 
     def __getstate__(self) -> dict:
         return {"tokens": self.tokens, "pattern": self.pattern, "hash": self.hash}
@@ -150,9 +159,8 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         memo = self._ids
         out = list(itertools.chain.from_iterable(map(memo.__getitem__, self._cut(text))))
-        for held in (memo, self._ranks):
-            if len(held) > MEMO:
-                held.clear()
+        memo.age()
+        self._ranks.age()
         return out
 
     def decode(self, ids) -> bytes:
@@ -197,9 +205,11 @@ def encode_batches(docs: DataFrame, bpe: Bpe, id_col: str, text_col: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = sent.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+            start = 0
+            for texts in texts_of(batch.column(1)):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                ids = [bpe.encode(t) for t in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=[id_col, "token_ids", "decoded"])

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,3 +42,13 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case and nothing else. lower() does just that on pure ASCII and is much the faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
+    """A batch's texts as Python strings, some at a time: so many bytes, but at least one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
+        yield column.slice(start, stop - start).to_pylist()
+        start = stop

@@ -21,15 +21,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscan.llm.common import materialise, table
+from folioscan.llm.common import materialise, table, texts_of
 
 #: Most labelled documents that are fitted on: those of the smallest hashes of their ids.
 SAMPLE = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Chance that any word enters by accident; least share of toxic documents among those that hold a weak, a strong term.
 ALPHA, PURITY, STRONG = 0.2, 0.4, 0.97
-#: Most words, and most stems, that the lexicon takes: those in the most toxic documents of the sample, of equals the first by code point.
-MOST_TERMS = 5000
 WINDOW, REPORT_WINDOW = 8, 4
 #: Tokens, and states of the automaton, that a worker remembers.
 MEMO, STATES = 100_000, 500_000
@@ -199,7 +197,7 @@ class ToxicityModel:
 
 
 def _mapped(df: DataFrame, lexicon: Lexicon, text_col: str, schema: str, to) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(lexicon)  # at most MOST_TERMS terms
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)  # words and stems of SAMPLE documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,9 +206,9 @@ def _mapped(df: DataFrame, lexicon: Lexicon, text_col: str, schema: str, to) ->
     return df.mapInPandas(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_terms: int = MOST_TERMS) -> ToxicityModel:
-    """Learns from labelled rows outside the held-out fifth, at most `sample` of them, copies of a text counting once; the
-    lexicon takes at most `most_terms` words and as many stems.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
+    """Learns from labelled rows outside the held-out fifth, at most `sample` of them, copies of a text counting once. What
+    stands out among these documents' words and stems is the lexicon, without a further bound.
 
     Rows without label, id or text teach nothing; of several labels of one id, the greatest holds. Without any labelled
     rows the lexicon is empty and every score is that of BEFOREHAND."""
@@ -237,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def stands_out(stats: DataFrame) -> DataFrame:
         bar = float(2 * np.log(max(2, stats.count()) / ALPHA))
-        return stats.where((F.col("pos") * u > F.col("neg") * t) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= PURITY) & (g2(F.col("pos"), F.col("neg")) >= bar)).orderBy(F.col("pos").desc(), stats.columns[0]).limit(most_terms)
+        return stats.where((F.col("pos") * u > F.col("neg") * t) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= PURITY) & (g2(F.col("pos"), F.col("neg")) >= bar))
 
     pure = lambda r: r["pos"] >= STRONG * (r["pos"] + r["neg"] + 1)  # noqa: E731  not on few documents
     found = {r["word"]: r for r in stands_out(words).collect()}
@@ -253,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if r["pos"] >= 1.5 * most[stem] and not covered(stem):
             terms[stem] = True
             weak |= set() if pure(r) else {stem}
-    for word, r in found.items():
+    for word, r in sorted(found.items()):
         if not covered(word) and word not in terms:
             terms[word] = False
             weak |= set() if pure(r) else {word}
@@ -270,13 +268,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scorer(docs: DataFrame, model: ToxicityModel):
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its lexicon has at most most_terms words and stems
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its lexicon is of the sample's words and stems
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score_of = sent.value.score
-        for b in batches:  # texts become Python strings a few at a time
-            yield pa.array([score_of(t) for i in range(0, len(b), 256) for t in b.slice(i, 256).to_pylist()], pa.float64())
+        for b in batches:
+            yield pa.array([score_of(t) for texts in texts_of(b) for t in texts], pa.float64())
 
     return score
 

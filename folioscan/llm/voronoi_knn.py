@@ -73,23 +73,23 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def copies(data: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """data (id, v, pack) and queries (id, v, pack, least) with the batch of a pack in which they meet: queries once, data as often as its pack has batches."""
+    """data (id, v, pack, ...) and queries (id, v, pack, least, ...) with the batch of a pack in which they meet: queries once, data as often as its pack has batches."""
     batches = asked.groupBy(F.col("pack").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("_batches"))
     batches = materialise(batches, "knn-batches")
-    dealt = asked.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", "least", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_batches")).alias("batch"))
-    return data.join(batches, F.col("pack") == F.col("_p")).select("id", "v", "pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_batches") - 1)).alias("batch")), dealt
+    dealt = asked.join(batches, F.col("pack") == F.col("_p")).select(*asked.columns, F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_batches")).alias("batch"))
+    return data.join(batches, F.col("pack") == F.col("_p")).select(*data.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_batches") - 1)).alias("batch")), dealt
 
 
 def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), id, score: for each row where `queries` holds, the k others of highest integer inner product.
 
     Components are floor(scale * x). Ties go to the smaller id. Vectors that are null or hold null, NaN or infinite
-    components take no part, nor do rows without an id; of rows with one id the greatest vector counts. Shorter vectors
-    count as ending in zeros; empty vectors score 0. A query with fewer than k others gets them all; one alone, none. An
-    empty table gives no rows. Scores are exact up to 2**53."""
+    components take no part, nor do rows without an id. Each other row counts, repeated ids and repeated rows too; only a
+    query's own row is left out. Shorter vectors count as ending in zeros; empty vectors score 0. A query with fewer than k
+    others gets them all; one alone, none. An empty table gives no rows. Scores are exact up to 2**53."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vector_col), scale).alias("v"), queries.alias("is_query")).where("v IS NOT NULL")
-    rows = materialise(rows.groupBy("id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")), "knn-rows")
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("name"), quantise(F.col(vector_col), scale).alias("v"), queries.alias("is_query")).where("v IS NOT NULL")
+    rows = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "knn-rows")  # a row is told by its place, as names may repeat
     known = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     schema = "query_id long, rank int, id long, score long"
     if not known["n"]:
@@ -104,7 +104,7 @@ def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id"
             cell, far = _nearest(_matrix(b["v"], width), pivots)
             yield b.assign(cell=cell, far=far)
 
-    placed = materialise(rows.mapInPandas(assign, "id long, v array<double>, is_query boolean, cell int, far double"), "knn-placed")
+    placed = materialise(rows.mapInPandas(assign, "name long, v array<double>, is_query boolean, id long, cell int, far double"), "knn-placed")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toPandas()  # a row for each pivot
     count, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
     count[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["far"]
@@ -125,37 +125,37 @@ def knn_join(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id"
                 part = b.iloc[i : i + 512]
                 want = needed(q[i : i + 512], pivots, radius, count, k, part["least"].to_numpy())
                 to = [sorted({int(p) for c in np.flatnonzero(w) for p in range(first[c], first[c] + split[c])} - {own}) for w, own in zip(want, part["pack"], strict=True)]
-                yield part.assign(pack=to)[["id", "v", "pack", "least"]].explode("pack", ignore_index=True).dropna(subset=["pack"]).astype({"pack": "int64"})
+                yield part.assign(pack=to)[["id", "name", "v", "pack", "least"]].explode("pack", ignore_index=True).dropna(subset=["pack"]).astype({"pack": "int64"})
 
     def solve(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values("id", ignore_index=True)
-        x, ids = _matrix(data["v"], width), data["id"].to_numpy()
+        data = data.sort_values(["name", "id"], ignore_index=True)
+        x, ids, names = _matrix(data["v"], width), data["id"].to_numpy(), data["name"].to_numpy()
         found = []
         for i in range(0, len(asked) if len(ids) else 0, 256):
             part = asked.iloc[i : i + 256]
             own = part["id"].to_numpy()
             scores = _matrix(part["v"], width) @ x.T
             scores[(ids[None, :] == own[:, None]) | (scores < part["least"].to_numpy()[:, None])] = -np.inf
-            for one, top, s in zip(own, best(scores, ids, k), scores, strict=True):
-                found.append(pd.DataFrame({"query_id": one, "id": ids[top], "score": s[top].astype(np.int64)}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+            for one, name, top, s in zip(own, part["name"], best(scores, names, k), scores, strict=True):
+                found.append(pd.DataFrame({"query": one, "query_id": name, "id": names[top], "score": s[top].astype(np.int64)}))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], "query_id": [], "id": [], "score": []}).astype("int64")
 
     cell = F.col("cell") + 1
     firsts, splits = F.element_at(F.lit(first.tolist()), cell), F.element_at(F.lit(split.tolist()), cell)
-    data = placed.select("id", "v", "is_query", (firsts + F.pmod(F.xxhash64(F.lit(3), "id"), splits)).cast("long").alias("pack"))
-    rows = data.select("id", "v", "pack")
+    data = placed.select("id", "name", "v", "is_query", (firsts + F.pmod(F.xxhash64(F.lit(3), "id"), splits)).cast("long").alias("pack"))
+    rows = data.select("id", "name", "v", "pack")
 
     def answers(asked: DataFrame) -> DataFrame:
         copied, dealt = copies(rows, asked)
-        return copied.groupBy("pack", "batch").cogroup(dealt.groupBy("pack", "batch")).applyInPandas(solve, "query_id long, id long, score long")
+        return copied.groupBy("pack", "batch").cogroup(dealt.groupBy("pack", "batch")).applyInPandas(solve, "query long, query_id long, id long, score long")
 
-    home = materialise(data.where("is_query").select("id", "v", "pack", F.lit(float("-inf")).alias("least")), "knn-home")
+    home = materialise(data.where("is_query").select("id", "name", "v", "pack", F.lit(float("-inf")).alias("least")), "knn-home")
     near = materialise(answers(home), "knn-near")
-    known_ = near.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").cast("double").alias("_least")).where(F.col("_n") >= k)
-    far = home.join(known_, F.col("id") == F.col("_q"), "left").select("id", "v", "pack", F.coalesce("_least", "least").alias("least"))
-    asked = materialise(far.mapInPandas(send, "id long, v array<double>, pack long, least double"), "knn-asked")
+    known_ = near.groupBy(F.col("query").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").cast("double").alias("_least")).where(F.col("_n") >= k)
+    far = home.join(known_, F.col("id") == F.col("_q"), "left").select("id", "name", "v", "pack", F.coalesce("_least", "least").alias("least"))
+    asked = materialise(far.mapInPandas(send, "id long, name long, v array<double>, pack long, least double"), "knn-asked")
     partial = near.unionByName(answers(asked))
-    top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    top = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return partial.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
@@ -166,12 +166,12 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.r <> q.r WHERE q.vec_id % 20 = 0
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """
