@@ -336,18 +336,20 @@ def rest(large: DataFrame, roots: DataFrame) -> DataFrame:
     `large` has (key, node, info). A key whose nodes are in one component needs nothing. Partners share at least `need`
     keys in a band, and any key of theirs with three nodes or fewer has made them candidates: so both have at least
     `need` keys that are left. Each node then drops its need - 1 most frequent ones: of the keys that partners share, the
-    least frequent comes after need - 1 others with either, so they still share that. Keys go together by their first
-    node, the pivot."""
+    least frequent comes after need - 1 others with either, so they still share that. Keys go together by their pivot,
+    the node of a key that is left with the most keys: keys that many nodes share mostly have the same one, so that these
+    nodes meet there once and not once for each key."""
     rows = large.select("key", "node", (F.col("info") % 2).alias("next"), (F.shiftright("info", NEED_AT) % (MOST_NEED + 1)).alias("need"))
     rows = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-large")
-    open_ = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("node").alias("pivot"), F.count(F.lit(1)).alias("_often")).where("_lo <> _hi")
+    open_ = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_often")).where("_lo <> _hi")
     rows = rows.join(open_(rows).select("_k"), F.col("key") == F.col("_k"), "left_semi")
     enough = rows.groupBy(F.col("node").alias("_n"), F.col("next").alias("_x")).agg(F.count(F.lit(1)).alias("_c"), F.max("need").alias("_m")).where("_c >= _m")
     rows = materialise(rows.join(enough, (F.col("node") == F.col("_n")) & (F.col("next") == F.col("_x")), "left_semi"), "join-open")
     most = Window.partitionBy("node", "next").orderBy(F.col("_often").desc(), "key")
     rows = rows.join(open_(rows).select("_k", "_often"), F.col("key") == F.col("_k")).withColumn("_place", F.row_number().over(most)).where(F.col("_place") >= F.col("need"))
-    rows = materialise(rows.select("key", "node", "root"), "join-rare")
-    return rows.join(open_(rows).select("_k", "pivot"), F.col("key") == F.col("_k")).select("pivot", "node", "root").distinct()
+    rows = materialise(rows.select("key", "node", "root", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("_keys")), "join-rare")
+    pivots = rows.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(F.struct("_keys", "node"))["node"].alias("pivot")).where("_lo <> _hi").select("_k", "pivot")
+    return rows.join(pivots, F.col("key") == F.col("_k")).select("pivot", "node", "root").distinct()
 
 
 def blocks(members: DataFrame) -> DataFrame:
