@@ -62,8 +62,12 @@ class Lexicon:
                     self.children.append({})
                 node = self.children[node][c]
             self._ends[node] = (term, self.edits(term))
+        self._most = [self._ends[i][1] if i in self._ends else 0 for i in range(len(self.children))]  # edits that any term below a node allows
+        for node in reversed(range(len(self.children))):  # children come after their parents
+            self._most[node] = max([self._most[node], *(self._most[x] for x in self.children[node].values())])
         self._step: dict[tuple[frozenset, str], frozenset] = {}
-        self._states = 0  # in the sets of _step
+        self._sets: dict[frozenset, frozenset] = {}  # one object for each set, however many steps lead to it
+        self._states = 0  # in these sets, and one for each step
         self._same: dict[tuple[int, int], tuple[int, int]] = {}  # one object for each state, however many sets it is in
         self._start = self._closed({0: 0})
         self._memo: dict[str, tuple[str, int] | None] = {}
@@ -81,36 +85,39 @@ class Lexicon:
         return int(n >= 7) if self.terms[term] else int(n >= 5) + int(n >= 9)
 
     def _closed(self, states: dict[int, int]) -> frozenset:
-        """With the states that are reached by leaving out letters of terms. A state is (node, edits so far), at most two."""
-        todo = list(states.items())
+        """With the states that are reached by leaving out letters of terms. A state is (node, edits so far), no more edits than a term below the node allows."""
+        todo, most = list(states.items()), self._most
         while todo:
             node, e = todo.pop()
-            if e < 2:
-                for child in self.children[node].values():
-                    if states.get(child, 3) > e + 1:
-                        states[child] = e + 1
-                        todo.append((child, e + 1))
+            for child in self.children[node].values() if e < most[node] else ():
+                if e < most[child] and states.get(child, 3) > e + 1:
+                    states[child] = e + 1
+                    todo.append((child, e + 1))
         return frozenset(self._same.setdefault(x, x) for x in states.items())
 
     def _next(self, at: frozenset, c: str) -> frozenset:
         if (at, c) not in self._step:
             states: dict[int, int] = {}
+            most = self._most
             for node, e in at:
                 end = self._ends.get(node)
                 if end and self.terms[end[0]] and e <= end[1]:
                     states[node] = min(e, states.get(node, 3))  # a stem takes any ending
                 child = self.children[node].get(c)
-                if child is not None:
+                if child is not None and e <= most[child]:
                     states[child] = min(e, states.get(child, 3))
-                if e < 2:
+                if e < most[node]:
                     states[node] = min(e + 1, states.get(node, 3))
                     for other in self.children[node].values():
-                        states[other] = min(e + 1, states.get(other, 3))
+                        if e < most[other]:
+                            states[other] = min(e + 1, states.get(other, 3))
             if self._states > STATES:
                 self._step.clear()
+                self._sets.clear()
                 self._states = 0
-            self._step[at, c] = self._closed(states)
-            self._states += len(self._step[at, c])
+            new = self._closed(states)
+            self._states += len(new) if new not in self._sets else 1
+            self._step[at, c] = self._sets.setdefault(new, new)
         return self._step[at, c]
 
     def match(self, token: str) -> tuple[str, int] | None:

@@ -116,7 +116,7 @@ def test_automaton_forgets_within_its_bound(monkeypatch):
     rng = random.Random(1)
     for _ in range(300):
         lexicon.match("".join(rng.choice("wretchlingso") for _ in range(rng.randint(1, 12))))
-    assert sum(map(len, lexicon._step.values())) <= 50 + max(map(len, lexicon._step.values())) and lexicon.match("wretchlng") == ("wretchling", 1)
+    assert sum(map(len, lexicon._sets)) <= 50 + max(map(len, lexicon._sets)) and lexicon.match("wretchlng") == ("wretchling", 1)
 
 
 def test_toxicity_without_labels(spark):
