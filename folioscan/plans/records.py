@@ -98,11 +98,6 @@ def provider_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", sse.stream_text(body).alias("reply"), F.size(sse.data_lines(body)).alias("n_lines"), sse.bearer(header).alias("token"))
 
 
-def question_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vector = providers.embed_query(providers.StubEmbedder(dim=16), "what is a shuffle")
-    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(vector)], "i int, x double")
-
-
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     query = e.where("vec_id = 0").select("embedding").first()[0]
@@ -172,13 +167,13 @@ def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoped_chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text search among the chunks of a course's documents that are READY, with each hit's file."""
+    """Text search among the chunks of a course's documents that are READY, with each hit's file: for two words of document 1, in its course."""
     docs = _t(spark, sf_dir, "documents").withColumn("status", F.when(F.col("doc_id") % 5 == 0, "FAILED").otherwise("READY")).withColumn("filename", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")))
-    course = docs.where("doc_id = 0").select("source").first()[0]
+    course, words = docs.where("doc_id = 1").select("source", F.slice(english.simple_terms(F.coalesce("text", F.lit(""))), 1, 2)).first()
     held = docs.where((F.col("source") == course) & (F.col("status") == "READY"))
     chunks = chunking.chunk_words(held, chunking.split_pages(F.col("text")), "doc_id")
     chunks = chunks.join(held.select("doc_id", "filename"), "doc_id").withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index"))
-    hits = retrieval.text_search(chunks, ["the", "and"], "chunk_id", "content")
+    hits = retrieval.text_search(chunks, words, "chunk_id", "content")
     return hits.join(chunks.select("chunk_id", "filename"), "chunk_id").select("chunk_id", "filename", "score", "rank")
 
 
@@ -194,7 +189,7 @@ def replayed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        duplicate_lookup, scoped_lookup, in_flight_counts, invites_joined, page_numbers, record_ids, url_tokens, first_text_blocks, batched_vectors, upserted, answered_threads, provider_streams, question_vector, vector_distances,
+        duplicate_lookup, scoped_lookup, in_flight_counts, invites_joined, page_numbers, record_ids, url_tokens, first_text_blocks, batched_vectors, upserted, answered_threads, provider_streams, vector_distances,
         question_errors, stored_blobs, exchanged_children, indexed_topk, lexical_english, ingested_documents, ingested_log, ingested_chunks, scoped_chunk_hits, replayed_batches,
     )
 }
@@ -226,7 +221,6 @@ SELECT conv_id, CASE WHEN t <> '' THEN sha256(t) END AS reply_sha, CASE WHEN t =
   SELECT conv_id, CASE WHEN conv_id % 9 > 0 THEN trim(regexp_replace(coalesce(arg_max(coalesce(text, ''), turn), ''), '\s+', ' ', 'g')) ELSE '' END AS t FROM conversations GROUP BY conv_id)
 """,
     "provider_streams": "SELECT event_id, 'a' || event_id || CASE WHEN event_id % 3 > 0 THEN ' b' ELSE '' END AS reply, 3 AS n_lines, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS token FROM events",
-    "question_vector": "SELECT i::INT AS i, round(0.001 * ((length('what is a shuffle') + i) % 7 + 1), 6)::DOUBLE AS x FROM range(16) r(i)",
     "vector_distances": "SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS distance FROM embeddings",
     "question_errors": """
 SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 3 > 0 AND c_custkey * 11 % 1500 > 1000 THEN 'description is too long' END,
@@ -243,14 +237,16 @@ SELECT doc_id, CASE state WHEN 'UPLOADED' THEN 0 WHEN 'EXTRACTING' THEN 1 WHEN '
 SELECT doc_id, greatest(0, ceil((n - 400) / 340.0))::BIGINT + 1 AS n_chunks, 8 * (greatest(0, ceil((n - 400) / 340.0))::BIGINT + 1) AS n_components FROM w WHERE n > 0""",
     "scoped_chunk_hits": r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND doc_id % 5 > 0 AND source = (SELECT source FROM documents WHERE doc_id = 0)
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND doc_id % 5 > 0 AND source = (SELECT source FROM documents WHERE doc_id = 1)
+), q AS (
+  SELECT list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:2]) AS q FROM documents WHERE doc_id = 1
 ), c AS (
   SELECT doc_id, ws, unnest(range(0, greatest(0, ceil((len(ws) - 400) / 340.0))::BIGINT + 1)) AS i FROM w WHERE len(ws) > 0
 ), t AS (
   SELECT doc_id, i, regexp_extract_all(lower(array_to_string(ws[i * 340 + 1:i * 340 + 400], ' ')), '[\p{L}\p{N}]+') AS t FROM c
 ), s AS (
-  SELECT doc_id || '-' || i AS chunk_id, 'd' || doc_id || '.pdf' AS filename, round(len(list_filter(t, lambda x: x = 'and' OR x = 'the')) / (1 + ln(len(t)::DOUBLE)), 6) AS score
-  FROM t WHERE list_contains(t, 'and') AND list_contains(t, 'the')
+  SELECT doc_id || '-' || i AS chunk_id, 'd' || doc_id || '.pdf' AS filename, round(len(list_filter(t, lambda x: list_contains(q, x))) / (1 + ln(len(t)::DOUBLE)), 6) AS score
+  FROM t, q WHERE len(q) > 0 AND list_has_all(t, q)
 )
 SELECT chunk_id, filename, score, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM s ORDER BY score DESC, chunk_id LIMIT 20
 """,
