@@ -3,9 +3,11 @@
 Labelled pages teach a log-odds for every feature of the place that a word stands in: the sectioning tags and the class
 and id names of the elements around it. A word scores by the nearest element with evidence, or an aside around that, at
 most one unit either way. Where neither tags nor names tell anything, a logistic model of its block does, fitted to such
-blocks of the labelled pages: the block's tag, length, share of links, depth, and the blocks before and after it. A tag
-costs what tags cost in the labelled pages. One linear scan finds the contiguous region of the highest sum. Words of the
-region that score below zero, in a menu inside an article for instance, are left out.
+blocks of the labelled pages: the block's tag, length, share of links, depth, the blocks before and after it, and whether
+it stands in an article, outside of those of its page, or on a page without one. What an article leaves outside is thus
+judged like anything else: no tag rules out text. A tag costs what tags cost in the labelled pages. One linear scan finds
+the contiguous region of the highest sum. Words of the region that score below zero, in a menu inside an article for
+instance, are left out. Where nothing scores above zero, a page's text outside of asides and lists of links is kept.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ BLOCKS = frozenset(
 )
 #: Tags that tell by themselves what their text is. Fixed values.
 SECTIONS = frozenset("article main nav aside header footer form menu dialog fieldset label".split())
-#: Elements whose names tell by any part what they hold; elsewhere a name tells by the whole of it only. Fixed values.
+#: Elements whose names tell by any part what they hold; elsewhere a name tells by the whole of it only, and is learned apart. Fixed values.
 CONTAINERS = frozenset("html body div section article main aside nav header footer form table tbody tr td ul ol dl menu dialog fieldset figure details".split())
 #: What an element of the key closes when it begins, up to the nearest element of the set. Fixed values.
 CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -58,35 +60,73 @@ def _features(tag: str, attributes: str) -> tuple[tuple[tuple[str, ...], ...], b
                 found.append(("<hidden",))
             elif name.lower() in ("class", "id"):
                 names = [tuple(x.lower() for x in _PART.findall(one)) for one in value.split()]
-                found += [x for x in names if x and (tag in CONTAINERS or len(x) == 1)]
+                found += [x if tag in CONTAINERS else (f".{x[0]}",) for x in names if x and (tag in CONTAINERS or len(x) == 1)]
     return tuple(found), main
 
 
 class _Place:
-    """An open element: its features, and the sum of the evidence of it and those around it."""
+    """An open element: the evidence of its tag and of its names and, once the page was read, its words, those of them in articles, and its score."""
 
-    __slots__ = ("block", "depth", "dropped", "inner", "link", "main", "score", "tag", "trail")
+    __slots__ = ("around", "block", "by_name", "by_tag", "depth", "dropped", "inner", "inside", "link", "main", "score", "tag", "trail", "words")
 
     def __init__(self, tag: str, features: tuple[tuple[str, ...], ...], main: bool | None, around: "_Place | None", weights: dict[str, float] | None):  # noqa: UP037
-        self.tag, self.main = tag, bool(around and around.main) if main is None else main
+        self.tag, self.around, self.main = tag, around, bool(around and around.main) if main is None else main
         self.block = tag if tag in BLOCKS or around is None else around.block
-        self.depth, self.link = around.depth + 1 if around else 0, tag == "a" or bool(around and around.link)
+        self.depth, self.link = around.depth + (tag not in ("html", "body")) if around else 0, tag == "a" or bool(around and around.link)
         self.dropped = tag in DROPPED or bool(around and around.dropped)
         self.trail = (around.trail if around else ()) + tuple(f for name in features for f in name) if weights is None else ()
         self.inner = tag in ("article", "main") or bool(around and around.inner)
-        own = 0.0
-        if weights is not None:
-            scored = [(name[0].startswith("<"), min(e) if min(e) < 0 else max(e)) for name in features if (e := [weights[f] for f in name if f in weights])]
-            asides, by_name = [e for is_tag, e in scored if is_tag and e < 0], [e for is_tag, e in scored if not is_tag]
-            # a nav is one by any name; "post with-sidebar" is no sidebar, but "comment-body" is a comment's
-            own = min(asides) if asides else max(by_name or [e for _, e in scored], default=0.0)
-            if tag == "header" and around and around.inner:
-                own = 0.0  # of the article, not of the page
-        before = around.score if around else 0.0
-        if tag in ("article", "main") and not (around and around.inner):
-            before = 0.0  # whatever the names of the page's layout say
-        # an aside stays one whatever it holds; otherwise the nearest evidence counts
-        self.score = before if before < 0 and around and around.tag not in ("html", "body") else own or before
+        self.words, self.inside, self.score = -1, 0, 0.0
+        scored = [(name[0].startswith("<"), min(e) if min(e) < 0 else max(e)) for name in features if (e := [weights[f] for f in name if f in weights])] if weights else []
+        tags, names = [e for is_tag, e in scored if is_tag], [e for is_tag, e in scored if not is_tag]
+        self.by_tag, self.by_name = min(tags) if tags and min(tags) < 0 else max(tags, default=0.0), max(names, default=0.0)
+
+    @property
+    def outermost(self) -> bool:
+        """Whether it is an article or main element within no other."""
+        return self.tag in ("article", "main") and not self.around.inner
+
+    def one_of_many(self, page: "_Place") -> bool:  # noqa: UP037
+        """Whether it is one of several articles of the page, and none that holds most of their words: cards and comments are articles, too."""
+        return self.outermost and 2 * self.words <= page.inside
+
+    def evidence(self, page: "_Place") -> float:  # noqa: UP037
+        by_tag = 0.0 if self.one_of_many(page) else self.by_tag
+        # a nav is one by any name; "post with-sidebar" is no sidebar, but "comment-body" is a comment's
+        own = by_tag if by_tag < 0 else self.by_name or by_tag
+        if self.tag == "header" and self.around.inner:
+            own = 0.0  # of the article, not of the page
+        if self.inside and self.inside == page.inside and 2 * self.words >= page.words:
+            own = max(own, 0.0)  # all articles and most words: the page's layout, whatever its names say
+        if self.inside and 2 * self.inside >= self.words:
+            own = min(own, 0.0)  # its names mean the article, and nothing for what stands beside it
+        return own
+
+    def settle(self, page: "_Place") -> None:  # noqa: UP037
+        """Its score, once that of the element around it is known: an aside stays one whatever it holds; otherwise the nearest evidence counts."""
+        before = 0.0 if self.tag == "main" and self.outermost else self.around.score
+        self.score = before if before < 0 and self.around.tag not in ("html", "body") else self.evidence(page) or before
+
+
+def read_page(page: str, weights: dict[str, float] | None = None) -> list[tuple[str, _Place | None, int]]:
+    """The tokens of a whole page, their places with scores."""
+    runs = list(tokens(page, weights))
+    order: list[_Place] = []  # those around others come before them
+    for text, place, _ in runs:
+        chain, p = [], place
+        while p is not None and p.words < 0:
+            p.words = 0
+            chain.append(p)
+            p = p.around
+        order += reversed(chain)
+        if place is not None:
+            place.words += len(text.split())
+    for p in reversed(order[1:]):
+        p.around.words += p.words
+        p.around.inside += p.words if p.outermost else p.inside
+    for p in order[1:]:
+        p.settle(order[0])
+    return runs
 
 
 def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple[str, _Place | None, int]]:
@@ -154,14 +194,22 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple
             at = len(page) if end < 0 else end
 
 
+def _root(runs: list[tuple[str, _Place | None, int]]) -> _Place | None:
+    """The place around all others, if there is any text."""
+    place = next((p for _, p, _ in runs if p is not None), None)
+    while place is not None and place.around is not None:
+        place = place.around
+    return place
+
+
 #: Kinds of blocks by tag, the bounds of their buckets of words, depths and shares of links, and how many features a block has.
 _KINDS = {t: i for i, tags in enumerate(("p", "li dt dd", "h1 h2 h3 h4 h5 h6", "td th", "pre blockquote figcaption")) for t in tags.split()}
-_LENGTHS, _DEPTHS, _SHARES = (3, 6, 11, 21, 41), (4, 7, 11), (1e-9, 0.34, 0.67)
-_WIDTH = 6 + 24 + 4 + 2 * 25
+_LENGTHS, _DEPTHS, _SHARES = (3, 6, 11, 21, 41), (2, 5, 9), (1e-9, 0.34, 0.67)
+_WIDTH = 6 + 24 + 4 + 2 * 25 + 3 * 6
 
 
 def block_features(runs: list[tuple[str, _Place | None, int]]) -> dict[int, list[int]]:
-    """The features, of _WIDTH, that each block with words has: its kind, its length and share of links, its depth, and those of its neighbours."""
+    """The features, of _WIDTH, that each block with words has: its kind, its length and share of links, its depth, those of its neighbours, and by length whether it is in an article, outside of those of its page, or on a page without."""
     words: Counter[int] = Counter()
     linked: Counter[int] = Counter()
     place_of: dict[int, _Place] = {}
@@ -173,7 +221,9 @@ def block_features(runs: list[tuple[str, _Place | None, int]]) -> dict[int, list
     order = sorted(words)
     shape = [4 * bisect_right(_LENGTHS, words[b]) + bisect_right(_SHARES, linked[b] / words[b]) for b in order]
     around = [24, *shape, 24]
-    return {b: [_KINDS.get(place_of[b].block, 5), 6 + shape[i], 30 + bisect_right(_DEPTHS, place_of[b].depth), 34 + around[i], 59 + around[i + 2]] for i, b in enumerate(order)}
+    articles = any(p.inner for p in place_of.values())
+    side = lambda b: 84 + 6 * ((2 if place_of[b].inner else 1) if articles else 0) + bisect_right(_LENGTHS, words[b])
+    return {b: [_KINDS.get(place_of[b].block, 5), 6 + shape[i], 30 + bisect_right(_DEPTHS, place_of[b].depth), 34 + around[i], 59 + around[i + 2], side(b)] for i, b in enumerate(order)}
 
 
 @dataclass
@@ -208,21 +258,28 @@ def learned() -> Model:
     inside = outside = 0
     for page in pages:
         seen: set[str] = set()
-        for text, place, _ in tokens(page):
+        runs = read_page(page)
+        top = _root(runs)
+        for text, place, _ in runs:
             if place is None:
                 tags += 1
                 continue
             n = len(text.split())
             words += n * place.main
-            seen |= {*place.trail}
-            (main if place.main else rest).update({f: n for f in set(place.trail)})
+            article = place
+            while article.inner and not article.outermost:
+                article = article.around
+            features = {*place.trail} - ({"<article", "<main"} if article.inner and article.one_of_many(top) else set())
+            seen |= features
+            (main if place.main else rest).update(dict.fromkeys(features, n))
             inside, outside = inside + n * place.main, outside + n * (not place.main)
         on.update(seen)
     odds = {f: float(np.log(((main[f] + 0.5) / (inside + 1)) / ((rest[f] + 0.5) / (outside + 1)))) for f in main | rest if on[f] >= LEAST_PAGES}
     odds = {f: o for f, o in odds.items() if abs(o) > TELLING and f not in ("<html", "<body")}
+    odds = {f: o for f, o in odds.items() if o < 0 or not f.startswith(".")}  # a paragraph's name can tell that it's none of the text, but hardly that it is
     rows, labels = [], []
     for page in pages:
-        runs = list(tokens(page, odds))
+        runs = read_page(page, odds)
         known = {b: p for _, p, b in reversed(runs) if p is not None}
         for b, features in block_features(runs).items():
             if not known[b].score:
@@ -245,26 +302,30 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def kept_runs(page: str, model: Model) -> list[tuple[str, int]]:
     """(text, block) of the runs of main text, in page order."""
-    runs = list(tokens(page, model.odds))
-    features = block_features(runs)
-    of_block = {b: float(model.blocks[f].sum() + model.blocks[-1]) / 2 for b, f in features.items()}
-    units = [0.0 if place is None else max(-1.0, min(1.0, place.score or of_block.get(block, 0.0))) for _, place, block in runs]
-    counts = [0 if place is None else len(text.split()) for text, place, _ in runs]
-    inner, outer = (sum(n for n, u, (_, p, _) in zip(counts, units, runs, strict=True) if p is not None and u > 0 and p.inner == x) for x in (True, False))
-    sure = inner >= max(1, outer)  # article tags are believed where they hold most of what may be main text
+    runs = read_page(page, model.odds)
+    of_block = {b: float(model.blocks[f].sum() + model.blocks[-1]) / 2 for b, f in block_features(runs).items()}
     scores, kept = [], []
-    for (_, place, _), unit, n in zip(runs, units, counts, strict=True):
+    for text, place, block in runs:
         if place is None:
             scores.append(-model.cost)
             kept.append(False)
             continue
-        if sure and not place.inner:
-            unit = -1.0
+        n, unit = len(text.split()), max(-1.0, min(1.0, place.score or of_block.get(block, 0.0)))
         # what is left out costs little inside a region, so that a menu in it doesn't part an article
-        scores.append(n * unit if unit > 0 else n * unit * (0.05 if sure and place.inner else 0.5))
+        scores.append(n * unit if unit > 0 else n * unit * (0.05 if place.inner else 0.5))
         kept.append(unit > 0)
     start, end = best_region(scores)
-    return [(text, block) for (text, _, block), keep in zip(runs[start:end], kept[start:end], strict=True) if keep and text]
+    found = [(text, block) for (text, _, block), keep in zip(runs[start:end], kept[start:end], strict=True) if keep and text]
+    return found or _outside_asides(runs)
+
+
+def _outside_asides(runs: list[tuple[str, _Place | None, int]]) -> list[tuple[str, int]]:
+    """(text, block) of what has no evidence against it, but for blocks that are links for the most part."""
+    links: Counter[int] = Counter()
+    for text, place, block in runs:
+        if place is not None:
+            links[block] += len(text.split()) * (1 if place.link else -1)
+    return [(text, block) for text, place, block in runs if place is not None and place.score >= 0 and links[block] <= 0 and text]
 
 
 def main_text(page: str | None, model: Model | None = None) -> str:
@@ -287,7 +348,7 @@ def page_score(pages: list[str], model: Model | None = None) -> float:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages with their main text. Null and empty pages, and pages without an article, have the empty text; every row,
+    """pages with their main text. Null and empty pages, and pages of asides and links only, have the empty text; every row,
     repeated ones too, and every other column stays, but for one of the name out_col. An empty table stays empty."""
     sent = pages.sparkSession.sparkContext.broadcast(learned())  # a few hundred weights
 

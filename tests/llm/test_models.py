@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -490,6 +492,43 @@ def test_main_text_by_names(page, text):
     assert html_extract.main_text(page) == text
 
 
+SAY = "some words that say what there is to say about it, "  # eleven words
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p>{SAY * 2}one</p></article><div class="content"><p>{SAY * 3}two</p></div>', [SAY * 2 + "one", SAY * 3 + "two"]),
+        (f"<html><body><nav><a href=/>Home</a></nav><article><p>{SAY * 2}one</p></article><p>{SAY * 3}two</p><footer>foot</footer></body></html>", [SAY * 2 + "one", SAY * 3 + "two"]),
+        (f"<article><p>{SAY * 2}one</p></article><p>{SAY * 3}two</p>", [SAY * 2 + "one", SAY * 3 + "two"]),
+        (f'<article><p class="more">{SAY * 4}more</p><p class="tags">{SAY * 2}tags</p><p class="advert">Buy</p><p>BBB</p></article>', [SAY * 4 + "more", SAY * 2 + "tags", "BBB"]),
+        ("<body><p>Hello world.</p></body>", ["Hello world."]),
+        ("plain text", ["plain text"]),
+        ("<div>" * 100_000 + "word", ["word"]),
+        (f"<article><p>{SAY * 3}one</p></article><p>Copyright 2020</p>", [SAY * 3 + "one"]),
+        (f'<div class="content"><p>{SAY * 6}one</p></div><section class="comments"><article><p>{SAY}first</p></article><article><p>{SAY}second</p></article></section>', [SAY * 6 + "one"]),
+        (f'<div class="content"><p>{SAY * 6}one</p></div>' + f"<div>{'<article><h3><a href=/>Card of another</a></h3><p>what it says in short</p></article>' * 3}</div>", [SAY * 6 + "one"]),
+        (f'<div class="layout-sidebar"><article><p>{SAY * 6}one</p></article><div class="related"><article><a href=/>Another</a></article></div></div>', [SAY * 6 + "one"]),
+        (f'<form class="aspnet"><article><p>{SAY * 3}one</p></article></form>', [SAY * 3 + "one"]),
+        ("<nav><a href=/>Home</a></nav><ul><li><a href=/x>a list</a></li><li><a href=/y>of links</a></li></ul>", []),
+    ],
+)
+def test_main_text_beside_articles(page, text):
+    """Layouts written by hand, apart from those that the weights are learned from."""
+    assert html_extract.main_text(page) == "\n".join(t.strip() for t in text)
+
+
+def test_tables_pages_are_their_articles():
+    """The pages of the table, all of one layout, by a reading that knows nothing but it."""
+    import html
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        found = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", page or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", found[1]) if found else []
+        text = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+        assert html_extract.main_text(page) == "\n".join(t for t in text if t)
+
+
 def test_main_text_of_labelled_pages_that_were_held_out():
     pages = html_labels.labelled_pages(seed=2, n=60)
     assert html_labels.labelled_pages(*html_extract.PAGES)[:60] != pages
