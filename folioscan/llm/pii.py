@@ -1,12 +1,16 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 All of it is built-in expressions. Spark's regex functions give no offsets, so a pattern's matches are enclosed in two
-marks, the text is split there, and running sums of the pieces' lengths give the offsets in code points. The patterns
+marks, the text is split there, and running sums of the pieces' lengths, within blocks of pieces and over the blocks,
+give the offsets in code points. Context comes from the neighbouring pieces, so time grows with the text and not with
+spans times text. The patterns
 keep Java's matcher from recursing on long inputs: runs are possessive, and a repeated group is nested in atomic ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscan.llm.common import table
@@ -41,26 +45,65 @@ CONTEXT = {
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.8, "secret": 0.7}
 CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.2
 
-_SPAN = "array<struct<start:int,`end`:int,match:string>>"
+#: Pieces that are summed at a time: an even number, so that each block begins outside of the marks. Arrays are copied
+#: when they are appended to, so a sum over all pieces at once would take their square.
+BLOCK = 64
+_SPAN = "array<struct<start:int,`end`:int,match:string,piece:int>>"
+_CANDIDATES = "array<struct<start:int,`end`:int,match:string,near:string>>"
 
 
 def _enclosed(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, f"{_OPEN}$1{_CLOSE}")
 
 
-def _spans(marked: Column) -> Column:
-    """Structs (start, end, match) of what is enclosed: pieces 1, 3, ... of the marked text."""
-    pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
-    fold = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN).alias("found")),
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _within(pieces: Column, block: Column) -> Column:
+    """(at, n, found) of a block of pieces: their length, their number, and what its odd pieces are, offsets counted from the block's start."""
+    return F.aggregate(
+        F.slice(pieces, block * BLOCK + 1, BLOCK),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(_SPAN).alias("found")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("match"))))).otherwise(acc["found"]).alias("found"),
+            (acc["n"] + 1).alias("n"),
+            F.when(acc["n"] % 2 == 1, F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("match"), (acc["n"] + block * BLOCK).alias("piece"))))).otherwise(acc["found"]).alias("found"),
         ),
     )
-    return fold["found"]
+
+
+def _starts(blocks: Column) -> Column:
+    """Where each block starts."""
+    return F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+    )["starts"]
+
+
+def _spans(marked: Column, sure: Callable[[Column], Column]) -> Column:
+    """Structs (start, end, match, near) of what is enclosed, pieces 1, 3, ... of the marked text, and sure."""
+
+    def of_pieces(pieces: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: _within(pieces, b))
+        heads, tails = F.transform(pieces, lambda x: F.left(x, F.lit(CONTEXT_CHARS))), F.transform(pieces, lambda x: F.right(x, F.lit(CONTEXT_CHARS)))
+
+        def near(i: Column, heads: Column, tails: Column) -> Column:
+            # every other piece has two characters at least, so that so many pieces hold the context
+            before = F.array_join(F.slice(tails, F.greatest(i - CONTEXT_CHARS, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT_CHARS))), "")
+            return F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(F.array_join(F.slice(heads, i + 2, CONTEXT_CHARS), ""), F.lit(CONTEXT_CHARS)))
+
+        def placed(found: Column, start: Column, heads: Column, tails: Column) -> Column:
+            return F.transform(F.filter(found, lambda s: sure(s["match"])), lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end"), s["match"].alias("match"), near(s["piece"], heads, tails).alias("near")))
+
+        return _let(
+            F.struct(blocks.alias("blocks"), heads.alias("heads"), tails.alias("tails")),
+            lambda v: _let(_starts(v["blocks"]), lambda starts: F.flatten(F.transform(v["blocks"], lambda b, i: placed(b["found"], F.get(starts, i), v["heads"], v["tails"])))),
+        )
+
+    return _let(F.split(marked, f"[{_OPEN}{_CLOSE}]", -1), of_pieces)
 
 
 def _digits(x: Column) -> Column:
@@ -97,22 +140,20 @@ def _sure(kind: str, x: Column) -> Column:
 
 def _found(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind. Texts without the character that a match must have skip the matcher."""
-    none = F.array().cast(_SPAN)
+    none = F.array().cast(_CANDIDATES)
     if kind == "card":
         marked, hint = F.regexp_replace(F.regexp_replace(text, _CARD_END, _CLOSE), _CARD_START, _OPEN), F.regexp_like(text, F.lit("[0-9](?:[\\x20-]?[0-9]){15}"))
     else:
         marked = _enclosed(text, {"email": _EMAIL, "ip": _IP, "phone": _PHONE, "iban": _IBAN, "secret": f"(?i){_SECRET}"}[kind])
         hint = {"email": F.contains(text, F.lit("@")), "phone": F.regexp_like(text, F.lit(r"\+[0-9]")), "ip": F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), "iban": F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}")), "secret": F.regexp_like(text, F.lit("(?i)(?:token|secret|passw|pwd|key)[\"']?\\x20{0,3}[=:]"))}[kind]
-    return F.when(hint, F.filter(_spans(marked), lambda s: _sure(kind, s["match"]))).otherwise(none)
+    return F.when(hint, _spans(marked, lambda x: _sure(kind, x))).otherwise(none)
 
 
-def _scored(text: Column, kind: str, spans: Column) -> Column:
+def _scored(kind: str, spans: Column) -> Column:
     words = rf"(?i)\b(?:{'|'.join(CONTEXT[kind])})"
 
     def one(s: Column) -> Column:
-        before = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.concat(text.substr(before + 1, s["start"] - before), F.lit(" "), text.substr(s["end"] + 1, F.lit(CONTEXT_CHARS)))
-        score = F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(F.regexp_like(near, F.lit(words)), CONTEXT_GAIN).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(F.regexp_like(s["near"], F.lit(words)), CONTEXT_GAIN).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
 
     return F.transform(spans, one)
@@ -128,7 +169,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias(id_col), text.alias("_text"))
     # texts without any of these hold no candidate of any kind
     may = F.regexp_like("_text", F.lit("[0-9@]"))
-    spans = F.concat(*[_scored(F.col("_text"), k, _found(F.col("_text"), k)) for k in KINDS + OWN_KINDS])
+    spans = F.concat(*[_scored(k, _found(F.col("_text"), k)) for k in KINDS + OWN_KINDS])
     empty = F.array().cast("array<struct<kind:string,start:int,`end`:int,match:string,score:double>>")
     return rows.select(id_col, F.when(may, spans).otherwise(empty).alias("spans"))
 

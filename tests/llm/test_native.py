@@ -232,6 +232,21 @@ def test_pii_spans_of_any_text(spark, texts):
     assert spans_of(spark, texts) == {i: brute_pii(t) for i, t in enumerate(texts)}
 
 
+def test_pii_of_thousands_of_spans_and_their_contexts(spark):
+    """More spans than a block of pieces holds, next to one another and far apart; contexts cut from the text itself."""
+    rng = random.Random(3)
+    parts = ["+49 170 1234567", "a.b@c.de", "10.0.0.7", "4111 1111 1111 1111", "999.1.1.1", "+12", "x@y"]
+    texts = [" ".join(rng.choice([*parts, "call", "server é", "mail 😀", "word " * 30]) for _ in range(n)) for n in (40, 700, 6000)] + ["+1234567 8" * 300, "1.2.3.4 " * 64, "1.2.3.4," * 65]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, texts)).collect()}
+    assert {i: [(s["kind"], s["start"], s["end"]) for s in found if s["kind"] in pii.KINDS] for i, found in rows.items()} == {i: brute_pii(t) for i, t in enumerate(texts)}
+    assert max(map(len, rows.values())) > 10 * pii.BLOCK
+    for i, t in enumerate(texts):
+        for s in rows[i]:
+            near = t[max(0, s["start"] - pii.CONTEXT_CHARS) : s["start"]] + " " + t[s["end"] : s["end"] + pii.CONTEXT_CHARS]
+            said = re.search(rf"\b(?:{'|'.join(pii.CONTEXT[s['kind']])})", near, re.I | re.ASCII)
+            assert s["match"] == t[s["start"] : s["end"]] and s["score"] == pytest.approx(min(1.0, pii.BASE_SCORE[s["kind"]] + (pii.CONTEXT_GAIN if said else 0.0)))
+
+
 def test_iban_and_context(spark):
     texts = ["iban DE89 3704 0044 0532 0130 00 ok", "DE88 3704 0044 0532 0130 00", "my card 4111111111111111", "4111111111111111"]
     rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, texts)).collect()}
