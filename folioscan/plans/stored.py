@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscan.operators import cascade, vector_index
+from folioscan.operators import cascade, postings, ranked_postings, vector_index
 from folioscan.sources import event_source, sse, tables, together
 from folioscan.streaming import ingest, lifecycle
 
@@ -126,10 +126,40 @@ def cascade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per("document", "o_custkey").unionByName(per("chunk", "l_suppkey")).unionByName(per("thread", "owner")).unionByName(per("message", "conv_id")).unionByName(per("course", "c_custkey"))
 
 
-QUERIES = {f.__name__: f for f in (indexed_vector_topk, probed_vector_topk, lifecycle_states, provider_event_stream, courses_with_owners, cascade_graph)}
+def _ranges(spark: SparkSession, sf_dir: str) -> tuple[ranked_postings.RankedPostings, DataFrame]:
+    docs = _t(spark, sf_dir, "documents")
+    return ranked_postings.write_ranges(postings.with_terms(docs.select("doc_id", "text"), "text"), tables.scratch(spark, "ranges"), "doc_id"), docs
+
+
+def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 English documents that answer "the and of" best, by ranges of stored terms that can hold one."""
+    index, docs = _ranges(spark, sf_dir)
+    return index.search(["the", "and", "of"], scope=docs.where("lang = 'en'"))
+
+
+def closest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 documents in which "for" and "with" stand closest, by stored positions."""
+    index, _ = _ranges(spark, sf_dir)
+    return index.closest(["with", "for"], 200)
+
+
+QUERIES = {f.__name__: f for f in (ranked_topk, closest_terms, indexed_vector_topk, probed_vector_topk, lifecycle_states, provider_event_stream, courses_with_owners, cascade_graph)}
 
 #: probed_vector_topk is approximate: a test measures its recall.
 ORACLE_SQL = {
+    "ranked_topk": r"""
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM (
+  SELECT doc_id, round(len(list_filter(t, lambda x: list_contains(['and', 'of', 'the'], x))) / (1 + ln(len(t)::DOUBLE)), 6) AS score
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE lang = 'en')
+  WHERE len(list_intersect(['and', 'of', 'the'], t)) = 3 ORDER BY score DESC, doc_id LIMIT 20)
+""",
+    "closest_terms": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+  p AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t),
+  n AS (SELECT doc_id, w, i, lag(w) OVER o AS v, lag(i) OVER o AS j FROM p WHERE w IN ('for', 'with') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  c AS (SELECT doc_id, min(i - j + 1) AS cover FROM n WHERE v <> w GROUP BY doc_id)
+SELECT doc_id, cover::INT AS cover, (row_number() OVER (ORDER BY cover, doc_id))::INT AS rank FROM c QUALIFY rank <= 200
+""",
     "indexed_vector_topk": """
 WITH e AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
