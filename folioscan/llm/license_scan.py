@@ -3,7 +3,8 @@
 A text's segments are its lines, the whole, and for each template the windows of words that begin and end with one of its
 bigrams, wherever lines end. With b bigrams in a template and threshold t, a segment of a bigrams can only reach t if
 t / (2 - t) <= a / b <= (2 - t) / t: templates out of these bounds are never compared. So many of a template's bigrams must
-also be in the text, and as close together as the longest window, before any window is counted.
+also be in the text, and as close together as the longest window, before any window is counted. A short notice is mostly frame, so the words that name its licence and
+version must all be there: a notice of another licence, or of another version, is none of this one.
 """
 
 from __future__ import annotations
@@ -68,14 +69,39 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Licensed under Apache 2.0."),
 ]
 
+#: Short and long names of the Creative Commons licences, and their versions with what they are called. Fixed values.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+#: GNU licences by name and version, and identifiers that have no templates of their own above. Fixed values.
+_GNU = {"GPL": ("General Public License", "2 3"), "LGPL": ("Lesser General Public License", "2.1 3"), "AGPL": ("Affero General Public License", "3")}
+_IDENTIFIERS = "MIT MIT-0 ISC Zlib Unlicense Apache-2.0 BSL-1.0 BSD-2-Clause BSD-3-Clause MPL-2.0 EPL-1.0 EPL-2.0 CC0-1.0"
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Notices that differ in a name or a version only, and lines of identifiers, by rule."""
+    out, ids = [], _IDENTIFIERS.split()
+    for short, name in _CC.items():
+        for version, called in _CC_VERSIONS.items():
+            ids.append(f"CC-{short}-{version}")
+            out += [(ids[-1], f"Licensed under CC {short} {version}."), (ids[-1], f"This work is licensed under a Creative Commons {name} {version} {called} License.")]
+    for short, (name, versions) in _GNU.items():
+        for version in versions.split():
+            ids.append(f"{short}-{version if '.' in version else version + '.0'}")
+            out += [(ids[-1], f"This work is licensed under the GNU {name}, version {version}."), (ids[-1], f"Licensed under the {short} v{version}."), (ids[-1], f"Licensed under the {short} version {version}."), (ids[-1], f"Licensed under the {short}-{version}.")]
+    return out + [(i, f"SPDX-License-Identifier: {i}") for i in ids]
+
+
+TEMPLATES += [t for t in _notices() if t not in TEMPLATES]
+
+#: Words that name a licence; so does any with a digit. Fixed values.
+NAMING = frozenset("apache mit isc zlib unlicense gnu gpl lgpl agpl lesser affero general public license version mozilla mpl epl bsl bsd clause cc cc0 creative commons attribution sharealike noncommercial noderivatives by sa nc nd identifier".split())
+#: Templates of so many bigrams or fewer are mostly frame: what they share with a text must include all bigrams of naming words.
+SHORT = 24
+
 _WORD = re.compile(r"[^\W_]+")
 Bigrams = frozenset[tuple[str, str]]
 
@@ -111,6 +137,12 @@ class Scanner:
                 found[g].append(i)
         return dict(found)
 
+    @cached_property
+    def naming(self) -> list[Bigrams]:
+        """What a segment must have of each template: of a short one, its bigrams of naming words."""
+        names = lambda w: w in NAMING or any(c.isdigit() for c in w)
+        return [frozenset(g for g in b if names(g[0]) and names(g[1])) if len(b) <= SHORT else frozenset() for _, b in self.known]
+
     @cached_property
     def lengths(self) -> list[int]:
         return [len(words(text)) - 1 for _, text in self.templates]
@@ -123,7 +155,7 @@ class Scanner:
         a, t, found = len(segment), self.threshold, None
         for i, n in shared.items():
             b = len(self.known[i][1])
-            if t * b <= (2 - t) * a and t * a <= (2 - t) * b and 2 * n >= t * (a + b):
+            if t * b <= (2 - t) * a and t * a <= (2 - t) * b and 2 * n >= t * (a + b) and self.naming[i] <= segment:
                 one = (-2 * n / (a + b), self.known[i][0])
                 found = one if found is None else min(found, one)
         return found and (-found[0], found[1])
@@ -163,7 +195,7 @@ class Scanner:
                     shared += pairs[at] not in seen
                     seen.add(pairs[at])
                     last = at + 1
-                    if 2 * shared >= t * (len(seen) + b) and 2 * shared / (len(seen) + b) > best:
+                    if 2 * shared >= t * (len(seen) + b) and 2 * shared / (len(seen) + b) > best and self.naming[i] <= seen:
                         best, end = 2 * shared / (len(seen) + b), at + 2
                 if best:
                     found.append((-best, start - end, name, start))

@@ -149,8 +149,8 @@ def test_license_scan_is_brute_force_without_pruning(spark):
         want = {}
         for s in segments:
             b = license_scan.bigrams(license_scan.words(s))
-            scored = [(license_scan.dice(b, k), name) for name, k in scanner.known]
-            best = min((-d, name) for d, name in scored)
+            scored = [(license_scan.dice(b, k), name) for (name, k), named in zip(scanner.known, scanner.naming, strict=True) if named <= b]
+            best = min(((-d, name) for d, name in scored), default=(0, None))
             if -best[0] >= license_scan.THRESHOLD:
                 want[best[1]] = max(want.get(best[1], 0), -best[0])
         got = defaultdict(float)
@@ -178,6 +178,45 @@ def test_licenses_inside_of_lines_and_wrapped_within_prose():
     assert scan("\n".join([prose] * 300)) == []
 
 
+def test_windows_are_brute_force():
+    """The best window of each licence, by comparing every window of words with every template."""
+    rng, few = random.Random(4), [t for t in license_scan.TEMPLATES if len(t[1].split()) < 12]
+    rng.shuffle(few)
+    for _ in range(25):
+        chosen = [*rng.sample(few, 6), ("X", "a b c a b d e"), ("Y", "b c d b c f")]
+        scanner = license_scan.Scanner(chosen)
+        w = []
+        for _ in range(4):
+            part = license_scan.words(rng.choice(chosen)[1])
+            w += [x for x in part if rng.random() > 0.1] + [rng.choice("abcde") for _ in range(rng.randint(0, 6))]
+        best = defaultdict(float)
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                seen = license_scan.bigrams(w[i:j])
+                for (name, b), named in zip(scanner.known, scanner.naming, strict=True):
+                    if named <= seen:
+                        best[name] = max(best[name], license_scan.dice(seen, b))
+        found = scanner.windows(w)
+        top = max(best.values(), default=0)
+        assert (max((m[0] for m in found), default=0) == pytest.approx(top)) if top >= license_scan.THRESHOLD else not found
+        assert all(m[0] <= best[m[1]] + 1e-12 for m in found)
+
+
+def test_sibling_licenses_are_told_apart():
+    """Every notice that is made by rule, alone and within prose, names its licence and no other."""
+    scan = license_scan.Scanner(license_scan.TEMPLATES).scan
+    names = lambda t: {m[1] for m in scan(t)}
+    for name, text in license_scan._notices():
+        assert names(text) == names(f"Some words before it. {text} And some words behind it.") == {name}, text
+    for text, name in {
+        "This project is licensed under the Apache License 2.0.": "Apache-2.0", "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0", "SPDX-License-Identifier: MIT": "MIT", "Licensed under the GPL v3.": "GPL-3.0",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "released under the Apache License, Version 2.0": "Apache-2.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY 3.0": "CC-BY-3.0", "# SPDX-License-Identifier: MIT-0": "MIT-0",
+    }.items():
+        assert names(text) == {name}, text
+    for text in ("Licensed under the Foo License.", "This project is licensed under the Foo License.", "Licensed under CC BY 9.0.", "Licensed under the Apache License, Version 9.1."):
+        assert names(text) == set(), (text, names(text))
+
+
 def test_license_query(spark):
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
