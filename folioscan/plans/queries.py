@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from folioscan.functions import text as tx, vectors
 from folioscan.operators import access, chunking, grounding, library, retrieval
-from folioscan.plans import records, stored
+from folioscan.plans import lookups, records, stored
 from folioscan.sources import providers, sse
 from folioscan.streaming import ingest
 
@@ -454,7 +454,7 @@ QUERIES = {
         dedup_documents, content_addresses, paged_listing, paged_count, membership_join, access_classification, invite_state, invite_accept, field_errors, doc_latest_status, replace_chunks, cascade_delete, constraint_violations,
         matryoshka_fit, vector_literal, embedding_coverage, sse_fold, provider_deltas, stub_embeddings, display_forms, status_stream,
     )
-} | records.QUERIES | stored.QUERIES
+} | records.QUERIES | stored.QUERIES | lookups.QUERIES
 
 ORACLE_SQL = {
     "vector_topk": _VECTOR_SQL,
@@ -494,6 +494,7 @@ ORACLE_SQL = {
     "status_stream": _STATES_SQL,
     **records.ORACLE_SQL,
     **stored.ORACLE_SQL,
+    **lookups.ORACLE_SQL,
     "indexed_topk": _LEXICAL,
     "exchanged_children": _REPLACE_SQL,
 }
