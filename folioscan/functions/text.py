@@ -78,3 +78,21 @@ def url_token(data: Column) -> Column:
 def email(address: Column) -> Column:
     """Trimmed, in lower case, null where blank."""
     return F.nullif(F.lower(F.trim(address)), F.lit(""))
+
+
+def occurrences(terms: Column) -> Column:
+    """(term, places from 0, ascending) of each distinct term of an array, by term; null terms have none. Pairs are sorted
+    and cut where the term changes, so that nothing is shuffled and a long text costs no more than its sort."""
+
+    def cut(pairs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (F.get(pairs, i)["term"] != F.get(pairs, i - 1)["term"]))
+
+        def runs(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(pairs))
+            return F.transform(at, lambda i, j: F.struct(F.get(pairs, i)["term"].alias("term"), F.transform(F.slice(pairs, i + 1, end(j) - i), lambda x: x["at"]).alias("places")))
+
+        return F.when(F.size(pairs) > 0, F.flatten(F.transform(F.array(starts), runs)))
+
+    pairs = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda x: x["term"].isNotNull())
+    # pairs and starts are made once, as arrays' elements
+    return F.flatten(F.transform(F.array(F.sort_array(pairs)), cut))

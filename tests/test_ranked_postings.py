@@ -6,6 +6,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from folioscan.functions import text as tx
 from folioscan.operators import ranked_postings
 
 WORDS = ["the", "and", "of", "a", "b", "c"]
@@ -81,3 +84,33 @@ def test_postings_of_odd_rows(spark, tmp_path):
     assert [(r["key"], r["rank"]) for r in index.search(["a"], 5).orderBy("rank").collect()] == [(4, 1), (3, 2)]
     none = ranked_postings.write_ranges(spark.createDataFrame([], "key long, content_terms array<string>"), str(tmp_path / "e"), "key")
     assert none.search(["a"]).collect() == [] and none.closest(["a"]).collect() == []
+
+
+def shuffled_rows(spark, work):
+    """Rows that the shuffles of some work write."""
+    store, sc = spark._jsc.sc().statusStore(), spark.sparkContext
+    none, no_quantiles = sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(none, False, False, no_quantiles, none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+def test_occurrences_by_brute_force(spark):
+    texts = [*texts_of(60, seed=3), [], None, ["a", None, "a"], [None]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t array<string>")
+    for r in df.select("id", tx.occurrences(F.col("t")).alias("o")).collect():
+        t = texts[r["id"]] or []
+        want = [(x, [i for i, w in enumerate(t) if w == x]) for x in sorted({w for w in t if w is not None})]
+        assert [(o["term"], o["places"]) for o in r["o"] or []] == want
+
+
+def test_words_are_not_shuffled(spark, tmp_path):
+    """Neither a text's words nor, where ranges are made, its distinct terms."""
+    rows = spark.createDataFrame([(i, [f"w{j % 100}" for j in range(150)]) for i in range(300)], "id long, content_terms array<string>")
+    assert shuffled_rows(spark, lambda: ranked_postings.write_ranges(rows, str(tmp_path / "r"), "id")) < 1000
