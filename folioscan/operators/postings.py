@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscan.functions.english import simple_terms
+from folioscan.functions.text import occurrences
 from folioscan.operators.retrieval import CANDIDATES, ranked
 
 TERM_BUCKETS = 64
@@ -26,9 +27,11 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def write_postings(rows: DataFrame, path: str, key: str, terms: str = "content_terms", buckets: int = TERM_BUCKETS) -> None:
-    """The postings of rows (key, terms). A frequent term's rows may be in several files of its partition."""
-    each = rows.select(F.col(key).alias("key"), F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
-    posts = each.groupBy("term", "key").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.first("n_terms").alias("n_terms")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    """The postings of rows (key, terms). A frequent term's rows may be in several files of its partition.
+
+    A text's terms are counted where it is read, and postings are shuffled once. Rows that share a key have postings each."""
+    each = rows.select(F.col(key).alias("key"), F.size(terms).alias("n_terms"), F.explode(occurrences(F.col(terms))).alias("_o"))
+    posts = each.select(F.col("_o.term").alias("term"), "key", F.size("_o.places").alias("hits"), "n_terms", _bucket(F.col("_o.term"), buckets).alias("bucket"))
     posts.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).write.partitionBy("bucket").parquet(path)
 
 
@@ -42,7 +45,7 @@ def search_postings(spark: SparkSession, path: str, terms: list[str], key: str,
     posts = posts.where(F.col("bucket").isin(where) & F.col("term").isin(wanted))
     if scope is not None:
         posts = posts.join(scope.select(F.col(key).alias("key")), "key", "left_semi")
-    found = posts.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("hits").alias("_hits"), F.max("n_terms").alias("_terms")).where(F.col("_n") == len(wanted)).where(F.lit(bool(wanted)))
+    found = posts.groupBy("key").agg(F.size(F.collect_set("term")).alias("_n"), F.sum("hits").alias("_hits"), F.max("n_terms").alias("_terms")).where(F.col("_n") == len(wanted)).where(F.lit(bool(wanted)))
     score = F.round(F.col("_hits") / (1 + F.log(F.col("_terms").cast("double"))), 6)
     top = found.select(F.col("key").alias(key), score.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
     return ranked(top, [F.col("score").desc(), F.col(key)])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as tx
-from folioscan.operators import ranked_postings
+from folioscan.operators import postings, ranked_postings
 
 WORDS = ["the", "and", "of", "a", "b", "c"]
 
@@ -111,6 +111,14 @@ def test_occurrences_by_brute_force(spark):
 
 
 def test_words_are_not_shuffled(spark, tmp_path):
-    """Neither a text's words nor, where ranges are made, its distinct terms."""
+    """Neither a text's words nor, where ranges are made, its distinct terms; postings move once."""
     rows = spark.createDataFrame([(i, [f"w{j % 100}" for j in range(150)]) for i in range(300)], "id long, content_terms array<string>")
     assert shuffled_rows(spark, lambda: ranked_postings.write_ranges(rows, str(tmp_path / "r"), "id")) < 1000
+    assert shuffled_rows(spark, lambda: postings.write_postings(rows, str(tmp_path / "p"), "id")) <= 300 * 100
+
+
+def test_postings_of_rows_that_share_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (2, ["a", "a"])], "id long, content_terms array<string>")
+    postings.write_postings(rows, str(tmp_path / "p"), "id", buckets=2)
+    assert [r["id"] for r in postings.search_postings(spark, str(tmp_path / "p"), ["a", "b"], "id", buckets=2).collect()] == [1]
+    assert {r["id"] for r in postings.search_postings(spark, str(tmp_path / "p"), ["a"], "id", buckets=2).collect()} == {1, 2}
