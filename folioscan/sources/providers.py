@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -95,16 +96,15 @@ def embed(rows: DataFrame, text: str, provider: Embedder, out: str = "embedding"
     if not provider.configured():
         return rows.withColumn(out, F.lit(None).cast("array<float>"))
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            texts, found = b.fillna("").tolist(), []
-            for i in range(0, len(texts), provider.batch):
-                part = provider.embed(texts[i : i + provider.batch])
-                if len(part) != len(texts[i : i + provider.batch]):
+            for i in range(0, len(b), provider.batch):  # a provider's batch is handed on before the next
+                texts = [t or "" for t in b.slice(i, provider.batch).to_pylist()]
+                part = provider.embed(texts)
+                if len(part) != len(texts):
                     raise ValueError("as many vectors as texts are needed")
-                found += part
-            yield pd.Series(found)
+                yield pa.array(part, pa.list_(pa.float32()))
 
     return rows.withColumn(out, run(F.col(text)))
 
