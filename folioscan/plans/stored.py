@@ -62,7 +62,7 @@ def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     tick = spark.createDataFrame([(-1,)], "key long").select("key", F.timestamp_seconds(F.lit(1_704_067_200 + 14_400)).alias("at"), F.lit(0).cast("long").alias("seq"), F.lit("UPLOADED").alias("event"), F.lit(None).cast("string").alias("reason"))
     for i in range(3):
         batch = events.where(F.col("round") == i).drop("round")
-        (batch if i < 2 else batch.unionByName(tick)).coalesce(4).write.mode("append").parquet(f"{folder}/in")
+        (batch if i < 2 else batch.unionByName(tick)).coalesce(200).write.mode("append").parquet(f"{folder}/in")
         lifecycle.run_transitions(ingest.read_stream(spark, f"{folder}/in", shape, 1000), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     log = spark.read.schema(f"key long, {lifecycle.LOG}").parquet(f"{folder}/log")
     return lifecycle.current_states(log).select("key", "state", (F.unix_timestamp("at") - 1_704_067_200).alias("second"), "reason", "refused")

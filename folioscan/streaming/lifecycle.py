@@ -101,7 +101,8 @@ class Lifecycle(StatefulProcessor):
         self.held = handle.getValueState("document", "name string, at long, due long, n int")
 
     def _now(self) -> State | None:
-        return State(*self.held.get()) if self.held.exists() else None
+        held = self.held.get()  # one call of the store, None for a key that has no state
+        return State(*held) if held is not None else None
 
     def _put(self, before: State | None, after: State | None) -> None:
         if before is not None and (after is None or after.due != before.due):

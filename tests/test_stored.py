@@ -10,6 +10,7 @@ import sys
 import textwrap
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -363,3 +364,25 @@ def test_cascade_restricts_and_sets_null(spark):
     left = cascade.cascade(tables, ids, keys, {"user": gone, "course": courses.where("id = 10").select("id")}).left  # the row that forbids it goes as well
     assert [r["id"] for r in left["user"].collect()] == [2] and [r["id"] for r in left["course"].collect()] == [11]
     assert sorted((r["id"], r["author"]) for r in left["note"].collect()) == [(5, None), (6, 2), (7, None)] or {(r["id"], r["author"]) for r in left["note"].collect()} == {(5, None), (6, 2), (7, None)}
+
+
+def test_a_state_is_asked_for_once():
+    """Each question to the store is a round trip of its own."""
+    asked = []
+
+    class Held:
+        value = None
+
+        def exists(self):
+            asked.append("exists")
+            return self.value is not None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+    machine = lifecycle.Lifecycle(lifecycle.Limits())
+    machine.held = Held()
+    assert machine._now() is None and asked == ["get"]
+    machine.held.value = ("READY", 5, 7, 2)
+    assert machine._now() == lifecycle.State("READY", 5, 7, 2) and asked == ["get", "get"]
