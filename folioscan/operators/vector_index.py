@@ -28,8 +28,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from folioscan.functions.vectors import cosine_similarity, norm
 from folioscan.sources.tables import scratch
 
-#: Cells at most, rows of the sample for each cell, rows of a packed list, queries of a block, what rounding may add to a bound.
-CELLS, SAMPLE, PACK, BLOCK, SLACK = 1024, 64, 1024, 256, 1e-6
+#: Cells at most, rows of the sample for each cell, rows of a packed list, queries of a block, vectors that meet all centres at once, what rounding may add to a bound.
+CELLS, SAMPLE, PACK, BLOCK, MEET, SLACK = 1024, 64, 1024, 256, 512, 1e-6
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in slices of MEET rows: matrices of vectors by centres stay small."""
+    for b in batches:
+        for i in range(0, len(b), MEET):
+            yield b.iloc[i : i + MEET].reset_index(drop=True)
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -73,7 +80,7 @@ class VectorIndex:
         held = held.select(F.col(key).alias("key"), (F.col(scope) if scope else F.lit(None).cast("string")).alias("scope"), F.col(vector).cast("array<float>").alias("vector"))
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in _parts(batches):
                 x = _units(b["vector"])
                 cell = ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
                 rest = x - centres[cell]
@@ -108,7 +115,7 @@ class VectorIndex:
         centres, schema = self.centres, asked.schema
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in _parts(batches):
                 x = _units(b["vector"])
                 wanted = choose(x, b["least"].to_numpy())
                 for cell in np.flatnonzero(wanted.any(0)):
@@ -191,7 +198,7 @@ class VectorIndex:
         centres = self.centres
 
         def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in _parts(batches):
                 yield pd.DataFrame({"place": cell_ranks(_units(b["vector"]), centres)[np.arange(len(b)), b["cell"].to_numpy()]})
 
         placed = best.join(self._asked(queries.withColumn("least", F.lit(0.0))), "query_id").select("cell", "vector").mapInPandas(ranks, "place long")

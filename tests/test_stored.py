@@ -386,3 +386,10 @@ def test_a_state_is_asked_for_once():
     assert machine._now() is None and asked == ["get"]
     machine.held.value = ("READY", 5, 7, 2)
     assert machine._now() == lifecycle.State("READY", 5, 7, 2) and asked == ["get", "get"]
+
+
+def test_few_vectors_meet_the_centres_at_once():
+    batches = [pd.DataFrame({"x": range(a, b)}, index=range(b - a)) for a, b in ((0, 0), (0, 1), (1, 2000))]
+    parts = list(vector_index._parts(iter(batches)))
+    assert all(0 < len(p) <= vector_index.MEET and list(p.index) == list(range(len(p))) for p in parts)
+    assert [x for p in parts for x in p["x"]] == list(range(2000))
