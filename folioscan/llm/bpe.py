@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -113,8 +114,9 @@ class Bpe:
 
     @cached_property
     def _ids(self) -> _Memo:
+        """Ids of pre-tokens, as bytes of int32."""
         encode = self.encode_piece
-        return _Memo(lambda piece: tuple(encode(piece.encode())))
+        return _Memo(lambda piece: array("i", encode(piece.encode())).tobytes())
 
     @cached_property
     def _ranks(self) -> _Memo:
@@ -156,16 +158,31 @@ class Bpe:
             i = after[i]
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as bytes of int32."""
         memo = self._ids
-        out = list(itertools.chain.from_iterable(map(memo.__getitem__, self._cut(text))))
+        out = b"".join(map(memo.__getitem__, self._cut(text)))
         memo.age()
         self._ranks.age()
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    @cached_property
+    def _token_array(self) -> pa.Array:
+        return pa.array(self.tokens, pa.large_binary())
+
+    def decode_lists(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each list of ids; list i is ids[ends[i]:ends[i + 1]]. Tokens are looked up at once and lie one after the other."""
+        found = self._token_array.take(pa.array(ids))
+        at = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)
+        whole = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].tobytes()), found.buffers()[2]])
+        return whole.cast(pa.binary())
+
 
 def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """docs with a column of token ids. Null counts as empty, and an empty text has no tokens. Rows that repeat are each
@@ -175,7 +192,7 @@ def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text", out_col: str = "to
     @F.pandas_udf("array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield t.map(lambda x: np.array(sent.value.encode(x or ""), dtype=np.int32))
+            yield t.map(lambda x: np.frombuffer(sent.value.encode_bytes(x or ""), dtype=np.int32))
 
     return docs.withColumn(out_col, run(F.col(text_col)))
 
@@ -209,10 +226,10 @@ def encode_batches(docs: DataFrame, bpe: Bpe, id_col: str, text_col: str) -> Dat
             for texts in texts_of(batch.column(1)):
                 part = batch.slice(start, len(texts))
                 start += len(texts)
-                ids = [bpe.encode(t) for t in texts]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=[id_col, "token_ids", "decoded"])
+                ids = [bpe.encode_bytes(t) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), flat), bpe.decode_lists(flat, ends)], names=[id_col, "token_ids", "decoded"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, decoded binary")
 

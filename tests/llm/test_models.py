@@ -367,6 +367,15 @@ def test_bpe_tables(spark, coders):
     assert bpe.encode_batches(documents(spark, []), own, "doc_id", "text").count() == 0
 
 
+def test_bpe_decodes_lists_at_once(coders):
+    own, _ = coders
+    for texts in ([], [""], ["", "a b", "", "漢字 \U0001f600", "x" * 500, ""]):
+        ids = [own.encode(t) for t in texts]
+        ends = np.cumsum([0, *map(len, ids)])
+        found = own.decode_lists(np.array(sum(ids, []), dtype=np.int32), ends)
+        assert found.to_pylist() == [own.decode(x) for x in ids] == [t.encode() for t in texts]
+
+
 # n-gram join
 
 
