@@ -8,8 +8,8 @@ partners in the band differ from it in k elements at most keeps its first k + c
 share at least c of them (pigeonhole). Blocks are the join keys. An empty block says nothing: a set emits its empty blocks
 only if it has c of them or more.
 
-Texts are read once for digests and keys, and a task gives the keys of each set once. Sets with the same digest are one
-node from the start. A key's nodes, sorted, pass by in one stream: each is a candidate partner of the first and of the one
+Texts are read once for digests and keys, and a task gives the keys of each set once. Keys are shuffled as they are made
+and stored nowhere else; digests take the same way. Sets with the same digest are one node from the start. A key's nodes, sorted, pass by in one stream: each is a candidate partner of the first and of the one
 before. Sizes, a 32-bit parity sketch and the number of keys in which a pair met drop candidates without loss. The others
 make families, their components. Up to CELL nodes of a family meet in one task that multiplies their incidence matrix, so
 links are told exactly, each text moves once, and what comes out is a spanning forest of the links; candidate pairs of
@@ -22,19 +22,20 @@ of which each two meet in a task unless both are of one component.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folioscan.llm.common import materialise, table
 from folioscan.llm.components import components
 
 WORDS, NUM, DEN = 5, 80, 100
-#: Slots of the filter that thins documents out before their texts are fetched; it bounds what is broadcast.
-SLOTS, MEMO, GIVEN = 1 << 20, 100_000, 50_000
+#: Slots of the filter that thins documents out before their texts are fetched, which bound what is broadcast, and how many of a slot's 64 bits an id sets.
+SLOTS, SLOT_BITS, MEMO, GIVEN = 1 << 20, 4, 100_000, 50_000
 #: A number of a key's row: the set's size, its parity sketch, how many keys partners share at least (no more than MOST_NEED), and whether the band is the next.
 N_AT, PARITY_AT, NEED_AT, MOST_NEED = 39, 7, 1, 63
 #: Bits of a key. Two blocks that share a key by chance cost a candidate; fewer bits take less of the shuffle.
@@ -156,31 +157,33 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.
 
 
 def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(_id, n, node, check, info, keys, next_info, next_keys) of rows (_id, _text): digests, and the keys of the own band and the next.
+    """(_id, n, node, check, info, keys) of rows (_id, _text): for each a row of digests, whose info is null and whose one key
+    deals it to any task, and rows of the keys of the own band and the next, whose _id is null.
 
-    A task gives keys once for each set, as far as it remembers sets; keys are null elsewhere, and where there are none."""
+    A task gives keys once for each set, as far as it remembers sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, given = Shingles(words), set()
+        shingles, given, read = Shingles(words), set(), 0
         for b in _batches(batches):
-            rows, keys = [], ([], [])
-            for t in b.column(1).to_pylist():
+            rows, keys = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 s = shingles.of(t)
-                name, found, info = digest(s), [None, None], [None, None]
+                name = digest(s)
+                rows.append((i, len(s), *name, None))
+                keys.append(_mix(np.array([read], dtype=_U)).view(np.int64))
+                read += 1
                 if len(s) and name not in given:
                     given.add(name)
-                    for i, (k, need) in enumerate(signatures(s, num, den)):
-                        found[i], info[i] = k, len(s) << N_AT | parity(s) << PARITY_AT | min(need, MOST_NEED) << NEED_AT | i
-                rows.append((len(s), *name, *info))
-                for i in (0, 1):
-                    keys[i].append(found[i])
+                    for after, (k, need) in enumerate(signatures(s, num, den)):
+                        rows.append((None, len(s), *name, len(s) << N_AT | parity(s) << PARITY_AT | min(need, MOST_NEED) << NEED_AT | after))
+                        keys.append(k)
             if len(given) > GIVEN:
                 given.clear()
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if k is None else len(k) for k in x)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *(k for k in x if k is not None)]))) for x in keys]
-            n, node, check, info, after = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), n, node, check, info, lists[0], after, lists[1]], names=["_id", "n", "node", "check", "info", "keys", "next_info", "next_keys"])
+            at, n, node, check, info = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), n, node, check, info, lists], names=["_id", "n", "node", "check", "info", "keys"])
 
-    return docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, n long, node long, check long, info long, keys array<long>, next_info long, next_keys array<long>")
+    return docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, n long, node long, check long, info long, keys array<long>")
 
 
 def _apart(known: DataFrame) -> DataFrame:
@@ -193,9 +196,9 @@ def _apart(known: DataFrame) -> DataFrame:
     return known.join(clashes, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left").withColumn("node", own).drop("_node", "_first")
 
 
-def key_rows(known: DataFrame) -> DataFrame:
-    """(key, node, info) for each key of each set."""
-    return known.where("info IS NOT NULL").select(F.explode("keys").alias("key"), "node", "info").union(known.where("next_info IS NOT NULL").select(F.explode("next_keys").alias("key"), "node", F.col("next_info").alias("info")))
+def key_rows(sketched: DataFrame) -> DataFrame:
+    """(key, node, info, _id, n) for each key of each set, n being null, and for each row of digests, info being its check."""
+    return sketched.select(F.explode("keys").alias("key"), "node", F.coalesce("info", "check").alias("info"), "_id", F.when(F.col("info").isNull(), F.col("n")).alias("n"))
 
 
 def _plausible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -205,25 +208,31 @@ def _plausible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
 
 
 def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
-    """(kind, a, b, info, n): kind 0 for candidate pairs a < b that met in n keys of a task's batch, info being the keys that
+    """(kind, a, b, info, n, _id) of key_rows: kind 0 for candidate pairs a < b that met in n keys of a task's batch, info being the keys that
     partners share at least and, in its last two bits, whether the band is a's next and b's next; kind 1 for a node b of a
-    key a that has more than three nodes, with its info."""
+    key a that has more than three nodes, with its info; kind 2 for a row of digests, a being its node and b its check."""
+    names = ["kind", "a", "b", "info", "n", "_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "node", "info")
-        carry = {x: np.empty(0, dtype=np.int64) for x in names}  # the first of the last key's nodes, and its last two
+        parts = ("key", "node", "info")
+        carry = {x: np.empty(0, dtype=np.int64) for x in parts}  # the first of the last key's nodes, and its last two
         length = 0  # of that key so far
         for batch in batches:
-            new = {x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(names)}
+            whole = batch.column(4).is_valid()
+            if whole.true_count:
+                of = batch.filter(whole)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(of.num_rows, 2, dtype=np.int32)), of.column(1), of.column(2), pa.nulls(of.num_rows, pa.int64()), of.column(4), of.column(3)], names=names)
+            if whole.true_count == batch.num_rows:
+                continue
+            batch = batch.filter(pc.invert(whole))
+            new = {x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(parts)}
             held = len(carry["key"])
-            c = {x: np.concatenate([carry[x], new[x]]) for x in names}
+            c = {x: np.concatenate([carry[x], new[x]]) for x in parts}
             again = np.zeros(len(c["key"]), dtype=bool)
             again[1:] = (c["key"][1:] == c["key"][:-1]) & (c["node"][1:] == c["node"][:-1])
             again[:held] = False
             c = {x: v[~again] for x, v in c.items()}
             key, node, total = c["key"], c["node"], len(c["key"])
-            if not total:
-                continue
             begins = np.ones(total, dtype=bool)
             begins[1:] = key[1:] != key[:-1]
             first = np.maximum.accumulate(np.where(begins, np.arange(total), 0))
@@ -245,15 +254,20 @@ def candidates(sketched: DataFrame, num: int, den: int) -> DataFrame:
             if ab.shape[1] + len(told):
                 kind = np.repeat(np.array([0, 1], dtype=np.int32), [ab.shape[1], len(told)])
                 columns = (kind, np.append(ab[0], key[told]), np.append(ab[1], node[told]), np.append(ab[2], c["info"][told]), np.append(met, np.ones(len(told), dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "info", "n"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(kind), batch.column(3).type)], names=names)
             start = first[-1]
             keep = np.unique([start, *range(max(start, total - 2), total)])
             length = int(place[-1]) + 1
             carry = {x: v[keep] for x, v in c.items()}
 
     # a set's keys that go to one task are stored together and share their other columns: fewer tasks shuffle less
-    parts = max(1, int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return sketched.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, info long, n long")
+    tasks = max(1, int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return sketched.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, f"kind int, a long, b long, info long, n long, _id {dict(sketched.dtypes)['_id']}")
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """(_id, n, node, check) of every row, from what candidates gives."""
+    return found.where("kind = 2").select("_id", "n", F.col("a").alias("node"), F.col("b").alias("check"))
 
 
 def met_enough(found: DataFrame) -> DataFrame:
@@ -270,10 +284,19 @@ def met_enough(found: DataFrame) -> DataFrame:
 
 
 def _in_slots(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose ids fall into a slot of those of ids (left_semi), or into none (left_anti): a filter without a shuffle."""
+    """Rows of docs whose ids the filter of ids lets pass (left_semi), or doesn't (left_anti), without a shuffle.
+
+    All of ids pass. An id has a slot and sets SLOT_BITS of its bits, so that few others pass when every slot is in use: one
+    in a thousand with two ids to a slot, where the slot alone would let six of seven pass."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = ids.select(slot(ids[ids.columns[0]]).alias("slot")).distinct()  # at most SLOTS rows
-    return docs.join(F.broadcast(slots), slot(docs[id_col]) == slots["slot"], how)
+    bit = lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(i)), F.lit(64)).cast("int"))
+
+    def bits(c: Column) -> Column:
+        return reduce(Column.bitwiseOR, (bit(c, i) for i in range(SLOT_BITS)))
+
+    own = ids[ids.columns[0]]
+    slots = ids.select(slot(own).alias("slot"), bits(own).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits"))  # at most SLOTS rows
+    return docs.join(F.broadcast(slots), (slot(docs[id_col]) == slots["slot"]) & (slots["bits"].bitwiseAND(bits(docs[id_col])) == bits(docs[id_col])), how)
 
 
 class _Sets:
@@ -423,9 +446,12 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     has one. Rows that share an id are rows of their own, and ids reach through each other's links no further. Null ids
     join as others do and are never the smallest. Other columns are ignored; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = _apart(materialise(sketches(rows, words, num, den), "join-sketches", compression="zstd"))
+    sketched = sketches(rows, words, num, den)
+    found = materialise(candidates(key_rows(sketched), num, den), "join-candidates", compression="zstd")
+    if _apart(known := digests(found)) is not known:
+        found = materialise(candidates(key_rows(_apart(sketched)), num, den), "join-candidates", compression="zstd")
+        known = digests(found)
     nodes = materialise(known.where("n > 0").groupBy("node").agg(F.min("_id").alias("least")), "join-nodes")
-    found = materialise(candidates(key_rows(known), num, den), "join-candidates")
     pairs = materialise(met_enough(found), "join-pairs")
     cells, apart = families(pairs)
     links = materialise(solved(cells, nodes, rows, words, num, den), "join-links")

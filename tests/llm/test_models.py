@@ -467,6 +467,42 @@ def test_sets_of_one_digest_stay_apart(spark):
     assert got == {1: 8, 2: 8 ^ 6, 3: 8, 4: 8, 5: 9}
 
 
+def test_ngram_join_of_sets_of_one_digest(spark, monkeypatch):
+    """Keys are made again for nodes that are told apart."""
+    texts = ["a b c d e f", "p q r s t u v w x", "a b c d e f", "k l m n o", "K l m n o"]
+    first, second = (ngram_join.Shingles(4).of(t).tolist() for t in texts[:2])
+    name, digest = ngram_join.digest(np.array(first, dtype=np.uint64))[0], ngram_join.digest
+    monkeypatch.setattr(ngram_join, "digest", lambda s: (name if s.tolist() == second else digest(s)[0], digest(s)[1]))
+    rows = ngram_join.join_near(documents(spark, texts), words=4, num=85, den=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {0: (3, 0), 1: (6, 1), 2: (3, 0), 3: (2, 3), 4: (2, 3)}
+
+
+def test_keys_are_stored_nowhere(spark, monkeypatch):
+    """Keys are most of what the join makes: they are shuffled, and what is stored of a text is some numbers."""
+    stored, materialise = [], ngram_join.materialise
+
+    def kept(df, name, **options):
+        stored.append((name, materialise(df, name, **options)))
+        return stored[-1][1]
+
+    monkeypatch.setattr(ngram_join, "materialise", kept)
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(50)]
+    assert ngram_join.join_near(documents(spark, texts), words=4, num=85, den=100).count() == 50
+    assert stored and not [name for name, df in stored if any(kind.startswith("array") for _, kind in df.dtypes)]
+    assert sum(df.count() for _, df in stored) <= 5 * len(texts)
+
+
+def test_few_other_ids_pass_the_filter_of_ids(spark, monkeypatch):
+    """Two ids to a slot, as of two million nodes: the slots are full, and yet texts of others stay where they are."""
+    monkeypatch.setattr(ngram_join, "SLOTS", 1000)
+    docs, ids = spark.range(-5000, 50_000).withColumn("text", F.lit("t")), spark.range(0, 4000, 2).withColumnRenamed("id", "doc")
+    passed = {r["id"] for r in ngram_join._in_slots(docs, "id", ids, "left_semi").collect()}
+    assert passed >= set(range(0, 4000, 2)) and len(passed) <= 2000 + 0.01 * 53_000
+    assert {r["id"] for r in ngram_join._in_slots(docs, "id", ids, "left_anti").collect()} == set(range(-5000, 50_000)) - passed
+    nulls = spark.createDataFrame([(None,), (1,)], "doc long")
+    assert {r["id"] for r in ngram_join._in_slots(spark.createDataFrame([(None, "t"), (1, "t")], "id long, text string"), "id", nulls, "left_semi").collect()} == {None, 1}
+
+
 def test_ngram_join_ids(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "z y x w v u", None], [None, 5, 5, None])
     rows = sorted((r["n_shingles"], str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.join_near(docs, words=4, num=85, den=100).collect())
